@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vitrine.llm import simhash
+from vitrine.llm import packing, simhash, substrings, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +16,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, d=4)
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents in training order and reads every sequence back from the files."""
+    manifest = tokenfiles.write(table(spark, sf_dir, "documents"), key="epoch-0", length=2048)
+    found = tokenfiles.read(spark, manifest)
+    return found.select("shard", "slot", "byte_offset", F.col("number").alias("sequence_no"), "n_ids", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op3_simhash": op3_simhash}
+    return {f.__name__: f for f in (op2_packing, op3_simhash, op4_substrings, op7_tokenfiles)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder: like ``cut``, for larger tables."""
+    path = fresh_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def open_store(path: str):
     """(file system, path in it) for a path or URI that tasks can write to."""
     from pyarrow import fs
