@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import packing, simhash, substrings, tokenfiles
+from vitrine.llm import decontaminate, packing, pii, simhash, substrings, tokenfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), capacity=2048)
 
@@ -36,9 +40,14 @@ def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("shard", "slot", "byte_offset", F.col("number").alias("sequence_no"), "n_ids", F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_packing, op3_simhash, op4_substrings, op7_tokenfiles)}
+    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op7_tokenfiles, op9_pii)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_decontamination": decontaminate.oracle()}

@@ -24,9 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import stored
+from vitrine.llm.shared import cut, stored
 
 WINDOW, SEED = 35, 12
+HELD = 200_000  # different blocks that a task remembers
 BASE = 6364136223846793005  # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -74,6 +75,11 @@ class Blocks:
         return windows, first, np.diff(np.r_[first, len(windows)]), seeds[anchor[first]]
 
 
+def spread(key: int, at: int) -> int:
+    """A partition key for rows that need no other rows."""
+    return xxhash.xxh3_64_intdigest(b"%d:%d" % (key, at)) >> 1
+
+
 def texts_of(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     return batch.column(name).cast(pa.binary()).to_pylist()
 
@@ -100,15 +106,18 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
 def repeated(found: DataFrame) -> DataFrame:
     """(id, places): per document the blocks whose seed occurs more than once. Counts are summed before they
     are shuffled, and each seed's one count joins its blocks, so a seed with many blocks can be split."""
-    again = found.groupBy("seed").count().where("count > 1").select("seed")
+    again = cut(found.groupBy("seed").count().where("count > 1").select("seed"))
     return found.join(again, "seed").groupBy("id").agg(F.collect_list("at").alias("places"))
 
 
 def open_blocks(docs: DataFrame, places: DataFrame, window: int, seed: int) -> DataFrame:
-    """(seed, id, at, windows): the named blocks with the hashes of their windows, packed."""
+    """(seed, id, at, windows): the named blocks with the hashes of their windows, packed. Blocks that one task
+    has seen before repeat as a whole: they, and the first of them, are marked here and their windows don't
+    travel, so a block that stands in very many documents sends a row for each task, not for each place."""
 
     def each(batches) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(window, seed)
+        seen: dict[bytes, tuple[int, int] | None] = {}
         for batch in batches:
             rows = []
             for key, text, at in zip(batch.column("id").to_pylist(), texts_of(batch, "text"), batch.column("places").to_pylist(), strict=True):
@@ -120,12 +129,23 @@ def open_blocks(docs: DataFrame, places: DataFrame, window: int, seed: int) -> D
                 own = own.view(np.int64)
                 for b in np.flatnonzero(np.isin(first, at)).tolist():
                     s, n = int(first[b]), int(many[b])
-                    rows.append((int(own[b]), key, s, raw[8 * s : 8 * (s + n)]))
+                    block = raw[8 * s : 8 * (s + n)]
+                    content = xxhash.xxh3_128_digest(block)
+                    if content not in seen:
+                        if len(seen) == HELD:
+                            seen.clear()
+                        seen[content] = (key, s)
+                        rows.append((int(own[b]), key, s, block, 0))
+                        continue
+                    if first_place := seen[content]:
+                        rows.append((spread(*first_place), *first_place, None, (1 << n) - 1))
+                        seen[content] = None
+                    rows.append((spread(key, s), key, s, None, (1 << n) - 1))
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seed", "id", "at", "windows"])
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["seed", "id", "at", "windows", "mask"])
 
-    return docs.join(places, "id").select("id", "text", "places").mapInArrow(each, "seed long, id long, at int, windows binary")
+    return docs.join(places, "id").select("id", "text", "places").mapInArrow(each, "seed long, id long, at int, windows binary, mask long")
 
 
 def duplicate_windows(opened: DataFrame) -> DataFrame:
@@ -136,7 +156,10 @@ def duplicate_windows(opened: DataFrame) -> DataFrame:
         last, seen = None, {}
         for batch in batches:
             out = []
-            for seed, key, at, raw in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for seed, key, at, raw, whole in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if raw is None:
+                    out.append((key, at, whole))
+                    continue
                 if seed != last:
                     last, seen = seed, {}
                 mask = 0
