@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import decontaminate, packing, pii, simhash, substrings, tokenfiles
+from vitrine.llm import ann, decontaminate, htmltext, langid, packing, pii, simhash, substrings, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +33,19 @@ def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles from documents whose remainder is not 2; every document is predicted from its text alone."""
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.fit(docs.where(langid.fold() != 2))
+    held = docs.select("doc_id", "text").withColumn("held_out", langid.fold() == 2)
+    found = langid.predict(held, profiles)
+    return found.select("doc_id", F.coalesce(langid.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents in training order and reads every sequence back from the files."""
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), key="epoch-0", length=2048)
@@ -40,14 +53,40 @@ def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("shard", "slot", "byte_offset", F.col("number").alias("sequence_no"), "n_ids", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as archives and reads every record back."""
+    chunks = warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+    return chunks.where("is_last").select("page_id", "payload_bytes", F.col("payload_digest"), "record_type", "refers_to")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_replaced")
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op7_tokenfiles, op9_pii)
+    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op5_langid, op6_html, op7_tokenfiles, op8_warc, op9_pii, op10_ann)
     return {f.__name__: f for f in every}
 
 
+#: The records that pages become.
+WARC_SQL = """
+    with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+      g as (select payload_digest, min(page_id) as first from p where payload_bytes >= 100 group by 1)
+    select page_id, payload_bytes, payload_digest, case when page_id <> first then 'revisit' else 'response' end as record_type, case when page_id <> first then first end as refers_to
+    from p left join g using (payload_digest)"""
+
+#: Nearest neighbours by brute force; products are summed in order of the components.
+ANN_SQL = """
+    with v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      s as (select q.vec_id as query_id, v.vec_id, list_reduce(list_transform(list_zip(q.e, v.e), lambda x: x[1] * x[2]), lambda a, b: a + b) as score from v q join v on q.vec_id <> v.vec_id where q.vec_id % 20 = 0)
+    select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from s
+    qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.oracle()}
+    return {"op1_decontamination": decontaminate.oracle(), "op8_warc": WARC_SQL, "op10_ann": ANN_SQL}
