@@ -22,6 +22,7 @@ SAMPLE = 20_000  # labelled rows that a fit uses, about; chosen by a hash of the
 BLOCK = 1 << 20  # characters of a text that are counted at a time
 OTHER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
+LEAST = 0.25  # a text of another script, or of no language, scores near 0; short texts of a known one 0.4 and more
 
 
 def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +89,24 @@ def distances(ranked: np.ndarray, vocabulary: np.ndarray, places: np.ndarray) ->
     return np.where(known, np.abs(found - np.arange(len(ranked))), PROFILE).sum(1)
 
 
+class Ranker:
+    """Profiles as one table of places, for predictions in a task."""
+
+    def __init__(self, profiles: dict[str, list[int]]):
+        self.names = sorted(profiles)
+        self.vocabulary = np.unique(np.array([g for p in profiles.values() for g in p], np.uint64))
+        self.places = np.full((len(self.names), len(self.vocabulary)), PROFILE, np.int64)
+        for row, name in zip(self.places, self.names, strict=True):
+            row[np.searchsorted(self.vocabulary, np.array(profiles[name], np.uint64))] = np.arange(len(profiles[name]))
+
+    def best(self, text: str | None) -> tuple[str, float]:
+        ranked = top(*codes(text), RANKS) if text else np.empty(0, np.uint64)
+        if not len(ranked) or not self.names:
+            return UNKNOWN, 0.0
+        d = distances(ranked, self.vocabulary, self.places)
+        return self.names[int(d.argmin())], 1.0 - float(d.min()) / (PROFILE * len(ranked))
+
+
 def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): the nearest profile's language for every row, whole texts counted.
 
@@ -95,29 +114,30 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], id_col: str = "doc_
     a letter, or no profile at all: ``und`` with score 0. Ties go to the first language in order. Null and
     repeated ids keep their rows; other columns are not read.
     """
-    names = sorted(profiles)
-    vocabulary = np.unique(np.array([g for p in profiles.values() for g in p], np.uint64))
-    places = np.full((len(names), len(vocabulary)), PROFILE, np.int64)
-    for i, name in enumerate(names):
-        places[i, np.searchsorted(vocabulary, np.array(profiles[name], np.uint64))] = np.arange(len(profiles[name]))
+    ranker = Ranker(profiles)
 
     def each(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = [], []
-            for text in batch.column(1).to_pylist():
-                ranked = top(*codes(text), RANKS) if text else np.empty(0, np.uint64)
-                if not len(ranked) or not names:
-                    lang.append(UNKNOWN)
-                    score.append(0.0)
-                    continue
-                d = distances(ranked, vocabulary, places)
-                lang.append(names[int(d.argmin())])
-                score.append(1.0 - float(d.min()) / (PROFILE * len(ranked)))
+            lang, score = zip(*map(ranker.best, batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(each, "doc_id long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, profiles: dict[str, list[int]], least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The documents, whole and with all their columns, whose language is known: those with a letter whose
+    nearest profile scores at least ``least``. Rows are kept where they are read, without a join."""
+    ranker = Ranker(profiles)
+    at = docs.columns.index(text_col)
+
+    def each(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = map(ranker.best, batch.column(at).to_pylist())
+            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def fold(id_col: str = "doc_id") -> Column:
     """The remainder that assigns a document to training (not 2) or held out (2)."""
     return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4))
