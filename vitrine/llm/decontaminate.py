@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import cut
+from vitrine.llm.shared import cut, spare
 
 SHINGLE, THRESHOLD = 5, 0.8
 SMALL = 2_000_000  # rows of long integers, or of shingles of test items, up to which a side is broadcast
@@ -75,8 +75,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k
 
 def without_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, k: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, whole and with all their columns, that contain no test item. Rows without an id stay."""
-    found = contained(docs, items, threshold, k, id_col, text_col).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_found"), "left_anti")
+    mark = spare(docs, "_found")
+    found = contained(docs, items, threshold, k, id_col, text_col).select(F.col("doc_id").alias(mark)).distinct()
+    return docs.join(found, F.col(id_col) == F.col(mark), "left_anti")
 
 
 def oracle(threshold: float = THRESHOLD, k: int = SHINGLE) -> str:

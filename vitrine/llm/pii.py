@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import cut
+from vitrine.llm.shared import cut, spare
 
 KEY = "surrogate-key-1"
 SMALL = 1_000_000  # documents with a later draw up to which their table is broadcast
@@ -198,23 +198,24 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     """The documents, with all their columns, their texts with surrogates for personal data, and ``n_replaced``.
 
     Null and empty texts stay as they are, with no replacement. Null ids and repeated ids or rows are
-    rewritten like any others. The column ``n_replaced`` and a column ``_draws`` must not exist before; an
-    empty table gives no rows.
+    rewritten like any others. A column ``n_replaced`` that was there before is overwritten; other columns
+    may have any name. An empty table gives no rows.
     """
     text = F.col(text_col)
+    found_, made_, row_, draws_ = (spare(docs, n) for n in ("_mentions", "_made", "_row", "_draws"))
     draws = later_draws(docs.select(text.cast("string").alias("text")), key)
-    out = docs.withColumn("_mentions", described(mentions(text)))
+    out = docs.withColumn(found_, described(mentions(text)))
     if draws.isEmpty():
-        made = rewritten(F.col("_mentions"), lambda x: F.lit(0), key)
+        made = rewritten(F.col(found_), lambda x: F.lit(0), key)
     else:
-        out = out.withColumn("_row", F.xxhash64(text))
-        meets = out.select("_row", F.explode("_mentions.entity").alias("entity")).join(draws, "entity")
-        of = cut(meets.groupBy("_row").agg(F.map_from_entries(F.collect_set(F.struct("entity", "draw"))).alias("_draws")))
-        out = out.join(F.broadcast(of) if of.count() <= SMALL else of, "_row", "left").drop("_row")
-        made = rewritten(F.col("_mentions"), lambda x: F.coalesce(F.try_element_at(F.col("_draws"), x["entity"]), F.lit(0)), key)
-    out = out.withColumn("_made", F.when(F.size("_mentions") > 0, made))
+        out = out.withColumn(row_, F.xxhash64(text))
+        meets = out.select(row_, F.explode(f"{found_}.entity").alias("entity")).join(draws, "entity")
+        of = cut(meets.groupBy(row_).agg(F.map_from_entries(F.collect_set(F.struct("entity", "draw"))).alias(draws_)))
+        out = out.join(F.broadcast(of) if of.count() <= SMALL else of, row_, "left")
+        made = rewritten(F.col(found_), lambda x: F.coalesce(F.try_element_at(F.col(draws_), x["entity"]), F.lit(0)), key)
+    out = out.withColumn(made_, F.when(F.size(found_) > 0, made))
     gaps = F.split(text, ANY, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("_made"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    changed = F.zip_with(F.col("_mentions"), F.col("_made"), lambda x, m: F.when(x["e"] != m, F.lit(1)).otherwise(F.lit(0)))
+    joined = F.array_join(F.zip_with(gaps, F.col(made_), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    changed = F.zip_with(F.col(found_), F.col(made_), lambda x, m: F.when(x["e"] != m, F.lit(1)).otherwise(F.lit(0)))
     out = out.withColumn("n_replaced", F.coalesce(F.aggregate(changed, F.lit(0), lambda n, x: n + x), F.lit(0)))
-    return out.withColumn(text_col, F.when(F.col("_made").isNull(), text).otherwise(joined)).drop("_mentions", "_made", "_draws")
+    return out.withColumn(text_col, F.when(F.col(made_).isNull(), text).otherwise(joined)).drop(found_, made_, row_, draws_)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import components, cut
+from vitrine.llm.shared import components, cut, spare
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
@@ -178,5 +178,6 @@ def keep_one(docs: DataFrame, k: int = 5, d: int = 4, id_col: str = "doc_id", te
     """The documents without near copies: of every component the row with the smallest id stays, whole and with
     all its columns. Rows whose id is null stay; of rows that repeat one id, all stay or go together."""
     found = near_duplicates(docs, k, d, id_col, text_col)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    mark = spare(docs, "_gone")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(mark))
+    return docs.join(gone.distinct(), F.col(id_col) == F.col(mark), "left_anti")
