@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrine.operators import ranking
+
 
 def dimension(rows: DataFrame, label: Column, entity: str, total: Column | int | None = None) -> DataFrame:
     """(label, n, pct): distinct entities by label, most first in reading order; null labels are no bucket.
@@ -43,12 +45,10 @@ def top_per_group(counts: DataFrame, group: str, label: str, n: str, top: int) -
 
 def nearest_rank(rows: DataFrame, group: str, value: str, percents: tuple[int, ...] = (50, 90, 99)) -> DataFrame:
     """(group, n, min_v, max_v, p50, ...): the value at place int(n * p / 100), from 0, of each sorted group.
-    Ranks come from a window, so no group's values are gathered in an array."""
-    place = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
-    n = F.count(value).over(Window.partitionBy(group))
-    ranked = rows.where(F.col(value).isNotNull()).select(group, value, place.alias("_i"), n.alias("n"))
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value)))
-    return ranked.groupBy(group).agg(F.max("n").alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), *(at(p).alias(f"p{p}") for p in percents))
+    Places come from a distributed ranking, so a group of any size is spread over tasks."""
+    ranked = ranking.places(rows.where(F.col(value).isNotNull()).select(group, value), [group], [F.col(value)])
+    at = lambda p: F.max(F.when(F.col("place") - 1 == F.least(F.floor(F.col("group_rows") * p / 100), F.col("group_rows") - 1), F.col(value)))
+    return ranked.groupBy(group).agg(F.max("group_rows").alias("n"), F.min(value).alias("min_v"), F.max(value).alias("max_v"), *(at(p).alias(f"p{p}") for p in percents))
 
 
 def histogram_percentile(rows: DataFrame, group: str, value: str, edges: list[float], percents: tuple[int, ...] = (50, 95)) -> DataFrame:

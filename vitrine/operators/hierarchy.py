@@ -3,16 +3,25 @@ each step keeps only its frontier, so cycles end and work follows the tree's siz
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="vitrine-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-"))
+def kept(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` from the shared folder, so that lineage doesn't grow with the rounds."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -20,11 +29,11 @@ def descendants(tree: DataFrame, roots: DataFrame, key: str, parent: str, depth:
     """(id, depth): the roots (one column of ids) at depth 0 and what stands below them, to a depth."""
     edges = tree.select(F.col(key).alias("_id"), F.col(parent).alias("_p")).where("_p is not null and _id <> _p")
     level = roots.toDF("id").distinct().withColumn("depth", F.lit(0))
-    found = _kept(level)
+    found = kept(level)
     level = found
     for d in range(1, depth + 1):
         below = edges.join(level, edges["_p"] == level["id"]).select(F.col("_id").alias("id")).distinct()
-        level = _kept(below.join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
+        level = kept(below.join(found.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)))
         if level.isEmpty():
             break
         found = found.unionByName(level)
@@ -41,7 +50,7 @@ def first_ancestor(tree: DataFrame, key: str, parent: str, wanted: Column, depth
         here = open_.join(nodes, open_["at"] == nodes["_n"])
         hit = here.where("_ok").select("id", F.col("at").alias("ancestor"), F.lit(d).alias("depth"))
         found = hit if found is None else found.unionByName(hit)
-        open_ = _kept(here.where("not _ok and _up is not null and _up <> at").select("id", F.col("_up").alias("at")))
+        open_ = kept(here.where("not _ok and _up is not null and _up <> at").select("id", F.col("_up").alias("at")))
         if open_.isEmpty():
             break
     return found
@@ -52,12 +61,12 @@ def inherited(tree: DataFrame, key: str, parent: str, lat: str, lon: str, blocke
     which ``blocked`` holds (too large to stand for a place) give none."""
     bar = F.coalesce(blocked, F.lit(False)) if blocked is not None else F.lit(False)
     have = tree.select(F.col(key).alias("id"), F.col(parent).alias("_p"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), bar.alias("_bar"))
-    have = _kept(have.withColumn("method", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "own")))
+    have = kept(have.withColumn("method", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), "own")))
     for d in range(1, depth + 1):
         givers = have.where("method is not null and not _bar").select(F.col("id").alias("_g"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
         gain = have.where("method is null").join(givers, F.col("_p") == F.col("_g")).select("id", "_p", F.col("_lat").alias("lat"), F.col("_lon").alias("lon"), "_bar", F.lit(f"inherited:{d}").alias("method"))
-        gain = _kept(gain)
+        gain = kept(gain)
         if gain.isEmpty():
             break
-        have = _kept(have.join(gain.select("id"), "id", "left_anti").unionByName(gain))
+        have = kept(have.join(gain.select("id"), "id", "left_anti").unionByName(gain))
     return have.select("id", "lat", "lon", "method")

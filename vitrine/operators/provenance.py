@@ -145,13 +145,11 @@ def events(rows: DataFrame, key: str, text: str) -> DataFrame:
     body = F.regexp_replace("raw_text", r"^\?\s*", "")
     e = e.withColumn("uncertain", F.col("raw_text").startswith("?")).withColumn("_b", body)
     kin = rf"(?i)^((?:his|her|their) (?:[\w'’-]+ ){{0,2}}?(?:{KIN}))\b,?"
-    match = F.when(F.col("_b").rlike(kin), F.struct(F.when(F.col("_b").rlike(r"(?i)^\w+ widow(?:er)?\b"), "widowhood").otherwise("by_descent").alias("type"), F.lower(F.regexp_extract("_b", kin, 1)).alias("role"), F.lit(kin).alias("cut")))
-    for type_, role, pattern in OPENINGS:
-        p = rf"(?i)^(?:{pattern})(?=[\s,:]|$)"
-        match = F.coalesce(match, F.when(F.col("_b").rlike(p), F.struct(F.lit(type_).alias("type"), F.lit(role).cast("string").alias("role"), F.lit(p).alias("cut"))))
-    for type_, pattern in SIGNS:
-        match = F.coalesce(match, F.when(F.col("_b").rlike(rf"(?i){pattern}"), F.struct(F.lit(type_).alias("type"), F.lit(None).cast("string").alias("role"), F.lit("$.").alias("cut"))))
-    e = e.withColumn("_m", match).withColumn("transfer_type", F.coalesce("_m.type", F.lit("unknown")))
+    first_match = F.when(F.col("_b").rlike(kin), F.struct(F.when(F.col("_b").rlike(r"(?i)^\w+ widow(?:er)?\b"), "widowhood").otherwise("by_descent").alias("type"), F.lower(F.regexp_extract("_b", kin, 1)).alias("role"), F.lit(kin).alias("cut")))
+    rules = [(type_, role, p, p) for type_, role, pattern in OPENINGS for p in [rf"(?i)^(?:{pattern})(?=[\s,:]|$)"]]
+    rules += [(type_, None, rf"(?i){pattern}", "$.") for type_, pattern in SIGNS]
+    made = [F.when(F.col("_b").rlike(p), F.struct(F.lit(type_).alias("type"), F.lit(role).cast("string").alias("role"), F.lit(cut).alias("cut"))) for type_, role, p, cut in rules]
+    e = e.withColumn("_m", F.coalesce(first_match, *made)).withColumn("transfer_type", F.coalesce("_m.type", F.lit("unknown")))
     rest = F.trim(F.regexp_replace(F.col("_b"), F.coalesce("_m.cut", F.lit("$.")), F.lit("")))
     e = e.withColumn("_rest", F.regexp_replace(rest, r"^[,:\s]+", ""))
     name = F.trim(F.regexp_replace(F.regexp_extract("_rest", r"^((?:[^,(]|\([^)]*\))*)", 1), r"\([^)]*\)", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import scalar as S
-from vitrine.operators import filters, geo, hierarchy, sequences
+from vitrine.operators import filters, geo, hierarchy, ranking, sequences
 from vitrine.plans.registry import Tables, query
 
 LAT, LON = "((%s * 7) %% 140 - 70)", "((%s * 13) %% 340 - 170)"
@@ -227,11 +227,8 @@ def win_dup_ordinal(t):
 def sort_nulls_last(t):
     k = F.nullif(F.round(F.col("c_acctbal") / 1000), F.lit(0.0))
     keyed = t.customer.select("c_custkey", k.alias("k"))
-    n = F.broadcast(keyed.agg(F.count("*").alias("n")))
-    from pyspark.sql import Window
-
-    placed = keyed.withColumn("place", F.row_number().over(Window.orderBy(F.col("k").desc_nulls_last(), "c_custkey")))
-    return placed.crossJoin(n).where("place <= 200 or place > n - 50").select("c_custkey", "k", "place")
+    placed = ranking.places(keyed, [], [F.col("k").desc_nulls_last(), F.col("c_custkey")])
+    return placed.where("place <= 200 or place > group_rows - 50").select("c_custkey", "k", F.col("place").cast("int").alias("place"))
 
 
 @query("""with m as (select o_custkey, max(o_totalprice) as price from orders where o_orderpriority='1-URGENT' group by 1)
