@@ -104,6 +104,69 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark):
     assert simhash.keep_one(no_documents(spark)).count() == 0
 
 
+def brute_similar(texts, k, similarity):
+    """Smallest reachable id over all pairs of shingle sets."""
+    sets = {}
+    for i, t in texts.items():
+        words = (t or "").lower().split()
+        sets[i] = {tuple(words[n : n + k]) for n in range(len(words) - k + 1)} or {tuple(words)}
+    root = {i: i for i in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if shared and shared >= similarity * (len(sets[a]) + len(sets[b]) - shared) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return {i: find(i) for i in ids}
+
+
+def copies(rng):
+    """Texts with exact copies, near copies on both sides of the threshold, and one large group around a text."""
+    texts = [prose(rng, rng.randrange(60, 300)) for _ in range(60)]
+    for t in texts[:50]:
+        for changes in (1, 2, 3, 6):
+            words = t.split()
+            for _ in range(changes):
+                words[rng.randrange(len(words))] = f"other{rng.randrange(1000)}"
+            texts.append(" ".join(words))
+        texts.append(t.title())
+    for _ in range(150):
+        words = texts[55].split()
+        for _ in range(max(1, len(words) // 60)):
+            words[rng.randrange(len(words))] = f"odd{rng.randrange(10000)}"
+        texts.append(" ".join(words))
+    return dict(enumerate(texts))
+
+
+def test_similar_texts_are_found_and_others_stay(spark):
+    texts = copies(random.Random(12))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    want = brute_similar(texts, 5, 0.8)
+    gone, wanted = {i for i, r in found.items() if r != i}, {i for i, r in want.items() if r != i}
+    assert all(want[r] == want[i] for i, r in found.items())  # no link that isn't there
+    assert len(gone & wanted) > 0.95 * len(wanted) > 200
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == {i for i, r in found.items() if r == i}
+
+
+def test_the_same_groups_with_lists_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "SHORT", 5)
+    texts = copies(random.Random(13))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in texts.items()], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    want = brute_similar(texts, 5, 0.8)
+    assert all(want[r] == want[i] for i, r in found.items())
+    assert sum(r != i for i, r in found.items()) > 0.93 * sum(r != i for i, r in want.items())
+
+
 def test_word_blocks_split_long_texts_at_white_space(monkeypatch):
     monkeypatch.setattr(simhash, "PIECE", 7)
     text = b"alder birch cedar drift\tember\x0bfjord grove"

@@ -8,6 +8,11 @@ lists of 24 bits stay short where lists of single bytes would grow with the squa
 list the shared positional bytes of a pair are tallied, pairs below the guaranteed count are dropped, and
 the rest is verified by its bits. Lists give spanning links, not all pairs, and long lists are dealt out as
 pairs of blocks.
+
+For a similarity of shingle sets rather than a distance of fingerprints (``similar``), fingerprints have 128
+bits: texts with a Jaccard similarity of 0.8 differ in about 19 of them, more than any guarantee over bytes
+reaches, so ``TRIPLES`` of the 560 triples of positional bytes are indexed, pairs within ``REACH`` bits are
+candidates, and shingle sets decide. What it finds is measured in the tests.
 """
 
 from __future__ import annotations
@@ -21,11 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import components, cut, spare
+from vitrine.llm.shared import components, cut, spare, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
+TRIPLES, REACH, SHORT = 160, 30, 40  # of similar(): indexed triples, bits of a candidate pair, lists that are compared pair by pair
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -174,10 +180,156 @@ def near_duplicates(docs: DataFrame, k: int = 4, d: int = 4, id_col: str = "doc_
     )
 
 
-def keep_one(docs: DataFrame, k: int = 5, d: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of every component the row with the smallest id stays, whole and with
-    all its columns. Rows whose id is null stay; of rows that repeat one id, all stay or go together."""
-    found = near_duplicates(docs, k, d, id_col, text_col)
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; fewer than ``k`` words: one of the whole sequence."""
+    found, words, kept = [], 0, []
+    for block in word_blocks((text or b"").translate(LOWER)):
+        words += len(block)
+        kept += block
+        if len(kept) >= k:
+            shingles = map(b" ".join, zip(*(kept[i:] for i in range(k)), strict=False))
+            found.append(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64))
+            kept = kept[len(kept) - k + 1 :]
+    if found:
+        return np.unique(np.concatenate(found))
+    return np.array([xxhash.xxh64_intdigest(b" ".join(kept), 42)] if words else [], np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """SimHash of 128 bits over a set of shingles, as two signed integers; no shingle: zeros."""
+    if not len(hashes):
+        return 0, 0
+    other = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    rows = np.stack([hashes, other ^ (other >> np.uint64(31))], 1).view(np.uint8).reshape(-1, 16)
+    count = np.zeros(128, np.int64)
+    for at in range(0, len(rows), 255):  # sums of up to 255 bits fit a byte
+        count += np.add.reduce(np.unpackbits(rows[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    hi, lo = np.packbits(2 * count > len(rows), bitorder="little").view(np.int64)
+    return int(hi), int(lo)
+
+
+def triples(n: int = TRIPLES) -> list[tuple[int, int, int]]:
+    """A fixed choice of triples of the 16 byte positions, each position about equally often."""
+    every = list(combinations(range(16), 3))
+    return [every[i] for i in np.random.default_rng(16).permutation(len(every))[:n]]
+
+
+def near_pairs(first: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one list: all within ``REACH`` bits of a short one; of a long one spanning links,
+    walked from those nearest to the list's centre, which stands for what copies have in common."""
+    if len(first) <= SHORT:
+        i, j = np.triu_indices(len(first), 1)
+        near = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= REACH
+        return first[i[near]], first[j[near]]
+    bits = np.unpackbits(fp.view(np.uint8), axis=1)
+    far = (bits ^ (2 * bits.sum(0, dtype=np.int64) > len(bits)).astype(np.uint8)).sum(1)
+    left, a, b = np.argsort(far, kind="stable"), [], []
+    wait: list[int] = []
+    while len(left):
+        if wait:
+            at = wait.pop(0)
+        else:
+            at, left = left[0], left[1:]
+        near = np.bitwise_count(fp[left] ^ fp[at]).sum(1) <= REACH
+        a += [first[at]] * int(near.sum())
+        b += first[left[near]].tolist()
+        wait += left[near].tolist()
+        left = left[~near]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes (columns first, hi, lo) that share an indexed triple of positional bytes and
+    differ in at most ``REACH`` bits, as spanning links where lists are long."""
+    byte = [F.shiftrightunsigned("hi" if p < 8 else "lo", 8 * (p % 8)).bitwiseAND(255) for p in range(16)]
+    keys = [F.lit(n << 24).cast("long") + F.shiftleft(byte[x], 16) + F.shiftleft(byte[y], 8) + byte[z] for n, (x, y, z) in enumerate(triples())]
+    entries = classes.select("first", "hi", "lo", F.explode(F.array(*keys)).alias("key"))
+    full = entries.groupBy("key").count().where("count > 1")
+    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("first"), blocks).cast("int")
+    dealt = (
+        entries.join(full, "key")
+        .select("key", "first", "hi", "lo", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "first", "hi", "lo")
+    )
+
+    def walk(batches):
+        held = None
+        for batch in batches:
+            now = [batch.column(n).to_numpy() for n in range(6)]
+            rows = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+            key, i, j = rows[:3]
+            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(key) else np.array([0])
+            held = [x[starts[-1] :] for x in rows]  # the last list may go on
+            yield pairs_of(rows, starts[:-1], starts[1:])
+        if held and len(held[0]):
+            yield pairs_of(held, np.array([0]), np.array([len(held[0])]))
+
+    def pairs_of(rows, starts, ends):
+        first, fp = rows[3], np.stack(rows[4:6], 1).view(np.uint64) if len(rows[3]) else np.empty((0, 2), np.uint64)
+        two = starts[ends - starts == 2]
+        near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1) <= REACH
+        a, b = [first[two[near]]], [first[two[near] + 1]]
+        for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+            x, y = near_pairs(first[s:e], fp[s:e])
+            a.append(x)
+            b.append(y)
+        both = np.stack([np.concatenate(a), np.concatenate(b)], 1).astype(np.int64)
+        both = np.unique(np.sort(both, axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(walk, "a long, b long").where("a <> b").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets are as similar; ``docs``: id, text."""
+
+    def sets(batches):
+        for batch in batches:
+            made = [shingle_set(x, k).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "s"])
+
+    def alike(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield kept
+
+    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    own = stored(docs.join(named, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary"), "sets")
+    x, y = own.select(F.col("id").alias("a"), F.col("s").alias("x")), own.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): groups that links between texts of at least ``similarity`` connect (Jaccard over
+    sets of ``k``-word shingles), each named after its smallest id. Nulls, blanks, repeats and empty tables as
+    in ``near_duplicates``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def each(batches):
+        for batch in batches:
+            made = [wide_fingerprint(shingle_set(x, k)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            hi, lo = zip(*made, strict=True) if made else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["id", "hi", "lo"])
+
+    own = cut(rows.mapInArrow(each, "id long, hi long, lo long"))
+    classes = cut(own.where("id is not null").groupBy("hi", "lo").agg(F.min("id").alias("first")))
+    pairs = cut(candidates(classes))
+    found = components(verified(pairs, rows.where("id is not null"), k, similarity))
+    rooted = classes.join(found, classes["first"] == found.node, "left").select("hi", "lo", F.coalesce("root", "first").alias("component_id"))
+    return own.join(rooted, ["hi", "lo"], "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without near copies: of every group (``similar``) the row with the smallest id stays, whole
+    and with all its columns. Rows whose id is null stay; of rows that repeat one id, all stay or go together."""
+    found = similar(docs, k, similarity, id_col, text_col)
     mark = spare(docs, "_gone")
     gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias(mark))
     return docs.join(gone.distinct(), F.col(id_col) == F.col(mark), "left_anti")
