@@ -90,7 +90,7 @@ def quota_sample(rows: DataFrame, cell: str, weight: Column, order: Column, n: i
     share = n * F.col("_w") * F.col("_size") / F.sum(F.col("_w") * F.col("_size")).over(Window.partitionBy(F.lit(1)))
     quotas = sizes.select(cell, F.least(F.greatest(F.round(share), F.lit(1)), F.col("_size")).cast("long").alias("_quota"))
     ranked = rows.withColumn("_i", F.row_number().over(Window.partitionBy(cell).orderBy(order))).where(F.col("_i") <= n)  # no quota is larger, so tasks keep their first n only
-    return ranked.join(F.broadcast(quotas), cell).where("_i <= _quota").drop("_i", "_quota")
+    return ranked.join(quotas, cell).where("_i <= _quota").drop("_i", "_quota")
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -137,7 +137,7 @@ def geo_radius(t):
 def geo_nearest(t):
     lines = t.lineitem.join(t.orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     links = lines.join(t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")), "l_suppkey").select("o_custkey", "n_nationkey")
-    return geo.nearest(links, F.broadcast(nations(t).select("n_nationkey", "lat", "lon")), "o_custkey", "n_nationkey", (0.0, 0.0)).select("o_custkey", "place", F.round("km", 6).alias("km"))
+    return geo.nearest(links, nations(t).select("n_nationkey", "lat", "lon"), "o_custkey", "n_nationkey", (0.0, 0.0)).select("o_custkey", "place", F.round("km", 6).alias("km"))
 
 
 @query(f"select a.n_regionkey, count(distinct a.n_nationkey) as n, round(max({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 6) as max_km from {NATION_PLACES} a join {NATION_PLACES} b on a.n_regionkey=b.n_regionkey group by 1")
