@@ -152,3 +152,25 @@ def test_vectors_and_sequences(spark):
     assert sorted(map(tuple, sequences.difference(a, b, "k", ["v"]).collect())) == [(1, "unchanged"), (2, "modified"), (3, "removed"), (4, "new")]
     audit = aggregates.audit(a, [("some", F.col("v").isNotNull(), 1, 5), ("many", F.lit(True), 10, None), ("none", F.col("k") > 9, 1, None)]).collect()
     assert [r["verdict"] for r in audit] == ["PASS", "WARN", "FAIL"]
+
+
+def test_credit_lines_and_splits(spark):
+    make = spark.createDataFrame
+    chain = make([(1, 1, "sale A", "sale"), (1, 2, "X and Y", "unknown"), (2, 1, "Z", "unknown")], "id int, sequence int, raw_text string, transfer_type string")
+    found = provenance.with_credit_lines(chain, make([(1, "Gift of the heirs, purchase price unknown"), (2, None)], "id int, credit_line string"), "id").orderBy("id", "sequence").collect()
+    assert [(r["transfer_type"], r["inferred"], r["transfer_category"]) for r in found] == [("sale", False, "ownership"), ("gift", True, "ownership"), ("unknown", False, "ambiguous")]
+    splits = chain.where("raw_text = 'X and Y'").select("id", F.sha2("raw_text", 256).alias("content_hash"), F.array(F.lit("X"), F.lit("Y")).alias("parts"))
+    assert [(r["id"], r["sequence"], r["raw_text"]) for r in provenance.split(chain, splits, "id").orderBy("id", "sequence").collect()] == [(1, 1, "sale A"), (1, 2, "X"), (1, 3, "Y"), (2, 1, "Z")]
+
+
+def test_reconciliation(spark):
+    from vitrine.operators import reconcile
+
+    make = spark.createDataFrame
+    assert one(spark, reconcile.candidate_score(F.lit(1.0), F.lit(True), F.lit(True), F.lit(0.0))) == 100.0 and one(spark, reconcile.candidate_score(F.lit(0.5), F.lit(False), F.lit(None).cast("boolean"), F.lit(None).cast("double"))) == 20.0
+    a, b = make([(1, "http://x/1", "p")], "k int, u string, v string"), make([("http://y/z/1", "q"), ("http://y/2", "r")], "u2 string, w string")
+    assert [r["w"] for r in reconcile.suffix_join(a, b, "u", "u2").collect()] == ["q"]
+    places = make([(f"{w} {i}", 1.0, 2.0) for i, w in enumerate("abcde")] + [("x y", 3.0, 4.0)], "label string, lat double, lon double")
+    assert [tuple(r) for r in reconcile.suspicious_repeats(places, "label", "lat", "lon").collect()] == [(1.0, 2.0, 5, 5)]
+    grouped = reconcile.clusters(make([(i, [float(i // 10 * 50 + i % 10), 1.0]) for i in range(30)], "id int, e array<double>"), "e", 3).collect()
+    assert len({r["cluster"] for r in grouped}) == 3 and len({r["cluster"] for r in grouped if r["id"] < 10}) == 1

@@ -101,6 +101,6 @@ def pattern_inventory(rows: DataFrame, text: str, patterns: dict[str, str], exam
     """(pattern, n, samples): how many rows match each pattern, and the first few texts in order that do."""
     hits = F.filter(F.array(*(F.when(F.col(text).rlike(p), F.lit(name)) for name, p in patterns.items())), lambda x: x.isNotNull())
     found = rows.select(F.col(text).alias("t"), F.explode(hits).alias("pattern"))
-    order = Window.partitionBy("pattern").orderBy("t")
-    ranked = found.withColumn("i", F.row_number().over(order))
-    return ranked.groupBy("pattern").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("i") <= examples, F.col("t")))).alias("samples"))
+    counts = found.groupBy("pattern").agg(F.count("*").alias("n"))
+    first = found.distinct().withColumn("i", F.row_number().over(Window.partitionBy("pattern").orderBy("t"))).where(F.col("i") <= examples)  # tasks keep their first few before the shuffle
+    return counts.join(first.groupBy("pattern").agg(F.array_sort(F.collect_list("t")).alias("samples")), "pattern")

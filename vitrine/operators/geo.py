@@ -9,11 +9,24 @@ from vitrine.functions.scalar import haversine_km
 
 
 def spread(points: DataFrame, group: str, key: str, lat: str, lon: str) -> DataFrame:
-    """(group, n, max_km): the largest distance between two points of a group, over distinct places."""
+    """(group, n, max_km): the largest distance between two points of a group, over distinct places.
+
+    Places are points on a sphere. The chords between the extremes along each axis bound the largest one from
+    below, and a place whose chord to the far corner of its group's box is shorter can't be an end of it; only
+    what is left, near the border of the group, is compared in pairs.
+    """
     places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(group, F.col(lat).alias("lat"), F.col(lon).alias("lon")).distinct()
-    a, b = places.alias("a"), places.alias("b")
-    far = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
-    pairs = a.join(b, F.col(f"a.{group}") == F.col(f"b.{group}")).groupBy(F.col(f"a.{group}").alias(group)).agg(F.max(far).alias("max_km"))
+    a, o = F.radians("lat"), F.radians("lon")
+    places = places.withColumns({"x": F.cos(a) * F.cos(o), "y": F.cos(a) * F.sin(o), "z": F.sin(a)})
+    spot = F.struct("x", "y", "z")
+    box = places.groupBy(group).agg(*(f(c).alias(f"{n}{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))), *(f(spot, F.col(c)).alias(f"{n}{c}") for c in "xyz" for n, f in (("first", F.min_by), ("last", F.max_by))))
+    square = lambda p, q: sum((F.pow(p[c] - q[c], 2) for c in "xyz"), F.lit(0.0))
+    box = box.select(group, *(f"{n}{c}" for c in "xyz" for n in ("lo", "hi")), F.greatest(*(square(F.col(f"first{c}"), F.col(f"last{c}")) for c in "xyz")).alias("least"))
+    corner = sum((F.greatest(F.pow(F.col(c) - F.col(f"lo{c}"), 2), F.pow(F.col(c) - F.col(f"hi{c}"), 2)) for c in "xyz"), F.lit(0.0))
+    rim = places.join(box, group).where(corner >= F.col("least") - 1e-12).select(group, "lat", "lon")
+    p, q = rim.alias("p"), rim.alias("q")
+    far = haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("q.lat"), F.col("q.lon"))
+    pairs = p.join(q, F.col(f"p.{group}") == F.col(f"q.{group}")).groupBy(F.col(f"p.{group}").alias(group)).agg(F.max(far).alias("max_km"))
     return points.groupBy(group).agg(F.count_distinct(key).alias("n")).join(pairs, group)
 
 

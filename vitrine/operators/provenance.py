@@ -241,3 +241,36 @@ def rollup(chain: DataFrame, key: str) -> DataFrame:
         F.array_sort(F.collect_set(F.when(F.col("transfer_type") != "unknown", F.col("transfer_type")))).alias("transfer_types"),
         F.min(names)["name"].alias("first_owner"), F.max(names)["name"].alias("last_owner"), F.bool_or("gap").alias("has_gap"), F.bool_or(F.col("price_amount").isNotNull()).alias("has_price"),
     )
+
+
+#: Credit lines in order: what they say about how the last owner got a work.
+CREDITS = [
+    ("bequest", r"bequest|bequeath|legaat|legacy"), ("gift", r"\bgift\b|donat|schenking|presented"), ("loan", r"on loan|bruikleen|long-term loan"), ("sale", r"purchase|aankoop|acquired with|bought"),
+    ("exchange", r"exchange|ruil"), ("transfer", r"transfer|overgedragen"), ("recuperation", r"recuperat|restitut"), ("deposit", r"deposit"), ("commission", r"commission"),
+]
+
+
+def credited(text: Column) -> Column:
+    """The transfer type that a credit line names first in the order of the rules; none: null."""
+    return F.coalesce(*(F.when(text.rlike(rf"(?i){p}"), F.lit(t)) for t, p in CREDITS))
+
+
+def with_credit_lines(chain: DataFrame, credits: DataFrame, key: str) -> DataFrame:
+    """Events whose last or last but one of a chain is unknown take the type that the credit line (key,
+    credit_line) names; adds ``inferred``."""
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sequence")))
+    out = chain.withColumn("_back", back).join(credits.select(key, credited(F.col("credit_line")).alias("_credit")), key, "left")
+    inferred = (F.col("transfer_type") == "unknown") & (F.col("_back") <= 2) & F.col("_credit").isNotNull()
+    out = out.withColumn("inferred", F.coalesce(inferred, F.lit(False)))
+    kind = F.when(F.col("inferred"), F.col("_credit")).otherwise(F.col("transfer_type"))
+    return out.withColumn("transfer_type", kind).withColumn("transfer_category", lookup(CATEGORY, F.col("transfer_type"))).drop("_back", "_credit")
+
+
+def split(chain: DataFrame, splits: DataFrame, key: str) -> DataFrame:
+    """Events replaced by parts: ``splits`` (key, content_hash, parts array of texts) names an event by the hash of
+    its raw text; chains are numbered anew, other columns of a part are its event's."""
+    named = splits.select(F.col(key).alias("_k"), F.col("content_hash").alias("_h"), F.col("parts").alias("_parts"))
+    out = chain.join(named, (F.col(key) == F.col("_k")) & (F.sha2("raw_text", 256) == F.col("_h")), "left")
+    out = out.select(*chain.columns, F.posexplode(F.coalesce("_parts", F.array("raw_text"))).alias("_i", "_text"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("sequence", "_i"))
+    return out.withColumns({"_n": number, "raw_text": F.col("_text")}).withColumn("sequence", F.col("_n")).drop("_i", "_text", "_n")

@@ -17,10 +17,11 @@ def collapsed(page: DataFrame, key: str, parent: str) -> DataFrame:
 
 
 def preview(rows: DataFrame, key: str, item: str, most: int) -> DataFrame:
-    """(key, total, preview): how many distinct items a key has, and the first few in order. Items are ranked
-    before they are gathered, so no long list is built."""
+    """(key, total, preview): how many distinct items a key has, and the first few in order. Tasks keep the first
+    few of each key before they are shuffled, so no long list is built or sorted."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(key)
-    ranked = rows.select(key, item).distinct().withColumn("_i", F.row_number().over(w.orderBy(item)))
-    return ranked.groupBy(key).agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.when(F.col("_i") <= most, F.col(item)))).alias("preview"))
+    own = rows.select(key, item).distinct()
+    first = own.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(item))).where(F.col("_i") <= most)
+    shown = first.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("preview"))
+    return own.groupBy(key).agg(F.count("*").alias("total")).join(shown, key)
