@@ -22,7 +22,7 @@ def test_ranges(text, wanted):
 
 def test_sorts_globs_keys_tokens():
     assert S.parse_sort("-height", {"height"}) == ("height", "desc") and S.parse_sort("height:desc", {"height"}) == ("height", "desc") and S.parse_sort("width", {"height"}) is None
-    assert S.glob_pattern("SK-A-*") == r"^SK\-A\-.*$"
+    assert S.glob_pattern("AB-C-*") == r"^AB\-C\-.*$"
     with pytest.raises(ValueError):
         S.glob_pattern("*a")
     assert S.cache_key({"b": 1, "a": [1], "c": None}) == "a=[1]&b=1"
@@ -63,12 +63,12 @@ def test_word_forms_and_boolean_queries(spark):
 
 
 CHAINS = [
-    ("sale Jacob van Hoek (1670-1718), Amsterdam, 12 April 1719, no. 20, fl. 126, to Isaac Rooleeuw", dict(transfer_type="sale", date_year=1719, location="Amsterdam", price_amount=126.0, price_currency="guilders")),
+    ("sale Willem Brandsma (1671-1720), Amsterdam, 3 May 1721, no. 14, fl. 126, to Hendrik Loos", dict(transfer_type="sale", date_year=1721, location="Amsterdam", price_amount=126.0, price_currency="guilders")),
     ("? by descent to his son, Jan (1700-1760), Delft, before 1750", dict(transfer_type="by_descent", date_year=1750, date_qualifier="before", uncertain=True)),
     ("donated by Anna Smit to the museum, 1908", dict(transfer_type="gift", date_year=1908)), ("war recuperation, SNK, 1945", dict(transfer_type="recuperation", date_year=1945)),
     ("transferred to the museum, 1960", dict(transfer_type="transfer", date_year=1960)), ("on loan from the City of Delft, since 1885", dict(transfer_type="loan", date_year=1885, date_qualifier="since")),
     ("purchased by Karel Pos, Paris, c. 1820, £ 1,250", dict(transfer_type="sale", date_year=1820, date_qualifier="circa", price_amount=1250.0, price_currency="pounds")), ("commissioned by the guild, 1642", dict(transfer_type="commission", date_year=1642)),
-    ("estate inventory, Clara de Valaer (1584-1660), Amsterdam, 16 October 1660", dict(transfer_type="inventory", date_year=1660)), ("Pieter van Ruijven (1624-1674), Delft", dict(transfer_type="unknown", date_year=None)),
+    ("estate inventory, Trijn Mulder (1590-1660), Amsterdam, 2 October 1660", dict(transfer_type="inventory", date_year=1660)), ("Dirk Vos (1620-1670), Delft", dict(transfer_type="unknown", date_year=None)),
     ("his widow, Maria Pos, 1790-1800", dict(transfer_type="widowhood", date_year=1795)), ("unsold, sale Hope, London, 1898", dict(transfer_type="sale", unsold=True)), ("bequeathed to the museum, 1900", dict(transfer_type="bequest", date_year=1900)),
 ]
 
@@ -78,7 +78,7 @@ def test_events_of_histories(spark):
     found = {r["id"]: r for r in rows}
     for i, (text, wanted) in enumerate(CHAINS):
         assert {k: found[i][k] for k in wanted} == wanted, text
-    assert [(p["name"], p["role"], p["position"]) for p in found[0]["parties"]] == [("Jacob van Hoek", "seller", "sender"), ("Isaac Rooleeuw", "buyer", "receiver")]
+    assert [(p["name"], p["role"], p["position"]) for p in found[0]["parties"]] == [("Willem Brandsma", "seller", "sender"), ("Hendrik Loos", "buyer", "receiver")]
 
 
 def test_segments_gaps_citations(spark):
@@ -96,10 +96,10 @@ def test_bounds(spark, expression, year, qualifier, wanted):
 
 
 def test_inscriptions(spark):
-    text = "signatuur en datum, rechtsonder, recto, geschilderd: ‘Rembrandt f 1642’ | collector's mark, verso, stamped: Lugt 2228a | opschrift, banderole, verso: ‘a &lt;b&gt; c’ | datum | opschrift, verso, potlood: ‘[...]’"
+    text = "signatuur en datum, rechtsonder, recto, geschilderd: ‘J. Vos f 1642’ | collector's mark, verso, stamped: Lugt 2228a | opschrift, banderole, verso: ‘a &lt;b&gt; c’ | datum | opschrift, verso, potlood: ‘[...]’"
     rows = inscriptions.segments(spark.createDataFrame([(1, text), (2, None)], "id int, t string"), "id", "t").orderBy("sequence").collect()
     assert [r["normalized_type"] for r in rows] == ["signature and date", "collector's mark", "inscription", "date", "inscription"]
-    assert (rows[0]["normalized_placement"], rows[0]["normalized_technique"], rows[0]["transcribed"]) == ("recto", "painted", ["Rembrandt f 1642"])
+    assert (rows[0]["normalized_placement"], rows[0]["normalized_technique"], rows[0]["transcribed"]) == ("recto", "painted", ["J. Vos f 1642"])
     assert rows[1]["is_collector_mark"] and rows[1]["collector_marks"][0]["number"] == "2228A"
     assert rows[2]["unknown_qualifiers"] == ["banderole"] and rows[2]["transcribed"] == ["a <b> c"] and rows[3]["is_placeholder"]
 
