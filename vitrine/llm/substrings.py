@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import cut, stored
+from vitrine.llm.shared import cut
 
 WINDOW, SEED = 35, 12
 HELD = 200_000  # different blocks that a task remembers
@@ -105,7 +105,8 @@ def anchors(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 def repeated(found: DataFrame) -> DataFrame:
     """(id, places): per document the blocks whose seed occurs more than once. Counts are summed before they
-    are shuffled, and each seed's one count joins its blocks, so a seed with many blocks can be split."""
+    are shuffled, and each seed's one count joins its blocks, so a seed with many blocks can be split. Blocks
+    are found twice, for the counts and for the join: that takes less than keeping them."""
     again = cut(found.groupBy("seed").count().where("count > 1").select("seed"))
     return found.join(again, "seed").groupBy("id").agg(F.collect_list("at").alias("places"))
 
@@ -210,7 +211,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, id_c
         raise ValueError("a block's windows must fit one mask")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     named = docs.where("id is not null")
-    opened = open_blocks(named, repeated(stored(anchors(named, window, seed), "anchors")), window, seed)
+    opened = open_blocks(named, repeated(anchors(named, window, seed)), window, seed)
     marks = duplicate_windows(opened).groupBy("id").agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask"))
 
     def each(batches) -> Iterator[pa.RecordBatch]:
