@@ -3,6 +3,7 @@
 import pytest
 
 from vitrine.catalogue import Catalogue, cleaned
+from vitrine.operators import provenance
 
 FIELDS = ["type", "material", "creator", "production_role", "subject", "spatial", "collection_set", "theme", "attribution_qualifier"]
 TERMS = [
@@ -32,13 +33,14 @@ def c(spark):
     make = spark.createDataFrame
     return Catalogue(
         field_lookup=make([(i + 1, n) for i, n in enumerate(FIELDS)], "id int, name string"),
-        vocabulary=make([(*t, None, None, None) for t in TERMS], "id string, type string, label_en string, label_nl string, vocab_int_id long, notation string, broader_id string, birth_year int, death_year int, gender string"),
-        artworks=make([(*a, a[2]) for a in ART], "object_number string, art_id long, title string, creator_label string, description_text string, inscription_text string, narrative_text string, height_cm double, width_cm double, date_earliest int, date_latest int, has_image int, title_all_text string"),
+        vocabulary=make([(*t, None, None, None, *((52.0, 4.36) if t[0] == "t-delft" else (52.2, 4.6) if t[0] == "t-holland" else (None, None)), t[0] == "t-holland") for t in TERMS], "id string, type string, label_en string, label_nl string, vocab_int_id long, notation string, broader_id string, birth_year int, death_year int, gender string, lat double, lon double, is_areal boolean"),
+        artworks=make([(*a, a[2], "Gift of the heirs Vos" if a[1] in (1, 5) else None) for a in ART], "object_number string, art_id long, title string, creator_label string, description_text string, inscription_text string, narrative_text string, height_cm double, width_cm double, date_earliest int, date_latest int, has_image int, title_all_text string, credit_line string"),
         mappings=make(EDGES, "artwork_id long, vocab_rowid long, field_id int"),
         production_role_pairs=make([(9, "t-master", "t-after", 1), (9, "t-photo", "t-by", 0)], "artwork_id long, creator_id string, role_id string, part_index int"),
         artwork_citations=make([(1, 2, "B", 7), (1, 1, "A", 7), (1, None, "C", 8), (2, 1, "D", 7)], "art_id long, seq int, citation_text string, publication_id long"),
         examinations=make([(1, 1, "X-ray", "1999-01-01")], "art_id long, seq int, report_type_en string, date_begin string"),
         modifications=make([(1, 1, "cleaned", "2005-02-01"), (1, 2, "framed", None)], "art_id long, seq int, description string, date_begin string"),
+        provenance_events=provenance.events(make([(1, "sale Dirk Vos, Delft, 1700, fl. 20; donated by Karel Pos, Paris, 1800"), (2, "on loan from Anna Smit, Delft, 1750; purchased by Karel Pos, London, 1801, £ 5")], "artwork_id long, t string"), "artwork_id", "t"),
         artwork_embeddings=make([(i, [float(i), 1.0]) for i in range(1, 10)], "art_id long, embedding array<float>"),
     )
 
@@ -109,3 +111,31 @@ def test_details_people_sets_records(c):
     assert [(r["citation_text"], r["total"]) for r in c.bibliography("A-1").collect()] == [("A", 3), ("B", 3), ("C", 3)]
     assert found(c.citing(7)) == ["A-1", "A-2"]
     assert [r["what"] for r in c.conservation("A-1").collect()] == ["cleaned", "X-ray", "framed"]
+
+
+def test_near_places(c):
+    assert found(c.search({"nearLat": 52.01, "nearLon": 4.35, "nearPlaceRadius": 10})) == ["A-5"] and found(c.search({"nearPlace": "Delft, Holland"})) == ["A-5"]
+    assert found(c.search({"nearLat": 10.0, "nearLon": 4.35})) == []
+    assert c.located("Delft harbour at night")["label"] == "Delft" and c.located("Nowhere") is None
+    row = c.search_near({"nearLat": 52.01, "nearLon": 4.35}).first()
+    assert (row["object_number"], row["nearest_place"]) == ("A-5", "Delft") and 1 < row["distance_km"] < 2
+    with pytest.raises(ValueError):
+        c.search({"nearPlace": "Nowhere"})
+
+
+def test_histories_and_inscriptions(c):
+    from pyspark.sql import functions as F
+
+    from vitrine.functions import scalar as S
+
+    flags = [(r["artwork_id"], r["sequence"], r["matched"]) for r in c.histories({"transferType": "sale", "location": "delft"}).collect()]
+    assert flags == [(1, 1, True), (1, 2, False)]
+    assert {r["artwork_id"] for r in c.histories({"party": "karel"}, without={"transferType": ["loan"]}).collect()} == {1}
+    assert {r["artwork_id"] for r in c.histories({"between": (1790, 1810), "hasPrice": True}).collect()} == {2}
+    assert {(r["dim"], r["label"]): r["n"] for r in c.history_facets({"transferType": "sale"}).collect()}["location", "Delft"] == 1
+    assert [tuple(r) for r in c.event_stats(F.col("location"), {"transferType": ["sale", "loan"]}).collect()] == [("Delft", 2, 100.0), ("London", 1, 50.0)]
+    assert [r["label"] for r in c.stats_by(S.floor_century(F.col("date_earliest")), {"type": "painting"}).collect()] == [1600]
+    assert [(r["art_id"], r["n_matched"]) for r in c.inscribed(types=["signature"], placements=["recto"]).collect()] == [(1, 1)]
+    assert found(c.credit_lines("heirs gift")) == ["A-5"]
+    with pytest.raises(ValueError):
+        c.histories({"colour": "red"})

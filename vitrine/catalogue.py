@@ -29,10 +29,10 @@ TEXTS = {"title": "title_all_text", "description": "description_text", "inscript
 SORTS = {"height": "height_cm", "width": "width_cm", "dateEarliest": "date_earliest", "dateLatest": "date_latest", "recordModified": "record_modified"}
 PRESENCE = {"hasProvenance": "provenance_events", "hasExhibitions": "artwork_exhibitions", "hasExternalIds": "artwork_external_ids", "hasExaminations": "examinations", "hasModifications": "modifications", "hasParent": "artwork_parent"}
 FILLED = {"hasInscription": "inscription_text", "hasNarrative": "narrative_text"}
-OTHER = {"creationDate", "dateMatch", "minHeight", "maxHeight", "minWidth", "maxWidth", "objectNumber", "imageAvailable", "expandPlaceHierarchy", "sameRowMatching", "textQuery", "hasDimensions"}
+OTHER = {"creationDate", "dateMatch", "minHeight", "maxHeight", "minWidth", "maxWidth", "objectNumber", "imageAvailable", "expandPlaceHierarchy", "sameRowMatching", "textQuery", "hasDimensions", "nearPlace", "nearLat", "nearLon", "nearPlaceRadius"}
 PAGING = {"sortBy", "sortOrder", "maxResults", "offset"}
 #: Filters that only narrow others.
-MODIFIERS = {"imageAvailable", "expandPlaceHierarchy", "sameRowMatching", "dateMatch"}
+MODIFIERS = {"imageAvailable", "expandPlaceHierarchy", "sameRowMatching", "dateMatch", "nearPlaceRadius"}
 
 
 def cleaned(params: dict) -> dict:
@@ -133,6 +133,8 @@ class Catalogue:
         if "hasDimensions" in p:
             some = F.coalesce(c("height_cm"), c("width_cm")).isNotNull()
             out = out.where(some if p["hasDimensions"] else ~some)
+        if at := self.point(p):
+            out = out.join(self.near(at, p.get("nearPlaceRadius", 25)), "art_id", "left_semi")
         for name in (n for n in p if n in PRESENCE):
             out = filters.presence(out, self.tables[PRESENCE[name]], "art_id", "art_id" if "art_id" in self.tables[PRESENCE[name]].columns else "artwork_id", p[name])
         for name in (n for n in p if n in FILLED):
@@ -140,6 +142,47 @@ class Catalogue:
             out = out.where(some if p[name] else ~some)
         return out
 
+    def point(self, p: dict) -> tuple[float, float] | None:
+        """The coordinates that a query names, by number or by place; none named: None."""
+        if "nearLat" in p and "nearLon" in p:
+            return float(p["nearLat"]), float(p["nearLon"])
+        if "nearPlace" not in p:
+            return None
+        if (found := self.located(p["nearPlace"])) is None:
+            raise ValueError(f"no place with coordinates is called {p['nearPlace']!r}")
+        return found["lat"], found["lon"]
+
+    def located(self, name: str):
+        """The place (id, label, lat, lon) that a name means: of those whose label has the phrase the one with the
+        shortest label; without any, the name is tried without its last part, at commas first. None: None."""
+        places = self.vocabulary.where("type = 'place' and lat is not null and lon is not null").select("id", F.explode(F.array("label_en", "label_nl")).alias("label"), "lat", "lon").where("label <> ''")
+        pad, tried = T.padded(T.tokens(F.col("label"))), name.split(",")[0].split()
+        for phrase in dict.fromkeys([name, *(" ".join(tried[:n]) for n in range(len(tried), 0, -1))]):
+            found = places.where(T.has_phrase(pad, phrase)).orderBy(F.length("label"), "label", "id").limit(1).collect()
+            if found:
+                return found[0]
+        return None
+
+    def near(self, at: tuple[float, float], km: float = 25.0) -> DataFrame:
+        """(art_id, place, km): artworks that show or name a place within a radius, with the nearest; areas are no
+        places to be near to."""
+        places = self.vocabulary.where("type = 'place'")
+        if "is_areal" in places.columns:
+            places = places.where(~F.coalesce(F.col("is_areal"), F.lit(False)))
+        close = filters.near_point(places, "lat", "lon", at, km).select(F.col("vocab_int_id").alias("vocab_rowid"), F.coalesce(F.nullif("label_en", F.lit("")), "label_nl").alias("place"), "km")
+        linked = self.edges("subject", "spatial").join(close, "vocab_rowid")
+        return linked.groupBy(F.col("artwork_id").alias("art_id")).agg(F.min(F.struct("km", "place")).alias("_m")).select("art_id", "_m.place", "_m.km")
+
+    def search_near(self, params: dict, slice_size: int = 2000) -> DataFrame:
+        """Matches near a place, nearest first, among the most important ten pages (``slice_size`` at least), with
+        the nearest place and its distance."""
+        p = cleaned(params)
+        most, offset = min(100, int(p.get("maxResults", 25))), int(p.get("offset", 0))
+        out = self.matching(p).join(self.near(self.point(p), p.get("nearPlaceRadius", 25)), "art_id")
+        order = [F.col("importance").desc_nulls_last()] if "importance" in out.columns else []
+        first = out.orderBy(*order, "art_id").limit(max(10 * (most + offset), slice_size))
+        return first.orderBy("km", "art_id").offset(offset).limit(most).select("object_number", "title", F.col("place").alias("nearest_place"), F.round("km", 1).alias("distance_km"))
+
     def _on_one_row(self, out: DataFrame, pairs: DataFrame, creators, other: str, others, column: str) -> DataFrame:
         """Artworks with one pair row that has both the creator and the role or qualifier."""
         named = self.vocabulary.select("id", F.col("vocab_int_id").alias("vocab_rowid"))
@@ -183,6 +226,46 @@ class Catalogue:
         out = counted.crossJoin(F.broadcast(total)).select("label", "n", F.round(100 * F.col("n") / F.col("_total"), 1).alias("pct"))
         return out.orderBy(F.desc("n"), "label").offset(offset).limit(min(500, top))
 
+    def stats_by(self, bucket: Column, params: dict | None = None) -> DataFrame:
+        """(label, n, pct) of a column expression over artworks (a century, a bin of sizes), in order of the label."""
+        pool = self.matching(params) if params else self.artworks
+        return aggregates.dimension(pool, bucket, "art_id", None).orderBy("label")
+
+    def event_stats(self, bucket: Column, facets: dict | None = None, params: dict | None = None) -> DataFrame:
+        """(label, n, pct): artworks by a column of their ownership events, counted over the events that meet the
+        facets themselves, so the filter and the bucket stand on one row."""
+        rows = self.provenance_events.where(condition(**(facets or {})))
+        if params:
+            rows = rows.join(self.matching(params).select(F.col("art_id").alias("artwork_id")), "artwork_id", "left_semi")
+        return aggregates.dimension(rows, bucket, "artwork_id").orderBy(F.desc("n"), "label")
+
+    def histories(self, facets: dict, without: dict | None = None) -> DataFrame:
+        """Whole ownership chains of artworks with an event that meets all facets, events flagged ``matched``;
+        optionally without those that have an event which meets ``without``."""
+        from vitrine.operators.provenance import chains
+
+        return chains(self.provenance_events, "artwork_id", condition(**facets), condition(**without) if without else None).orderBy("artwork_id", "sequence")
+
+    def history_facets(self, facets: dict, top: int = 20) -> DataFrame:
+        """(dim, label, n, pct) of the matching events: type, category, location, currency, decade."""
+        c = F.col
+        dims = {"transferType": c("transfer_type"), "transferCategory": c("transfer_category"), "location": c("location"), "currency": c("price_currency"), "decade": S.binned(c("date_year"), 10).cast("int").cast("string")}
+        return aggregates.facets(self.provenance_events.where(condition(**facets)), dims, top)
+
+    def inscribed(self, exclude_mark_only: bool = False, **facets) -> DataFrame:
+        """(art_id, n_matched, matched): artworks with an inscription that meets all facets at once."""
+        from vitrine.operators import inscriptions
+
+        found = inscriptions.segments(self.artworks, "art_id", "inscription_text")
+        return inscriptions.search(found, "art_id", inscriptions.facets(**facets), exclude_mark_only).orderBy("art_id")
+
+    def credit_lines(self, words: str) -> DataFrame:
+        """Artworks without ownership events whose credit line has all the words."""
+        pad = T.padded(T.tokens(F.col("credit_line")))
+        hit = reduce(Column.__and__, [T.has_phrase(pad, w) for w in T.words_of(words)])
+        events = self.provenance_events.select(F.col("artwork_id").alias("art_id"))
+        return self.artworks.where(hit).join(events, "art_id", "left_anti").select("object_number", "title", "credit_line").orderBy("object_number")
+
     def coverage(self, field: str, params: dict | None = None) -> DataFrame:
         pool = (self.matching(params) if params else self.artworks).select("art_id")
         return aggregates.coverage(pool, self.labelled(field), F.col("label"), "art_id", "art_id")
