@@ -73,3 +73,18 @@ def test_paths_of_json(spark):
     rows = {(r["path"], r["type"]): (r["n"], r["docs"], r["coverage"]) for r in path_profile(docs, "id", "j").collect()}
     assert rows == {("a", "number"): (1, 1, 0.25), ("a", "null"): (1, 1, 0.25), ("b", "array"): (1, 1, 0.25), ("b[].c", "string"): (2, 1, 0.25)}
     assert ("b[].c", "x", 1) in {tuple(r) for r in top_values(docs, "id", "j").collect()}
+
+
+def test_days_marks_and_centroids(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "log")
+    spark.createDataFrame([(i, 2024, 1 + i // 20, 1 + i % 20) for i in range(40)], "i int, year int, month int, day int").write.partitionBy("year", "month", "day").parquet(path)
+    rows = feeds.days(spark, path, "2024-01-19", "2024-02-03")
+    assert sorted(r["i"] for r in rows.collect()) == [18, 19, 20, 21]
+    assert "PartitionFilters: [isnotnull" in rows._jdf.queryExecution().executedPlan().toString()
+    stamps = spark.sql("select timestamp '2024-01-01 00:00:00' as ts union all select timestamp '2024-01-02 00:00:00'")
+    assert feeds.since(stamps, "ts", "2024-01-01 00:00:00").count() == 1 and feeds.since(stamps, "ts", None).count() == 2
+    shapes = ['{"type":"Point","coordinates":[1,2]}', '{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,2],[0,2]]]}', '{"type":"MultiPolygon","coordinates":[[[[0,0],[4,0]]],[[[9,9]]]]}', "no", None]
+    found = [r["c"] and tuple(r["c"]) for r in spark.createDataFrame([(i, g) for i, g in enumerate(shapes)], "i int, g string").orderBy("i").select(feeds.centroid(F.col("g")).alias("c")).collect()]
+    assert found == [(1.0, 2.0), (1.0, 1.0), (2.0, 0.0), None, None]

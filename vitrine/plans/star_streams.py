@@ -59,3 +59,13 @@ def stream_dedup_latest(t):
     E.applied(stream(t).select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"], log, progress)
     rows = E.current(t.spark, log, "user_id", ["ts", "event_id"])
     return plain(rows.where("event_type <> 'error'").select("user_id", "event_id", "event_type", "ts"))
+
+
+EDGES = [10.0, 50.0, 100.0, 500.0]
+
+
+@query(f"""select time_bucket(interval 1 day, ts) as window_start, time_bucket(interval 1 day, ts) + interval 1 day as window_end, event_type, case when value <= 10 then 10.0 when value <= 50 then 50.0 when value <= 100 then 100.0 else 500.0 end::double as bucket, count(*) as n
+  from events where value is not null group by 1, 2, 3, 4 having time_bucket(interval 1 day, ts) + interval 1 day <= {PASSED}""")
+def stream_latencies(t):
+    """Daily histograms of values by type."""
+    return plain(E.finished(E.latencies(stream(t), "ts", "event_type", "value", EDGES), "latencies"))

@@ -133,3 +133,25 @@ def size_guarded(rows: DataFrame, compact: list[str], most_bytes: int) -> DataFr
     rest = [c for c in rows.columns if c not in compact]
     out = rows.crossJoin(total)
     return out.select(*compact, *(F.when(F.col("_size") <= most_bytes, F.col(c)).alias(c) for c in rest))
+
+
+def days(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Rows of a change log that is laid out as year=/month=/day= folders, from a day up to but not including
+    another: the bounds are on the partition columns, so other folders aren't listed as input."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    day = F.make_date(F.col("year").cast("int"), F.col("month").cast("int"), F.col("day").cast("int"))
+    return rows.where((day >= F.lit(start).cast("date")) & (day < F.lit(end).cast("date")))
+
+
+def since(rows: DataFrame, ts: str, mark) -> DataFrame:
+    """Rows after a high-water mark; None: all."""
+    return rows if mark is None else rows.where(F.col(ts) > F.lit(mark).cast("timestamp"))
+
+
+def centroid(geojson: Column) -> Column:
+    """struct(lon, lat) of a GeoJSON geometry: a point itself, else the mean of the outer ring (of the first polygon)."""
+    kind = F.get_json_object(geojson, "$.type")
+    ring = F.coalesce(F.when(kind == "Polygon", F.get_json_object(geojson, "$.coordinates[0]")), F.when(kind == "MultiPolygon", F.get_json_object(geojson, "$.coordinates[0][0]")), F.when(kind.isin("LineString", "MultiPoint"), F.get_json_object(geojson, "$.coordinates")), F.when(kind == "Point", F.concat(F.lit("["), F.get_json_object(geojson, "$.coordinates"), F.lit("]"))))
+    spots = F.from_json(ring, "array<array<double>>")
+    mean = lambda i: F.aggregate(spots, F.lit(0.0), lambda s, p: s + p[i]) / F.size(spots)
+    return F.when(F.size(spots) > 0, F.struct(mean(0).alias("lon"), mean(1).alias("lat")))

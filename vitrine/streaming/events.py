@@ -29,6 +29,14 @@ def windowed(stream: DataFrame, ts: str, keys: list[str], measures: dict[str, Co
     return out.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, *measures)
 
 
+def latencies(stream: DataFrame, ts: str, key: str, value: str, edges: list[float], size: str = "1 day", delay: str = "10 minutes") -> DataFrame:
+    """Counts by window, key and bucket of a measure (the least edge that is not below it; the last takes the
+    rest): a running histogram whose percentiles are read off later, with state bounded by the buckets."""
+    bucket = F.coalesce(*(F.when(F.col(value) <= e, F.lit(float(e))) for e in edges), F.lit(float(edges[-1])))
+    rows = stream.where(F.col(value).isNotNull()).withColumn("bucket", bucket)
+    return windowed(rows, ts, [key, "bucket"], {"n": F.count("*")}, size, delay=delay)
+
+
 def sessions(stream: DataFrame, ts: str, key: str, measures: dict[str, Column], gap: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
     """Measures by key and session; a session ends when nothing came for ``gap``."""
     out = stream.withWatermark(ts, delay).groupBy(F.session_window(ts, gap).alias("window"), key).agg(*(m.alias(n) for n, m in measures.items()))
