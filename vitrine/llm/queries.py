@@ -87,6 +87,34 @@ ANN_SQL = """
     select query_id, row_number() over (partition by query_id order by score desc, vec_id)::integer as rank, vec_id, score from s
     qualify row_number() over (partition by query_id order by score desc, vec_id) <= 20"""
 
+#: Words of windows of 35 that start anywhere else too, by a digest of every window.
+REPEATS_SQL = r"""
+    with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+      h as (select doc_id, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) as h, unnest(range(1, len(w) - 33)) as i from w where len(w) >= 35),
+      d as (select doc_id, i from h where h in (select h from h group by h having count(*) > 1)),
+      gone as (select distinct doc_id, unnest(range(i, i + 35)) as i from d),
+      e as (select doc_id, unnest(w) as x, generate_subscripts(w, 1) as i from w),
+      k as (select e.doc_id, string_agg(x, ' ' order by e.i) filter (where g.i is null) as kept, count(*) filter (where g.i is not null) as n_removed from e left join gone g on g.doc_id = e.doc_id and g.i = e.i group by 1)
+    select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)"""
+
+#: Rank profiles and out-of-place distances; the checksum that deals documents out is worked bit by bit. It holds
+#: while no more rows are labelled than a fit samples, and no text is longer than a block.
+LANGUAGE_SQL = f"""
+    with d as (select doc_id, lang, text is not null as has_text, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) as t,
+        xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+          lambda a, x: list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda b, y: xor(b >> 1, case when b & 1 = 1 then 3988292384 else 0 end + 0 * y))), 4294967295) % 4 as fold from documents),
+      m as (select doc_id, ' ' || t || ' ' as m from d where t <> ''),
+      c as (select doc_id, m, unnest(range(1, length(m) + 1)) as i from m),
+      g as (select doc_id, unnest([case when substr(m, i, 1) <> ' ' then substr(m, i, 1) end, case when i < length(m) then substr(m, i, 2) end, case when i < length(m) - 1 and substr(m, i + 1, 1) <> ' ' then substr(m, i, 3) end]) as g from c),
+      n as (select doc_id, g, count(*) as n from g where g is not null group by 1, 2),
+      r as (select doc_id, g, row_number() over (partition by doc_id order by n desc, length(g), g) - 1 as rank from n qualify rank < {langid.RANKS}),
+      l as (select lang, g, sum(n) as n from n join d using (doc_id) where fold <> 2 and lang is not null and has_text group by 1, 2),
+      p as (select lang, g, row_number() over (partition by lang order by n desc, length(g), g) - 1 as place from l qualify place < {langid.PROFILE}),
+      s as (select r.doc_id, k.lang, count(*) as grams, sum(case when p.place is null then {langid.PROFILE} else abs(p.place - r.rank) end) as far
+        from r cross join (select distinct lang from p) k left join p on p.lang = k.lang and p.g = r.g group by 1, 2),
+      b as (select doc_id, arg_min(lang, (far, lang)) as lang, min(far) as far, min(grams) as grams from s group by 1)
+    select d.doc_id, d.fold = 2 as held_out, coalesce(b.lang, 'und') as lang_pred, coalesce(1.0::double - b.far::double / ({langid.PROFILE} * b.grams)::double, 0.0::double) as score from d left join b using (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.oracle(), "op8_warc": WARC_SQL, "op10_ann": ANN_SQL}
+    return {"op1_decontamination": decontaminate.oracle(), "op4_substrings": REPEATS_SQL, "op5_langid": LANGUAGE_SQL, "op8_warc": WARC_SQL, "op10_ann": ANN_SQL}
