@@ -174,3 +174,16 @@ def test_reconciliation(spark):
     assert [tuple(r) for r in reconcile.suspicious_repeats(places, "label", "lat", "lon").collect()] == [(1.0, 2.0, 5, 5)]
     grouped = reconcile.clusters(make([(i, [float(i // 10 * 50 + i % 10), 1.0]) for i in range(30)], "id int, e array<double>"), "e", 3).collect()
     assert len({r["cluster"] for r in grouped}) == 3 and len({r["cluster"] for r in grouped if r["id"] < 10}) == 1
+
+
+def test_neighbourhoods_texts_and_shares(spark):
+    make = spark.createDataFrame
+    v = make([(i, [1.0, float(i)]) for i in range(8)] + [(9, None)], "id int, e array<double>")
+    near = {r["id"]: r["n_seeds"] for r in vector.neighbourhood(v, [1.0, 0.0], "id", "e", 2, 2).collect()}
+    assert near == {1: 1, 2: 2, 3: 1}  # angles 0, 45, 63, 72 degrees: 0 is near to 1 and 2, 1 to 2 and 3
+    row = make([("Mill", ["a", "b"], "", None)], "t string, s array<string>, d string, n string").select(vector.composite_text(["t", "s", "d", "n"]).alias("x"), vector.composite_text(["s", "t"], ["s"]).alias("y")).first()
+    assert tuple(row) == ("Mill. a, b", "Mill. a, b")
+    edges = make([(1, "x"), (2, "x"), (3, "x"), (1, "y")], "k int, t string")
+    assert [tuple(r) for r in vector.without_frequent(edges, "k", "t", 2).collect()] == [(1, ["y"])]
+    assert [tuple(r) for r in aggregates.shared_prefixes(make([(f"Album ({i})",) for i in range(3)] + [("Other (1)",)], "t string"), "t").collect()] == [("Album", 3)]
+    assert [tuple(r) for r in aggregates.covered(edges, "t", "k", F.col("k") > 1).orderBy("t").collect()] == [("x", 3, 2, 0.6667), ("y", 1, 0, 0.0)]

@@ -104,3 +104,15 @@ def pattern_inventory(rows: DataFrame, text: str, patterns: dict[str, str], exam
     counts = found.groupBy("pattern").agg(F.count("*").alias("n"))
     first = found.distinct().withColumn("i", F.row_number().over(Window.partitionBy("pattern").orderBy("t"))).where(F.col("i") <= examples)  # tasks keep their first few before the shuffle
     return counts.join(first.groupBy("pattern").agg(F.array_sort(F.collect_list("t")).alias("samples")), "pattern")
+
+
+def shared_prefixes(rows: DataFrame, text: str, mark: str = "(", least: int = 3) -> DataFrame:
+    """(prefix, n): what at least ``least`` texts have in common before a mark, as parts of one whole do."""
+    prefix = F.trim(F.substring_index(F.col(text), mark, 1))
+    return rows.where(F.col(text).contains(mark)).groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def covered(rows: DataFrame, group: str, entity: str, condition: Column) -> DataFrame:
+    """(group, n, n_covered, share): entities of each group, and those with a row on which the condition holds."""
+    out = rows.groupBy(group).agg(F.count_distinct(entity).alias("n"), F.count_distinct(F.when(condition, F.col(entity))).alias("n_covered"))
+    return out.withColumn("share", F.round(F.col("n_covered") / F.col("n"), 4))

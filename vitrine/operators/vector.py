@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,26 @@ def normalised(vec: Column) -> Column:
 def centroids(vectors: DataFrame, group: str, vec: str) -> DataFrame:
     """(group, i, mean): mean vectors, one row a component (from 0)."""
     return vectors.select(group, F.posexplode(vec).alias("i", "x")).groupBy(group, "i").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def neighbourhood(vectors: DataFrame, query: list[float], key: str, vec: str, seeds: int = 300, each: int = 20) -> DataFrame:
+    """(key, distance, n_seeds): the items near any of a query's nearest ``seeds`` items, with their least distance
+    to one and how many they are near to. The seeds are a stated, bounded set against all rows; tasks keep the
+    nearest few of each seed before anything is shuffled."""
+    first = knn(vectors, query, seeds, key, vec).select(F.col(key).alias("_s"))
+    own = vectors.join(first, F.col(key) == F.col("_s"), "left_semi").select(F.col(key).alias("_s"), F.col(vec).alias("_q"))
+    scored = vectors.where(F.col(vec).isNotNull()).crossJoin(F.broadcast(own)).where(F.col(key) != F.col("_s")).select("_s", key, (1 - cosine(F.col(vec), F.col("_q"))).alias("distance"))
+    near = scored.withColumn("_i", F.row_number().over(Window.partitionBy("_s").orderBy("distance", key))).where(F.col("_i") <= each)
+    return near.groupBy(key).agg(F.min("distance").alias("distance"), F.count("*").alias("n_seeds"))
+
+
+def composite_text(parts: list[str], last: list[str] = ()) -> Column:
+    """The text to embed: columns in order, arrays joined by commas, empty ones left out; ``last`` go to the end."""
+    ordered = [c for c in parts if c not in last] + list(last)
+    return F.concat_ws(". ", *(F.nullif(F.trim(F.concat_ws(", ", F.col(c))), F.lit("")) for c in ordered))
+
+
+def without_frequent(rows: DataFrame, key: str, term: str, most: int) -> DataFrame:
+    """(key, terms): each entity's terms that at most ``most`` entities have, in order."""
+    common = rows.groupBy(term).agg(F.count_distinct(key).alias("_df")).where(F.col("_df") > most).select(term)
+    return rows.join(common, term, "left_anti").groupBy(key).agg(F.array_sort(F.collect_set(term)).alias("terms"))
