@@ -31,7 +31,7 @@ from vitrine.llm.shared import components, cut, spare, stored
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
-TRIPLES, REACH, SHORT = 160, 30, 40  # of similar(): indexed triples, bits of a candidate pair, lists that are compared pair by pair
+TRIPLES, REACH, SHORT = 144, 30, 40  # of similar(): indexed triples, bits of a candidate pair, lists that are compared pair by pair
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -242,9 +242,17 @@ def near_pairs(first: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b): pairs of classes (columns first, hi, lo) that share an indexed triple of positional bytes and
     differ in at most ``REACH`` bits, as spanning links where lists are long."""
-    byte = [F.shiftrightunsigned("hi" if p < 8 else "lo", 8 * (p % 8)).bitwiseAND(255) for p in range(16)]
-    keys = [F.lit(n << 24).cast("long") + F.shiftleft(byte[x], 16) + F.shiftleft(byte[y], 8) + byte[z] for n, (x, y, z) in enumerate(triples())]
-    entries = classes.select("first", "hi", "lo", F.explode(F.array(*keys)).alias("key"))
+    chosen = np.array(triples())
+
+    def listed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                first, hi, lo = (batch.column(n).to_numpy()[at : at + 1024] for n in range(3))
+                byte = np.stack([hi, lo], 1).view(np.uint8).reshape(-1, 16).astype(np.int64)
+                key = np.arange(len(chosen)) << 24 | byte[:, chosen[:, 0]] << 16 | byte[:, chosen[:, 1]] << 8 | byte[:, chosen[:, 2]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(x, len(chosen))) for x in (first, hi, lo))], names=["key", "first", "hi", "lo"])
+
+    entries = classes.select("first", "hi", "lo").mapInArrow(listed, "key long, first long, hi long, lo long")
     full = entries.groupBy("key").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("first"), blocks).cast("int")
