@@ -31,7 +31,7 @@ from vitrine.llm.shared import components, cut, spare, stored
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
-TRIPLES, REACH, SHORT = 144, 30, 40  # of similar(): indexed triples, bits of a candidate pair, lists that are compared pair by pair
+TRIPLES, REACH, SHORT = 144, 30, 8  # of similar(): indexed triples, bits of a candidate pair, lists that are compared pair by pair
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -224,7 +224,7 @@ def near_pairs(first: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarra
         return first[i[near]], first[j[near]]
     bits = np.unpackbits(fp.view(np.uint8), axis=1)
     far = (bits ^ (2 * bits.sum(0, dtype=np.int64) > len(bits)).astype(np.uint8)).sum(1)
-    left, a, b = np.argsort(far, kind="stable"), [], []
+    left, a, b = np.lexsort((first, far)), [], []  # the same order in every list, so links repeat and fold
     wait: list[int] = []
     while len(left):
         if wait:
