@@ -1,8 +1,8 @@
 """Token files in training order: a keyed permutation gives every sequence its slot.
 
 The documents of each input partition form one stream of ids, each document closed by its id, and the
-stream is cut into sequences of fixed length. A first pass counts the sequences of each partition (one
-number each), which numbers all sequences without moving them. A Feistel network over the smallest even
+stream is cut into sequences of fixed length, which are kept while they are counted (one number a partition)
+and numbered: texts are tokenised once, unless an executor is lost, and numbering moves nothing. A Feistel network over the smallest even
 power of two that holds them all, keyed and walked along its cycle until the value is below their number,
 permutes the numbers: slots need no sort key, no table and no collisions check. Slots fall into shards of
 equal size; each shard is one partition, sorted by slot and written as a file in which slot ``s`` stands at
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,7 +76,7 @@ def write(docs: DataFrame, key: str = "epoch-0", length: int = LENGTH, shard_byt
     """Writes all documents and returns the manifest: one row per shard (shard, path, first_slot, sequences, stride).
 
     ``docs`` has to come in the same partitions and order each time it is computed, as tables read from
-    files do; a partition that comes with other counts is an error. Null or empty texts are their closing
+    files do; a partition that comes with more sequences than before is an error, and so is a shard with a gap. Null or empty texts are their closing
     id alone; an empty table gives no shard. Ids are little-endian unsigned 16-bit, so the vocabulary has
     to stay below 65,536. A shard is written under a name of its own attempt and then moved, so a lost or
     repeated task leaves no half a shard. Only the text column is read; ids and other columns may be null
@@ -85,11 +85,21 @@ def write(docs: DataFrame, key: str = "epoch-0", length: int = LENGTH, shard_byt
     spark, path = docs.sparkSession, tokenizer or default_path()
     texts = docs.select(F.col(text_col).cast("string"))
 
-    def count(batches) -> Iterator[pa.RecordBatch]:
-        n = sum(len(ids_of(text, path)) for batch in batches for text in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([-(-n // length)])], names=["part", "n"])
+    def sequences(batches) -> Iterator[pa.RecordBatch]:
+        part, at, rows = TaskContext.get().partitionId(), 0, []
+        for ids in stream(batches, path, length):
+            rows.append(ids.astype("<u2").tobytes())
+            if len(rows) == 1024:
+                yield numbered_from(part, at, rows)
+                at, rows = at + len(rows), []
+        if rows:
+            yield numbered_from(part, at, rows)
 
-    counted = dict(sorted((r["part"], r["n"]) for r in texts.mapInArrow(count, "part long, n long").collect()))  # one row per input partition
+    def numbered_from(part: int, at: int, rows: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()), pa.array(range(at, at + len(rows)), pa.int64()), pa.array(rows, pa.binary())], names=["part", "at", "ids"])
+
+    made = texts.mapInArrow(sequences, "part int, at long, ids binary").persist(StorageLevel.MEMORY_AND_DISK)
+    counted = dict(sorted((r["part"], r["n"]) for r in made.groupBy("part").agg(F.count("*").alias("n")).collect()))  # one row per input partition
     firsts = dict(zip(counted, np.cumsum([0, *counted.values()]).tolist(), strict=False))
     total = sum(counted.values())
     stride = HEADER + 2 * length
@@ -98,23 +108,15 @@ def write(docs: DataFrame, key: str = "epoch-0", length: int = LENGTH, shard_byt
     order = Permutation(total, key)
 
     def numbered(batches) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        number, end, rows = firsts[part], firsts[part] + counted[part], []
-
-        def out():
-            slots = order.slots(np.array([r[0] for r in rows], np.int64))
-            return pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "slot", "number", "ids"])
-
-        for ids in stream(batches, path, length):
-            rows.append((number, ids.astype("<u2").tobytes()))
-            number += 1
-            if len(rows) == 1024:
-                yield out()
-                rows = []
-        if number != end:
-            raise ValueError(f"partition {part} came with {number - firsts[part]} sequences after {counted[part]} were counted")
-        if rows:
-            yield out()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if any(n >= counted[p] for p, n in zip(part.tolist(), at.tolist(), strict=True)):
+                raise ValueError("a partition came with more sequences than were counted")
+            number = np.array([firsts[p] for p in part.tolist()], np.int64) + at
+            slots = order.slots(number)
+            yield pa.RecordBatch.from_arrays([pa.array((slots // per_shard).astype(np.int32)), pa.array(slots), pa.array(number), batch.column(2)], names=["shard", "slot", "number", "ids"])
 
     folder = to or fresh_dir(spark, "tokens")
 
@@ -146,9 +148,11 @@ def write(docs: DataFrame, key: str = "epoch-0", length: int = LENGTH, shard_byt
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names=["shard", "path", "first_slot", "sequences", "stride"])
 
-    rows = texts.mapInArrow(numbered, "shard int, slot long, number long, ids binary")
+    rows = made.mapInArrow(numbered, "shard int, slot long, number long, ids binary")
     dealt = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    return cut(dealt.mapInArrow(written, "shard int, path string, first_slot long, sequences long, stride int"))
+    manifest = cut(dealt.mapInArrow(written, "shard int, path string, first_slot long, sequences long, stride int"))
+    made.unpersist()
+    return manifest
 
 
 def read(spark: SparkSession, manifest: DataFrame, from_slot: int = 0) -> DataFrame:
