@@ -172,3 +172,18 @@ def test_word_blocks_split_long_texts_at_white_space(monkeypatch):
     text = b"alder birch cedar drift\tember\x0bfjord grove"
     assert [w for block in simhash.word_blocks(text) for w in block] == text.split()
     assert simhash.fingerprint(text, 4) % (1 << 64) == brute_fingerprint(text.decode(), 4)
+
+
+def test_no_pair_just_above_the_similarity_is_missed(spark):
+    rng = random.Random(14)
+    texts = []
+    for _ in range(150):
+        words = prose(rng, 304).split()
+        other = words[:]
+        for at in rng.sample(range(10, 290, 6), 6):  # 300 shingles, 30 of them other ones: 270 of 330 shared
+            other[at] = f"other{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    want = brute_similar(dict(enumerate(texts)), 5, 0.8)
+    assert found == want and sum(r != i for i, r in want.items()) == 150

@@ -9,10 +9,11 @@ list the shared positional bytes of a pair are tallied, pairs below the guarante
 the rest is verified by its bits. Lists give spanning links, not all pairs, and long lists are dealt out as
 pairs of blocks.
 
-For a similarity of shingle sets rather than a distance of fingerprints (``similar``), fingerprints have 128
-bits: texts with a Jaccard similarity of 0.8 differ in about 19 of them, more than any guarantee over bytes
-reaches, so ``TRIPLES`` of the 560 triples of positional bytes are indexed, pairs within ``REACH`` bits are
-candidates, and shingle sets decide. What it finds is measured in the tests.
+For a similarity of shingle sets rather than a distance of fingerprints (``similar``) no guarantee over bytes
+reaches far enough, so that index is of shingles: in one order of all shingles, rarest first, each set goes under
+its first ones only, as many as a set may lack and still be similar, and one more. Two similar sets share one of
+them, so every similar pair is a candidate, and shingle sets decide. How rare a shingle is comes from hashed
+counts over all sets; they only set the order, which costs time where it is poor, never a pair.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ from vitrine.llm.shared import components, cut, spare, stored
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
-TRIPLES, REACH, SHORT = 144, 30, 8  # of similar(): indexed triples, bits of a candidate pair, lists that are compared pair by pair
+REACH, SHORT = 15, 8  # of similar(): bits between linked texts of a long list, lists that are compared pair by pair
+SLOTS, RANGES = 1 << 22, 256  # hashed counts of shingles, and the pieces in which they are added up
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -195,122 +197,175 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(b" ".join(kept), 42)] if words else [], np.uint64)
 
 
-def wide_fingerprint(hashes: np.ndarray) -> tuple[int, int]:
-    """SimHash of 128 bits over a set of shingles, as two signed integers; no shingle: zeros."""
-    if not len(hashes):
-        return 0, 0
-    other = (hashes ^ (hashes >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    other = (other ^ (other >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    rows = np.stack([hashes, other ^ (other >> np.uint64(31))], 1).view(np.uint8).reshape(-1, 16)
-    count = np.zeros(128, np.int64)
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of 64 bits over a set of shingles, as a signed integer; no shingle: 0."""
+    rows, count = hashes.view(np.uint8).reshape(-1, 8), np.zeros(64, np.int64)
     for at in range(0, len(rows), 255):  # sums of up to 255 bits fit a byte
         count += np.add.reduce(np.unpackbits(rows[at : at + 255], axis=1, bitorder="little"), axis=0, dtype=np.uint8)
-    hi, lo = np.packbits(2 * count > len(rows), bitorder="little").view(np.int64)
-    return int(hi), int(lo)
+    return int(np.packbits(2 * count > len(rows), bitorder="little").view(np.int64)[0])
 
 
-def triples(n: int = TRIPLES) -> list[tuple[int, int, int]]:
-    """A fixed choice of triples of the 16 byte positions, each position about equally often."""
-    every = list(combinations(range(16), 3))
-    return [every[i] for i in np.random.default_rng(16).permutation(len(every))[:n]]
+def slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
 
 
-def near_pairs(first: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one list: all within ``REACH`` bits of a short one; of a long one spanning links,
-    walked from those nearest to the list's centre, which stands for what copies have in common."""
-    if len(first) <= SHORT:
-        i, j = np.triu_indices(len(first), 1)
-        near = np.bitwise_count(fp[i] ^ fp[j]).sum(1) <= REACH
-        return first[i[near]], first[j[near]]
-    bits = np.unpackbits(fp.view(np.uint8), axis=1)
+def levels(sets: DataFrame) -> np.ndarray:
+    """How common the shingles of each slot are in all sets (column s), eight steps to a doubling; 0: at most one."""
+
+    def counted(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                total += np.bincount(slots(np.frombuffer(b"".join(batch.column(0)[at : at + 1000].to_pylist()), np.uint64)), minlength=SLOTS)
+        made = [x.tobytes() for x in np.minimum(total, 255).astype(np.uint8).reshape(RANGES, -1)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(made, pa.binary())], names=["range", "n"])
+
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total[at] = total.get(at, 0) + np.frombuffer(raw.as_py(), np.uint8).astype(np.int64)
+        made = [np.minimum(8 * np.log2(np.maximum(x, 1)), 255).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(made, pa.binary())], names=["range", "n"])
+
+    schema = "range int, n binary"
+    out = np.zeros((RANGES, SLOTS // RANGES), np.uint8)
+    for row in sets.select("s").mapInArrow(counted, schema).repartition("range").mapInArrow(added, schema).collect():
+        out[row["range"]] = np.frombuffer(row["n"], np.uint8)
+    return out.ravel()
+
+
+def prefix(s: np.ndarray, level: np.ndarray, similarity: float) -> np.ndarray:
+    """The places in a sorted set of its rarest shingles, one of which every similar set has among its own."""
+    many = len(s) - int(np.ceil(similarity * len(s) - 1e-9)) + 1
+    return np.argsort(level[slots(s)], kind="stable")[:many]
+
+
+def may_be_alike(n: np.ndarray, room: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of a list can be similar if its shingle is the first that they share: sizes are ``n``, and
+    ``room`` shingles of a set are left from it on."""
+    return np.minimum(room[i], room[j]) >= similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+
+
+def near_pairs(node: np.ndarray, fp: np.ndarray, n: np.ndarray, room: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of one list: all of a short one; of a long one spanning links, walked from those nearest
+    to the list's centre, which stands for what copies have in common."""
+    if len(node) <= SHORT:
+        i, j = np.triu_indices(len(node), 1)
+        near = may_be_alike(n, room, i, j, similarity)
+        return node[i[near]], node[j[near]]
+    bits = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1)
     far = (bits ^ (2 * bits.sum(0, dtype=np.int64) > len(bits)).astype(np.uint8)).sum(1)
-    left, a, b = np.lexsort((first, far)), [], []  # the same order in every list, so links repeat and fold
+    left, a, b = np.lexsort((node, far)), [], []  # the same order in every list, so links repeat and fold
     wait: list[int] = []
     while len(left):
         if wait:
             at = wait.pop(0)
         else:
             at, left = left[0], left[1:]
-        near = np.bitwise_count(fp[left] ^ fp[at]).sum(1) <= REACH
-        a += [first[at]] * int(near.sum())
-        b += first[left[near]].tolist()
+        near = np.bitwise_count(fp[left] ^ fp[at]) <= REACH
+        a += [node[at]] * int(near.sum())
+        b += node[left[near]].tolist()
         wait += left[near].tolist()
         left = left[~near]
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes (columns first, hi, lo) that share an indexed triple of positional bytes and
-    differ in at most ``REACH`` bits, as spanning links where lists are long."""
-    chosen = np.array(triples())
+def lists_of(batches, columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(columns, starts, ends): whole lists of rows in order of their first three columns, across batches."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(c).to_numpy() for c in range(columns)]
+        rows = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
+        key, i, j = rows[:3]
+        starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        held = [x[starts[-1] :] for x in rows]  # the last list may go on
+        if len(starts) > 1:
+            yield rows, starts[:-1], starts[1:]
+    if held:
+        yield held, np.array([0]), np.array([len(held[0])])
+
+
+def folded(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Different pairs, smaller first."""
+    both = np.stack([np.concatenate(a), np.concatenate(b)], 1).astype(np.int64)
+    return np.unique(np.sort(both, axis=1), axis=0)
+
+
+def dealt_lists(sets: DataFrame, level: np.ndarray, similarity: float) -> DataFrame:
+    """(key, i, j, node, fp, n, room): the lists of the index, long ones as pairs of blocks, rows of one in order."""
+    known = sets.sparkSession.sparkContext.broadcast(level)
 
     def listed(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                first, hi, lo = (batch.column(n).to_numpy()[at : at + 1024] for n in range(3))
-                byte = np.stack([hi, lo], 1).view(np.uint8).reshape(-1, 16).astype(np.int64)
-                key = np.arange(len(chosen)) << 24 | byte[:, chosen[:, 0]] << 16 | byte[:, chosen[:, 1]] << 8 | byte[:, chosen[:, 2]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(pa.array(np.repeat(x, len(chosen))) for x in (first, hi, lo))], names=["key", "first", "hi", "lo"])
-
-    entries = classes.select("first", "hi", "lo").mapInArrow(listed, "key long, first long, hi long, lo long")
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                made: list[list[np.ndarray]] = [[], [], [], [], []]
+                for node, fp, raw in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
+                    s = np.frombuffer(raw, np.uint64)
+                    if not len(s):
+                        continue
+                    own = prefix(s, known.value, similarity)
+                    room = len(s) - np.arange(len(own), dtype=np.int32)
+                    more = known.value[slots(s[own])] > 0  # others stand in this set only
+                    for x, y in zip(made, (s[own[more]].view(np.int64), node, fp, len(s), room[more]), strict=True):
+                        x.append(y if isinstance(y, np.ndarray) else np.full(int(more.sum()), y))
+                if made[0]:
+                    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(made, kinds, strict=True)], names=["key", "node", "fp", "n", "room"])
+
+    entries = sets.select("node", "fp", "s").mapInArrow(listed, "key long, node long, fp long, n int, room int")
     full = entries.groupBy("key").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("first"), blocks).cast("int")
-    dealt = (
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    rows = "node", "fp", "n", "room"
+    return (
         entries.join(full, "key")
-        .select("key", "first", "hi", "lo", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "first", "hi", "lo")
+        .select("key", *rows, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows)
+        .repartition("key", "i", "j")
+        .sortWithinPartitions("key", "i", "j")
     )
 
+
+def candidates(sets: DataFrame, level: np.ndarray, similarity: float) -> DataFrame:
+    """(a, b): pairs of sets (columns node, fp, s) that share one of their rarest shingles and whose sizes allow
+    the similarity, as spanning links where lists are long."""
+
     def walk(batches):
-        held = None
-        for batch in batches:
-            now = [batch.column(n).to_numpy() for n in range(6)]
-            rows = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
-            key, i, j = rows[:3]
-            starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(key) else np.array([0])
-            held = [x[starts[-1] :] for x in rows]  # the last list may go on
-            yield pairs_of(rows, starts[:-1], starts[1:])
-        if held and len(held[0]):
-            yield pairs_of(held, np.array([0]), np.array([len(held[0])]))
-
-    def pairs_of(rows, starts, ends):
-        first, fp = rows[3], np.stack(rows[4:6], 1).view(np.uint64) if len(rows[3]) else np.empty((0, 2), np.uint64)
-        two = starts[ends - starts == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]).sum(1) <= REACH
-        a, b = [first[two[near]]], [first[two[near] + 1]]
-        for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-            x, y = near_pairs(first[s:e], fp[s:e])
-            a.append(x)
-            b.append(y)
-        both = np.stack([np.concatenate(a), np.concatenate(b)], 1).astype(np.int64)
-        both = np.unique(np.sort(both, axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(walk, "a long, b long").where("a <> b").distinct()
-
-
-def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets are as similar; ``docs``: id, text."""
-
-    def sets(batches):
-        for batch in batches:
-            made = [shingle_set(x, k).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["id", "s"])
+        for rows, starts, ends in lists_of(batches, 7):
+            node, fp, n, room = rows[3], rows[4].view(np.uint64), rows[5], rows[6]
+            two = starts[ends - starts == 2]
+            near = may_be_alike(n, room, two, two + 1, similarity)
+            a, b = [node[two[near]]], [node[two[near] + 1]]
+            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
+                x, y = near_pairs(node[s:e], fp[s:e], n[s:e], room[s:e], similarity)
+                a.append(x)
+                b.append(y)
+            both = folded(a, b)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return dealt_lists(sets, level, similarity).mapInArrow(walk, "a long, b long").where("a <> b").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``sets`` (node, s) that are as similar."""
 
     def alike(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
             kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield kept
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = stored(docs.join(named, "id", "left_semi").select("id", "text").mapInArrow(sets, "id long, s binary"), "sets")
-    x, y = own.select(F.col("id").alias("a"), F.col("s").alias("x")), own.select(F.col("id").alias("b"), F.col("s").alias("y"))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = stored(sets.join(named, "node", "left_semi").select("node", "s"), "sets")
+    x, y = own.select(F.col("node").alias("a"), F.col("s").alias("x")), own.select(F.col("node").alias("b"), F.col("s").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
@@ -318,20 +373,28 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     """(doc_id, component_id): groups that links between texts of at least ``similarity`` connect (Jaccard over
     sets of ``k``-word shingles), each named after its smallest id. Nulls, blanks, repeats and empty tables as
     in ``near_duplicates``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches):
         for batch in batches:
-            made = [wide_fingerprint(shingle_set(x, k)) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            hi, lo = zip(*made, strict=True) if made else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["id", "hi", "lo"])
-
-    own = cut(rows.mapInArrow(each, "id long, hi long, lo long"))
-    classes = cut(own.where("id is not null").groupBy("hi", "lo").agg(F.min("id").alias("first")))
-    pairs = cut(candidates(classes))
-    found = components(verified(pairs, rows.where("id is not null"), k, similarity))
-    rooted = classes.join(found, classes["first"] == found.node, "left").select("hi", "lo", F.coalesce("root", "first").alias("component_id"))
-    return own.join(rooted, ["hi", "lo"], "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                made = [shingle_set(x, k) for x in part.column(2).cast(pa.binary()).to_pylist()]
+                raw = [x.tobytes() for x in made]
+                node = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
+                fp = pa.array([set_fingerprint(x) for x in made], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), fp, pa.array(raw, pa.binary())], names=["row", "id", "node", "fp", "s"])
+
+    every = stored(rows.mapInArrow(each, "row long, id long, node long, fp long, s binary"), "every-set")
+    classes = cut(every.where("id is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row")))
+    sets = every.join(classes.select("row"), "row", "left_semi").select("node", "fp", "s")
+    level = levels(sets)
+    pairs = cut(candidates(sets, level, similarity))
+    found = components(verified(pairs, sets, similarity)).withColumnRenamed("node", "of")
+    rooted = classes.join(found, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = rooted.join(named, "root").select("node", "component_id")
+    return every.select("id", "node").join(of, "node", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
