@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -187,3 +188,19 @@ def test_no_pair_just_above_the_similarity_is_missed(spark):
     found = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
     want = brute_similar(dict(enumerate(texts)), 5, 0.8)
     assert found == want and sum(r != i for i, r in want.items()) == 150
+
+
+def test_long_lists_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "levels", lambda texts, k: np.ones(simhash.SLOTS, np.uint8))  # no shingle is known as rare: all variants share lists
+    rng = random.Random(15)
+    texts, form = [], prose(rng, 104).split()
+    for _ in range(60):
+        words = form[:]
+        for at in rng.sample(range(6, 98, 8), 3):
+            words[at] = f"variant{rng.randrange(10**6)}"
+        other = words[:]
+        other[1] = f"copy{rng.randrange(10**6)}"
+        texts += [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()}
+    assert found == brute_similar(dict(enumerate(texts)), 5, 0.8)

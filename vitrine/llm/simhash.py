@@ -13,7 +13,8 @@ For a similarity of shingle sets rather than a distance of fingerprints (``simil
 reaches far enough, so that index is of shingles: in one order of all shingles, rarest first, each set goes under
 its first ones only, as many as a set may lack and still be similar, and one more. Two similar sets share one of
 them, so every similar pair is a candidate, and shingle sets decide. How rare a shingle is comes from hashed
-counts over all sets; they only set the order, which costs time where it is poor, never a pair.
+counts over all sets; they only set the order, which costs time where it is poor, never a pair. Long lists give
+spanning links first; once sets have decided on those, all pairs of a long list follow that they don't connect.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ from vitrine.llm.shared import components, cut, spare, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
+HELD = 200_000  # different sets that a task remembers
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
-REACH, SHORT = 15, 8  # of similar(): bits between linked texts of a long list, lists that are compared pair by pair
-SLOTS, RANGES = 1 << 22, 256  # hashed counts of shingles, and the pieces in which they are added up
+REACH, SHORT = 15, 40  # of similar(): bits between linked texts of a long list, lists that are compared pair by pair
+SLOTS, RANGES = 1 << 21, 256  # hashed counts of shingles, and the pieces in which they are added up
 
 
 def word_blocks(text: bytes) -> Iterator[list[bytes]]:
@@ -205,18 +207,49 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(rows), bitorder="little").view(np.int64)[0])
 
 
+def set_batches(batches, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
+    """Rows (id, text) in parts, with the sets of their texts and a 64-bit name of each set."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            made = [shingle_set(x, k) for x in part.column(1).cast(pa.binary()).to_pylist()]
+            yield part, made, np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in made), np.uint64, len(made)).view(np.int64)
+
+
+def new_sets(batches, k: int) -> Iterator[tuple[list[np.ndarray], list[int]]]:
+    """Sets that are not empty, with their names; a task gives one that it remembers once only."""
+    seen: set[int] = set()
+    for _, made, names in set_batches(batches, k):
+        fresh = []
+        for s, node in zip(made, names.tolist(), strict=True):
+            if len(s) and node not in seen:
+                if len(seen) == HELD:
+                    seen.clear()
+                seen.add(node)
+                fresh.append((s, node))
+        if fresh:
+            yield [s for s, _ in fresh], [node for _, node in fresh]
+
+
 def slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(65 - SLOTS.bit_length())).astype(np.int64)
 
 
-def levels(sets: DataFrame) -> np.ndarray:
-    """How common the shingles of each slot are in all sets (column s), eight steps to a doubling; 0: at most one."""
+def levels(rows: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each slot are in all texts (id, text), eight steps to a doubling; 0: at most one.
+    Equal sets of one task count once."""
 
     def counted(batches):
         total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                total += np.bincount(slots(np.frombuffer(b"".join(batch.column(0)[at : at + 1000].to_pylist()), np.uint64)), minlength=SLOTS)
+        held, many = [], 0
+        for made, _ in new_sets(batches, k):
+            held += made
+            many += sum(map(len, made))
+            if many > SLOTS:
+                total += np.bincount(slots(np.concatenate(held)), minlength=SLOTS)
+                held, many = [], 0
+        if held:
+            total += np.bincount(slots(np.concatenate(held)), minlength=SLOTS)
         made = [x.tobytes() for x in np.minimum(total, 255).astype(np.uint8).reshape(RANGES, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(RANGES), pa.int32()), pa.array(made, pa.binary())], names=["range", "n"])
 
@@ -230,7 +263,7 @@ def levels(sets: DataFrame) -> np.ndarray:
 
     schema = "range int, n binary"
     out = np.zeros((RANGES, SLOTS // RANGES), np.uint8)
-    for row in sets.select("s").mapInArrow(counted, schema).repartition("range").mapInArrow(added, schema).collect():
+    for row in rows.mapInArrow(counted, schema).repartition("range").mapInArrow(added, schema).collect():
         out[row["range"]] = np.frombuffer(row["n"], np.uint8)
     return out.ravel()
 
@@ -294,45 +327,43 @@ def folded(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.sort(both, axis=1), axis=0)
 
 
-def dealt_lists(sets: DataFrame, level: np.ndarray, similarity: float) -> DataFrame:
-    """(key, i, j, node, fp, n, room): the lists of the index, long ones as pairs of blocks, rows of one in order."""
-    known = sets.sparkSession.sparkContext.broadcast(level)
+def dealt_lists(rows: DataFrame, level: np.ndarray, k: int, similarity: float) -> DataFrame:
+    """(key, i, j, node, fp, n, room): the lists of the index, long ones as pairs of blocks, rows of one in order.
+    A set that stands in texts of several tasks may be in a list as often."""
+    known = rows.sparkSession.sparkContext.broadcast(level)
 
     def listed(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                made: list[list[np.ndarray]] = [[], [], [], [], []]
-                for node, fp, raw in zip(*(part.column(c).to_pylist() for c in range(3)), strict=True):
-                    s = np.frombuffer(raw, np.uint64)
-                    if not len(s):
-                        continue
-                    own = prefix(s, known.value, similarity)
-                    room = len(s) - np.arange(len(own), dtype=np.int32)
-                    more = known.value[slots(s[own])] > 0  # others stand in this set only
+        for sets, names in new_sets(batches, k):
+            made: list[list[np.ndarray]] = [[], [], [], [], []]
+            for s, node in zip(sets, names, strict=True):
+                own = prefix(s, known.value, similarity)
+                room = len(s) - np.arange(len(own), dtype=np.int32)
+                more = known.value[slots(s[own])] > 0  # others stand in this set only
+                if more.any():
+                    fp = set_fingerprint(s)
                     for x, y in zip(made, (s[own[more]].view(np.int64), node, fp, len(s), room[more]), strict=True):
                         x.append(y if isinstance(y, np.ndarray) else np.full(int(more.sum()), y))
-                if made[0]:
-                    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(made, kinds, strict=True)], names=["key", "node", "fp", "n", "room"])
+            if made[0]:
+                kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(made, kinds, strict=True)], names=["key", "node", "fp", "n", "room"])
 
-    entries = sets.select("node", "fp", "s").mapInArrow(listed, "key long, node long, fp long, n int, room int")
+    entries = rows.mapInArrow(listed, "key long, node long, fp long, n int, room int")
     full = entries.groupBy("key").count().where("count > 1")
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = "node", "fp", "n", "room"
+    rest = "node", "fp", "n", "room"
     return (
         entries.join(full, "key")
-        .select("key", *rows, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows)
+        .select("key", *rest, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rest)
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
 
 
-def candidates(sets: DataFrame, level: np.ndarray, similarity: float) -> DataFrame:
-    """(a, b): pairs of sets (columns node, fp, s) that share one of their rarest shingles and whose sizes allow
-    the similarity, as spanning links where lists are long."""
+def candidates(texts: DataFrame, level: np.ndarray, k: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of sets of ``texts`` (id, text) that share one of their rarest shingles and whose sizes allow the
+    similarity: all of short lists, spanning links of long ones. And the rows (key, i, j, node, n, room) of long lists."""
 
     def walk(batches):
         for rows, starts, ends in lists_of(batches, 7):
@@ -340,18 +371,56 @@ def candidates(sets: DataFrame, level: np.ndarray, similarity: float) -> DataFra
             two = starts[ends - starts == 2]
             near = may_be_alike(n, room, two, two + 1, similarity)
             a, b = [node[two[near]]], [node[two[near] + 1]]
+            long = []
             for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-                x, y = near_pairs(node[s:e], fp[s:e], n[s:e], room[s:e], similarity)
+                at = s + np.unique(node[s:e], return_index=True)[1]
+                x, y = near_pairs(node[at], fp[at], n[at], room[at], similarity)
                 a.append(x)
                 b.append(y)
+                if len(at) > SHORT:
+                    long.append(at)
+            both = folded(a, b)
+            nulls = [pa.nulls(len(both), t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), *nulls], names=names)
+            if long:
+                key, i, j, of, size, left = (pa.array(rows[c][np.concatenate(long)]) for c in (0, 1, 2, 3, 5, 6))
+                yield pa.RecordBatch.from_arrays([of, pa.nulls(len(of), pa.int64()), key, i, j, size, left], names=names)
+
+    names = ["a", "b", "key", "i", "j", "n", "room"]
+    found = cut(dealt_lists(texts, level, k, similarity).mapInArrow(walk, "a long, b long, key long, i int, j int, n int, room int"))
+    return found.where("a <> b").select("a", "b").distinct(), found.where("b is null").select("key", "i", "j", F.col("a").alias("node"), "n", "room")
+
+
+def pairs_across(long: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): all candidate pairs of long lists whose sets no link connects yet (``found``: node, root)."""
+
+    def walk(batches):
+        a, b, many = [], [], 0
+        for rows, starts, ends in lists_of(batches, 7):
+            for s, e in zip(starts, ends, strict=True):
+                node, n, room = rows[3][s:e], rows[4][s:e], rows[5][s:e]
+                _, group, count = np.unique(rows[6][s:e], return_inverse=True, return_counts=True)
+                largest, every = group == count.argmax(), np.arange(e - s)
+                for x in np.flatnonzero(~largest):
+                    y = np.flatnonzero((group != group[x]) & (largest | (every > x)))
+                    y = y[may_be_alike(n, room, y, np.full(len(y), x), similarity)]
+                    a.append(np.full(len(y), node[x]))
+                    b.append(node[y])
+                    many += len(y)
+                    if many > 1 << 20:
+                        both, a, b, many = folded(a, b), [], [], 0
+                        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        if a:
             both = folded(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return dealt_lists(sets, level, similarity).mapInArrow(walk, "a long, b long").where("a <> b").distinct()
+    roots = found.select(F.col("node").alias("of"), "root")
+    rows = long.join(roots, F.col("node") == F.col("of"), "left").select("key", "i", "j", "node", "n", "room", F.coalesce("root", "node").alias("root"))
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(walk, "a long, b long").where("a <> b").distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of ``sets`` (node, s) that are as similar."""
+def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs of sets that are as similar; ``classes``: node, first, the smallest id in ``texts`` (id, text)."""
 
     def alike(batches):
         for batch in batches:
@@ -363,8 +432,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             kept = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield kept
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = stored(sets.join(named, "node", "left_semi").select("node", "s"), "sets")
+    def sets(batches):
+        for part, made, names in set_batches(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.tobytes() for x in made], pa.binary())], names=["node", "s"])
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    firsts = classes.join(nodes, "node", "left_semi").select(F.col("first").alias("id"))
+    own = stored(texts.join(firsts, "id", "left_semi").select("id", "text").mapInArrow(sets, "node long, s binary"), "sets")
     x, y = own.select(F.col("node").alias("a"), F.col("s").alias("x")), own.select(F.col("node").alias("b"), F.col("s").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
@@ -373,28 +447,26 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     """(doc_id, component_id): groups that links between texts of at least ``similarity`` connect (Jaccard over
     sets of ``k``-word shingles), each named after its smallest id. Nulls, blanks, repeats and empty tables as
     in ``near_duplicates``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                made = [shingle_set(x, k) for x in part.column(2).cast(pa.binary()).to_pylist()]
-                raw = [x.tobytes() for x in made]
-                node = np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)).view(np.int64)
-                fp = pa.array([set_fingerprint(x) for x in made], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), fp, pa.array(raw, pa.binary())], names=["row", "id", "node", "fp", "s"])
-
-    every = stored(rows.mapInArrow(each, "row long, id long, node long, fp long, s binary"), "every-set")
-    classes = cut(every.where("id is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("row").alias("row")))
-    sets = every.join(classes.select("row"), "row", "left_semi").select("node", "fp", "s")
-    level = levels(sets)
-    pairs = cut(candidates(sets, level, similarity))
-    found = components(verified(pairs, sets, similarity)).withColumnRenamed("node", "of")
+        for part, _, names in set_batches(batches, k):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names)], names=["id", "node"])
+
+    own = cut(rows.mapInArrow(each, "id long, node long"))
+    classes = cut(own.where("id is not null").groupBy("node").agg(F.min("id").alias("first")))
+    texts = rows.where("id is not null")
+    pairs, long = candidates(texts, levels(texts, k), k, similarity)
+    links = cut(verified(pairs, texts, classes, k, similarity))
+    found = components(links)
+    more = cut(pairs_across(long, found, similarity))
+    if not more.isEmpty():
+        found = components(links.unionByName(verified(more, texts, classes, k, similarity)))
+    found = found.withColumnRenamed("node", "of")
     rooted = classes.join(found, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(named, "root").select("node", "component_id")
-    return every.select("id", "node").join(of, "node", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return own.join(of, "node", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
