@@ -31,6 +31,13 @@ def test_ids_of_odd_texts(reference, text):
     assert ids_of(text, default_path()).tolist() == reference(text)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "x", "word ", "é"])
+def test_very_long_runs(spark, reference, run):
+    """Three million characters without a place to split at."""
+    rows = packing.pack(spark.createDataFrame([(1, run * (3_000_000 // len(run)), "en", "s", 0)], SCHEMA), 2048).collect()
+    assert sum(r["length"] for r in rows) == rows[0]["doc_tokens"] == len(reference(run * (3_000_000 // len(run))))
+
+
 def checked(rows, texts, reference, capacity):
     """Every id of every document in one piece, sequences gapless and within capacity."""
     by_doc, by_sequence = {}, {}

@@ -61,6 +61,8 @@ def stream(batches, path: str, length: int) -> Iterator[np.ndarray]:
     for batch in batches:
         for text in batch.column(0).to_pylist():
             held.append(ids_of(text, path))
+            if held[-1].max() >= 1 << 16:
+                raise ValueError("ids of 16 bits need a vocabulary below 65,536")
             have += len(held[-1])
             if have >= 64 * length:
                 ids = np.concatenate(held)
