@@ -51,8 +51,10 @@ def test_the_driver_contract(spark):
     assert entry.entry(spark).columns == ["label", "n", "pct"]
 
 
-def test_importing_without_the_training_data_operators(tmp_path):
-    """The rest stands alone: a copy without those folders imports and lists its queries."""
+@pytest.mark.parametrize("left", ["", "corpus_pipeline.py", "vitrine/llm"])
+def test_importing_without_the_training_data_operators(tmp_path, left):
+    """The rest stands alone: a copy without those folders imports and lists its queries, whether or not the
+    pipeline's file or an empty folder is left."""
     import shutil
     import subprocess
     import sys
@@ -60,7 +62,11 @@ def test_importing_without_the_training_data_operators(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/vitrine", tmp_path / "vitrine", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'stats_vocab_dim' in q and not [x for x in q if x.startswith('op')]; e.oracle_sql()"
+    if left == "corpus_pipeline.py":
+        (tmp_path / left).write_text("from vitrine.llm import packing\n")
+    elif left:
+        (tmp_path / left).mkdir()
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'stats_vocab_dim' in q and not [x for x in q if x.startswith('op') or x == 'pipeline']; e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, check=True, timeout=60)
 
 
