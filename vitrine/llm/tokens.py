@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 
@@ -31,17 +32,23 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.made = Tokenizer.from_file(path)
+        self.merges = self.made.model
         told = json.loads(self.made.to_str())
         split = told.get("pre_tokenizer") or {}
         self.pieces = not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.special = [t["content"] for t in told.get("added_tokens", ())]
         self.before: dict[str, bytes] = {}
 
+    def word(self, piece: str) -> bytes:
+        """A space and ASCII letters: nothing to split, so the merges alone give the ids ("Ġ" is the byte of a space)."""
+        ids = [t.id for t in self.merges.tokenize("Ġ" + piece)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def whole(self, text: str) -> bytes:
-        return np.array(self.made.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack(f"<{len(ids := self.made.encode(text, add_special_tokens=False).ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece) or self.whole(" " + piece)
+        ids = self.before.get(piece) or (self.word(piece) if piece.isascii() and piece.isalpha() else self.whole(" " + piece))
         if len(piece) <= SHORT:
             if len(self) >= HELD:
                 self.before = dict(self)
