@@ -19,6 +19,8 @@ where they are read. Mentions are found twice: once for the entities, which are
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,8 +72,9 @@ KINDS = [
     ("name", rf"(?=[A-Za-zΓ-Ωа-яА-Я])(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?|{INTRODUCED}) {WORD}(?: (?:(?:{'|'.join(PARTICLES)}) ){{0,2}}{WORD}){{0,3}}", rf"^(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?|{INTRODUCED}) ", ""),
 ]
 ANY = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'(?:{pattern})' for _, pattern, _, _ in KINDS)})"
-#: What every mention has some of; texts without it are not searched.
-HINT = rf"[0-9@=:]|(?:(?:{MALE}|{FEMALE}|{NEUTRAL})\.?|{INTRODUCED}) [\p{{Lu}}\p{{Lo}}]|(?:sk-|gh[oprsu]_|xox[abprs]-|eyJ)[A-Za-z]"
+#: What every mention has some of: one of these characters, or one of these strings. Texts without are not searched.
+SIGNS = "[0-9@=:]"
+OPENINGS = [*f"{MALE}|{FEMALE}|{NEUTRAL}".split("|"), *"y name is|ch heiße|appelle|e llamo|еня зовут|sk-|gho_|ghp_|ghr_|ghs_|ghu_|xox|eyJ|AIza".split("|")]
 #: Where letters begin or end.
 BORDERS = r"(?<=[\p{L}\p{M}])(?![\p{L}\p{M}])|(?<![\p{L}\p{M}])(?=[\p{L}\p{M}])"
 MENTION = ("e", "kind", "a", "m", "z")
@@ -217,7 +220,8 @@ def check_digit(digits: Column) -> Column:
 
 def mentions(text: Column) -> Column:
     """All mentions of a text in order; null: none."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
+    hinted = reduce(Column.__or__, [text.contains(x) for x in OPENINGS], text.rlike(SIGNS))
+    return F.when(hinted, F.regexp_extract_all(text, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def sized(side: DataFrame) -> DataFrame:
