@@ -45,6 +45,57 @@ def test_a_long_article_is_kept_whole():
     assert htmltext.main_text(page("<article>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</article>")) == " ".join(paragraphs)
 
 
+ARTICLE = f"<h1>River rises</h1><p>{BODY}</p><p>Short end.</p>"
+
+
+@pytest.mark.parametrize("html", [
+    f"<article>{ARTICLE}</article><section class='comments'><article><p>{BODY} First!</p></article><article>Second, and longer.</article></section>",
+    f"<div class='content'>{ARTICLE}</div><section class='comments'><article><p>{BODY} First!</p></article></section>",
+    f"<article>{ARTICLE}</article><aside><article><h2>Teaser</h2><p>Read this instead.</p></article></aside>",
+    f"<div class='layout with-sidebar'><div class=col>{ARTICLE}</div></div>",
+    f"<div class='page widget'><nav>Home</nav><div>{ARTICLE}</div></div>",
+    f"<form action=/x><div>{ARTICLE}</div></form>",
+    f"<nav><ul><li>Home<li>News<article>{ARTICLE}</article>",
+    f"<div id=main-nav><a href=/>Home</a></div>{ARTICLE}<div class='post-comments-2'>No!</div><div class=leftSidebar>Other</div>",
+    f"<div data-x='{'y' * 9000}' class=t>{ARTICLE}</div>",
+    f"<article>{ARTICLE}</article><article class=comment><p>{BODY}</p></article>",
+    f"<p hidden>secret</p><article>{ARTICLE}<div style='display:none'>x</div><p class=ad>Buy</p></article>",
+])
+def test_marks_are_evidence_and_not_verdicts(html):
+    assert htmltext.main_text(page(html)) == f"River rises {squeezed(BODY)} Short end."
+
+
+def test_words_of_classes_inside_an_article():
+    assert htmltext.main_text(page("<article><p id=share-price>Shares rose.</p><p class=searching>They looked.</p><div id=share>Tweet</div></article>")) == "Shares rose. They looked."
+
+
+def test_a_short_article_without_a_mark():
+    assert htmltext.main_text(page("<div><h1>Rain</h1><p>It rained.</p></div>", "<nav>Home</nav>", "<footer>All rights reserved, and more of it</footer>")) == "Rain It rained."
+
+
+def test_a_long_attribute_is_no_text():
+    value = "a > b " * 3000
+    assert htmltext.main_text(page(f"<article><p title=\"{value}\" class='t'>{BODY}</p></article>")) == squeezed(BODY)
+
+
+def brute(html):
+    """Pages of the tables: what stands between the article's tags, by regular expressions only."""
+    import html as h
+    import re
+
+    inner = re.search(r"<article>(.*)</article>", html or "", re.S)
+    inner = re.sub(r"<(script|style)\b.*?</\1>|<!--.*?-->", "", inner[1] if inner else "", flags=re.S)
+    inner = re.sub(r"</?(b|a|i|em|span)\b[^>]*>", "", inner)
+    return " ".join(h.unescape(re.sub(r"<[^>]+>", " ", inner)).split())
+
+
+def test_against_the_marked_articles(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = {r["page_id"]: r["text"] for r in htmltext.extract(pages).collect()}
+    for r in pages.collect():
+        assert found[r["page_id"]] == brute(r["html"])
+
+
 def test_every_row_comes_back(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = htmltext.extract(pages)

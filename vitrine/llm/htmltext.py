@@ -1,18 +1,26 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped first: scripts, styles and elements that are never part of an article (menus, headers,
-footers, sidebars, forms, adverts, notices, reader comments; by name, role or class) leave blank lines
-where they stood, block elements start a line, inline elements join. Text lengths are then summed over
-sliding windows of ``DEPTH`` lines. Where the sum surges, main text starts; where it dives to zero, it ends;
-all lines between are kept. Inside an article or main element any text is a surge; elsewhere a window needs
-``SURGE`` characters, and regions outside are dropped if the page marks its article.
+Markup is stripped first: scripts and styles go, block elements start a line, inline elements join. What may not be
+part of an article (menus, headers, footers, sidebars, forms, adverts, notices, reader comments; by name, role,
+class or id) is noted as a range of lines, and so are article and main elements. Ranges are evidence, weighed over
+the whole page: one that was never closed ends where an article starts; one that holds most of the page's text
+stays unless an article stands outside it. The lines of the others are blank then, and so are those outside the
+article if the page marks one.
+
+Text lengths are summed over sliding windows of ``DEPTH`` lines. Where the sum surges, main text starts; where it
+dives to zero, it ends; all lines between are kept. Inside an article any text is a surge; elsewhere a window needs
+``SURGE`` characters, or as many as the best window of a shorter page has.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,83 +34,170 @@ OUTSIDE = frozenset("nav footer aside form button dialog menu head".split())
 MAIN = frozenset(("article", "main"))
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of class, id or role that mark what isn't the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|adverts|banner|breadcrumb|breadcrumbs|comment|comments|contentinfo|cookie|cookies|disqus|footer|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo|related|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|widget)(?=$|[\s_-]|\d)",
-    re.I,
+OPEN_ENDED = frozenset("p li td th tr dt dd option".split())
+#: Words of class, id or role that mark what isn't the article, words that may follow those, and words before them that turn the sense.
+COMMENTS = frozenset("comment comments disqus respond replies".split())
+MARKS = COMMENTS | frozenset(
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs contentinfo cookie cookies footer masthead menu modal nav navbar navigation newsletter notice popup promo related search share sharing sidebar signup social sponsor sponsored subscribe widget".split()
 )
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]{0,4000}"|'[^']{0,4000}')*+|[^>]*)>""", re.S)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-
-
-def marked(attributes: str) -> bool:
-    """Whether class, id or role say that an element isn't main text."""
+FOLLOW = frozenset("area bar block box button buttons container content form header icons inner item items left link links list panel posts right section stories thread top bottom wrap wrapper".split())
+TURN = frozenset("with has no without show hide is".split())
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'<>]|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+VALUES = re.compile(r""""[^"]*"|'[^']*'""")
+HIDDEN = re.compile(r"""(?<![\w-])hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none""", re.I)
+
+
+def head_word(token: str) -> str:
+    """The word that says what a class or id names: of ``left-sidebar``, ``sidebar-2`` and ``sidebar-box`` it is
+    ``sidebar``, of ``share-price`` it is ``price``, of ``with-sidebar`` none."""
+    words = [w for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", token) if w]
+    words = [w.lower() for w in words]
+    while len(words) > 1 and (words[-1] in FOLLOW or words[-1].isdigit()):
+        words.pop()
+    if not words or words[0] in TURN:
+        return ""
+    return words[-1].rstrip("0123456789")
+
+
+def mark_of(attributes: str) -> str:
+    """What attributes say an element is: ``hidden``, ``comment``, ``mark`` or nothing."""
     if not attributes.strip():
-        return False
-    return any(MARKS.search(next(filter(None, m.groups()), "")) for m in NAMED.finditer(attributes)) or bool(HIDDEN.search(attributes))
-
-
-def lines_of(html: str) -> Iterator[tuple[str, int]]:
-    """Lines of text with how many main elements they stand in; '' for each blank line."""
+        return ""
+    if HIDDEN.search(attributes) and (HIDDEN.search(VALUES.sub('""', attributes)) or "aria-hidden" in attributes.lower() or "display" in attributes.lower()):
+        return "hidden"
+    heads = {head_word(t) for m in NAMED.finditer(attributes) for t in next(filter(None, m.groups()[1:]), "").split()}
+    return "comment" if heads & COMMENTS else "mark" if heads & MARKS else ""
+
+
+@dataclass(slots=True)
+class Range:
+    """The lines of an element: its kind is ``main``, or why it may not be part of the article."""
+
+    kind: str
+    name: str
+    first: int
+    last: int = -1
+    closed: bool = False
+
+
+def stripped(html: str) -> tuple[list[str], list[Range], list[int]]:
+    """The lines of a page, '' for blank ones; the ranges of main elements and of what may stand outside; the
+    lines at which a first heading starts."""
+    lines: list[str] = []
+    ranges: list[Range] = []
+    headings: list[int] = []
     held: list[str] = []
-    at, inside = 0, 0
-    skip, depth = None, 0  # the element that is being left out, and how many of its name are open
+    stack: list[tuple[str, Range | None]] = []
+    opened: Counter[str] = Counter()
+    at = mains = 0
 
-    def line() -> str:
-        text = " ".join(unescape("".join(held)).split())
+    def flush() -> None:
+        if text := " ".join(unescape("".join(held)).split()):
+            lines.append(text)
         held.clear()
-        return text
+
+    def pop(closed: bool) -> None:
+        nonlocal mains
+        name, own = stack.pop()
+        opened[name] -= 1
+        if own:
+            own.last, own.closed = len(lines), closed
+            mains -= own.kind == "main"
+            lines.extend([""] * DEPTH)
 
     while m := TOKEN.search(html, at):
-        start, end = m.span()
-        if not skip:
-            held.append(html[at:start])
-        at = end
+        start, at = m.span()
+        held.append(html[m.pos : start])
         name = (m[2] or "").lower()
         if not name:
             continue
-        closing = bool(m[1])
-        if skip:
-            if name == skip:
-                depth += -1 if closing else 1
-            # an element that never closes ends where the article, or what holds it, does
-            if depth == 0 or (closing and name in ("body", "html", *MAIN)) or (not closing and name in MAIN and skip not in MAIN):
-                skip = None
-                if name in MAIN:
-                    inside = max(0, inside + (-1 if closing else 1))
-                yield from (("", inside),) * DEPTH
+        if m[1]:
+            if not opened[name]:
+                if name not in INLINE:
+                    flush()
+                continue
+            flush()
+            while stack[-1][0] != name:
+                pop(False)
+            pop(True)
+            if name in ("div", "section", "table", "ul", "ol"):
+                lines.append("")
             continue
-        if name in INLINE and not (not closing and name not in VOID and marked(m[3])):
+        mark = mark_of(m[3])
+        if name in INLINE and not (mark and name not in VOID):
             continue
-        if text := line():
-            yield text, inside
-        if name in MAIN:
-            inside = max(0, inside + (-1 if closing else 1))
-            yield from (("", inside),) * DEPTH
-        elif not closing and name in RAW:
+        flush()
+        if name in RAW:
             until = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(html, at)
             at = until.end() if until else len(html)
             if name == "title":
-                yield "", inside
-        elif not closing and name not in VOID and not m[3].endswith("/") and name not in ("html", "body") and (name in OUTSIDE or (name == "header" and not inside) or marked(m[3])):
-            skip, depth = name, 1
-            yield from (("", inside),) * DEPTH
-        elif closing and name in ("div", "section", "table", "ul", "ol"):
-            yield "", inside
-    if not skip:
-        held.append(html[at:])
-        if text := line():
-            yield text, inside
+                lines.append("")
+            continue
+        if name in VOID or m[3].endswith("/"):
+            continue
+        while stack and stack[-1][0] in OPEN_ENDED and (stack[-1][0] == name or stack[-1][0] == "p") and name not in INLINE:
+            pop(False)
+        if name == "h1":
+            headings.append(len(lines))
+        kind = ""
+        if name not in ("html", "body"):
+            kind = mark or ("name" if name in OUTSIDE or (name == "header" and not mains) else "main" if name in MAIN else "")
+        own = None
+        if kind:
+            lines.extend([""] * DEPTH)
+            own = Range(kind, name, len(lines))
+            ranges.append(own)
+            mains += kind == "main"
+        stack.append((name, own))
+        opened[name] += 1
+    held.append(html[at:])
+    flush()
+    while stack:
+        pop(False)
+    return lines, ranges, headings
+
+
+def covered(ranges: list[Range], n: int) -> list[int]:
+    """By line, how many of the ranges it stands in."""
+    steps = [0] * (n + 1)
+    for r in ranges:
+        steps[r.first] += 1
+        steps[max(r.first, r.last)] -= 1
+    return list(accumulate(steps))
+
+
+def article_lines(html: str) -> tuple[list[str], list[bool]]:
+    """The lines that may be main text, others blank, and whether they stand in a marked article."""
+    lines, ranges, headings = stripped(html)
+    mains, outside = [r for r in ranges if r.kind == "main"], [r for r in ranges if r.kind != "main"]
+    starts = [r.first for r in mains]
+    for r in outside:
+        after = bisect_left(starts, r.first)
+        if not r.closed and after < len(starts):
+            r.last = min(r.last, starts[after])
+    cover = covered(outside, len(lines))
+    if not any(not cover[r.first] for r in mains):
+        size = [0, *accumulate(map(len, lines))]
+
+        def stays(r: Range) -> bool:
+            most = 2 * (size[max(r.first, r.last)] - size[r.first]) > size[-1]
+            heading = not headings or any(r.first <= h < r.last for h in headings)
+            return most and heading and (r.kind == "mark" or r.name in ("form", "header") or (r.kind == "name" and not r.closed))
+
+        outside = [r for r in outside if not stays(r)]
+        cover = covered(outside, len(lines))
+    own = covered([r for r in mains if not cover[r.first]], len(lines))
+    marked = any(own[i] and not cover[i] for i, text in enumerate(lines) if text)
+    return [text if not cover[i] and (own[i] or not marked) else "" for i, text in enumerate(lines)], [marked and own[i] > 0 for i in range(len(lines))]
 
 
 def main_text(html: str | None) -> str:
     """The article's text: blocks in page order, joined by one space; none: empty."""
-    lines = list(lines_of(html or ""))
-    if any(text and inside for text, inside in lines):
-        lines = [(text if inside else "", inside) for text, inside in lines]
-    sizes = [len(text) for text, _ in lines]
+    lines, inside = article_lines(html or "")
+    sizes = [len(text) for text in lines]
     sums = [sum(sizes[i : i + DEPTH]) for i in range(len(sizes))]
+    surge = min(SURGE, max(sums, default=0))
     kept, i = [], 0
     while i < len(lines):
         if not sums[i]:
@@ -111,8 +206,8 @@ def main_text(html: str | None) -> str:
         dive = i
         while dive < len(lines) and sums[dive]:
             dive += 1
-        if max(sums[i:dive]) >= SURGE or any(text and inside for text, inside in lines[i:dive]):
-            kept += [text for text, _ in lines[i:dive] if text]
+        if max(sums[i:dive]) >= surge or any(inside[i:dive]):
+            kept += [text for text in lines[i:dive] if text]
         i = dive
     return " ".join(kept)
 
