@@ -2,12 +2,12 @@
 
 A fingerprint of 64 bits is eight bytes by position. Two fingerprints that differ in at most ``d`` bits
 differ in at most ``d`` bytes, so they share at least ``8 - d`` positional bytes: that is the count filter.
-The index holds one entry for every choice of three positions out of the first seven (``d`` = 4): a pair
-that shares four of eight bytes shares three of any seven, so no pair within the distance is missed, and
-lists of 24 bits stay short where lists of single bytes would grow with the square of the corpus. In each
-list the shared positional bytes of a pair are tallied, pairs below the guaranteed count are dropped, and
-the rest is verified by its bits. Lists give spanning links, not all pairs, and long lists are dealt out as
-pairs of blocks.
+The index holds one entry for every choice of ``8 - d`` positions (four of eight, for ``d`` = 4) with the bytes
+there: two fingerprints meet in as many lists as there are choices among the bytes that they share, so in one at
+least if, and only if, their tally reaches the guaranteed count. The index itself is the count filter, and lists of
+32 bits stay short where lists of single bytes would grow with the square of the corpus (a longer guarantee is
+filed under six bytes, and its tally is checked in the list). What meets is verified by its bits. Lists give
+spanning links, not all pairs, and long lists are dealt out as pairs of blocks.
 
 For a similarity of shingle sets rather than a distance of fingerprints (``similar``) no guarantee over bytes
 reaches far enough, so that index is of shingles: in one order of all shingles, rarest first, each set goes under
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.shared import components, cut, spare, stored
+from vitrine.llm.shared import attached, components, cut, spare, stored
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BLOCK = 4096  # entries of one list that one task compares with as many others
@@ -85,7 +85,7 @@ def index_entries(classes: DataFrame, d: int) -> DataFrame:
     need = 8 - d
     if not 0 < need <= 8:
         raise ValueError("a byte-position index needs a distance from 0 to 7")
-    many = min(3, need)
+    many = min(6, need)
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255) for p in range(8)]
     keys = []
     for c, positions in enumerate(combinations(range(8 - need + many), many)):
@@ -98,7 +98,8 @@ def index_entries(classes: DataFrame, d: int) -> DataFrame:
 
 def list_links(fp: np.ndarray, d: int) -> Iterator[tuple[int, int]]:
     """Spanning links of one list: a breadth-first walk in which every fingerprint is compared with those
-    not yet reached only; it tallies shared bytes, keeps pairs with at least ``8 - d`` and verifies their bits."""
+    not yet reached only. Pairs whose tally of shared bytes is below ``8 - d`` (the list's key has six at most) drop
+    out before their bits are verified."""
     left, wait = fp[1:], [fp[0]]
     while len(left):
         if not wait:
@@ -106,8 +107,12 @@ def list_links(fp: np.ndarray, d: int) -> Iterator[tuple[int, int]]:
             continue
         at = wait.pop()
         x = left ^ at
-        shared = (x.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        near = (shared >= 8 - d) & (np.bitwise_count(x) <= d)
+        if 8 - d > 6:
+            met = np.flatnonzero((x.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= 8 - d)
+            near = np.zeros(len(x), bool)
+            near[met] = np.bitwise_count(x[met]) <= d
+        else:
+            near = np.bitwise_count(x) <= d
         if near.any():
             yield from ((int(at), int(y)) for y in left[near])
             wait += list(left[near])
@@ -162,6 +167,17 @@ def links(classes: DataFrame, d: int = 4) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(walk, "a long, b long").where("a <> b")
 
 
+def component_ids(own: DataFrame, classes: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``own`` (id, key) with the smallest id of each class's component. ``classes``: key, first, n; ``found``: node,
+    root. A component, or a class, may hold a third of all rows."""
+    found = found.withColumnsRenamed({"node": "of"})
+    rooted = cut(classes.join(found, F.col(key) == F.col("of"), "left").select(key, "first", "n", F.coalesce("root", key).alias("root")))
+    counts = rooted.agg(F.count("*").alias("classes"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    of = attached(rooted, firsts, "root", "component_id", counts["classes"], key).select(key, "component_id", "n")
+    return attached(own, of, key, "component_id", counts["rows"], "id")
+
+
 def near_duplicates(docs: DataFrame, k: int = 4, d: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint and component of every document.
 
@@ -172,12 +188,9 @@ def near_duplicates(docs: DataFrame, k: int = 4, d: int = 4, id_col: str = "doc_
     empty table gives no rows.
     """
     own = cut(fingerprints(docs, k, id_col, text_col))
-    classes = cut(own.where("id is not null").groupBy("fp").agg(F.min("id").alias("first")))
-    found = components(links(classes.select("fp"), d))
-    rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(firsts, "root").select("fp", "component_id")
-    return own.join(of, "fp", "left").select(
+    classes = cut(own.where("id is not null").groupBy("fp").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    named = component_ids(own, classes, components(links(classes.select("fp"), d)), "fp")
+    return named.select(
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"),
@@ -454,7 +467,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names)], names=["id", "node"])
 
     own = cut(rows.mapInArrow(each, "id long, node long"))
-    classes = cut(own.where("id is not null").groupBy("node").agg(F.min("id").alias("first")))
+    classes = cut(own.where("id is not null").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")))
     texts = rows.where("id is not null")
     pairs, long = candidates(texts, levels(texts, k), k, similarity)
     links = cut(verified(pairs, texts, classes, k, similarity))
@@ -462,11 +475,8 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     more = cut(pairs_across(long, found, similarity))
     if not more.isEmpty():
         found = components(links.unionByName(verified(more, texts, classes, k, similarity)))
-    found = found.withColumnRenamed("node", "of")
-    rooted = classes.join(found, F.col("node") == F.col("of"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = rooted.join(named, "root").select("node", "component_id")
-    return own.join(of, "node", "left").select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    named = component_ids(own, classes, found, "node")
+    return named.select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
