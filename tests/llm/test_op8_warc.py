@@ -66,6 +66,8 @@ def test_archives_are_warc(spark):
     store, path = open_store(row["path"])
     with store.open_input_file(path) as f:
         raw = f.read()
+    opening, about, raw = raw.partition(b"\r\n\r\n")[0], *raw.partition(b"\r\n\r\n")[2].split(b"\r\n\r\n\r\n", 1)
+    assert opening.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n") and opening.endswith(b"Content-Length: %d" % (len(about) + 2))
     head, http, rest = raw.split(b"\r\n\r\n", 2)
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
     assert head.startswith(b"WARC/1.1\r\n") and fields["WARC-Type"] == "response"
@@ -73,8 +75,8 @@ def test_archives_are_warc(spark):
 
 
 def test_a_changed_payload_is_found():
-    raw = warc.head(1, "u", "response", None, 5, hashlib.sha256(b"hello").hexdigest())
-    assert list(warc.Reader(io.BytesIO(raw + b"hello\r\n\r\n")).chunks())[0][8] == b"hello"
+    raw = warc.head(1, "t", "u", "response", None, 5, hashlib.sha256(b"hello").hexdigest())
+    assert list(warc.Reader(io.BytesIO(raw + b"hello\r\n\r\n")).chunks())[0][9] == b"hello"
     for bad in (raw + b"hullo\r\n\r\n", raw + b"hel", raw + b"helloxx\r\n"):
         with pytest.raises(ValueError):
             list(warc.Reader(io.BytesIO(bad)).chunks())
@@ -82,9 +84,9 @@ def test_a_changed_payload_is_found():
 
 @pytest.mark.parametrize("size", [1, 3, 64])
 def test_a_reader_with_little_memory(size):
-    raw = warc.head(1, "u", "response", None, 5, hashlib.sha256(b"hello").hexdigest()) + b"hello\r\n\r\n"
+    raw = warc.head(1, "t", "u", "response", None, 5, hashlib.sha256(b"hello").hexdigest()) + b"hello\r\n\r\n"
     chunks = list(warc.Reader(io.BytesIO(raw * 3), size).chunks())
-    assert b"".join(c[8] for c in chunks) == b"hello" * 3 and sum(c[7] for c in chunks) == 3
+    assert b"".join(c[9] for c in chunks) == b"hello" * 3 and sum(c[8] for c in chunks) == 3
 
 
 def test_files_roll_over(spark, monkeypatch):
@@ -100,10 +102,18 @@ def test_odd_rows_and_empty_table(spark):
     rows = [(None, None, LONG), (4, "u", LONG), (4, "u", LONG), (6, "u", LONG), (None, "u", "tiny")]
     pages = spark.createDataFrame(rows, SCHEMA).withColumns({"payload": F.lit(1), "first": F.lit(2), "n": F.lit(3)})
     found = sorted((r["record_type"], r["page_id"] or -1, r["refers_to"] or -1) for r in warc.read(spark, warc.write(pages)).where("is_last").collect())
-    assert found == [("response", -1, -1), ("response", 4, -1), ("response", 4, -1), ("revisit", -1, 4), ("revisit", 6, 4)]
+    assert found == [("response", -1, -1), ("response", 4, -1), ("revisit", -1, 4), ("revisit", 4, 4), ("revisit", 6, 4)]
     assert warc.read(spark, warc.write(pages.limit(0))).count() == 0
 
 
+def test_every_record_has_its_own_name(spark):
+    pages = spark.createDataFrame([*ROWS, *ROWS, (None, "u", LONG)], SCHEMA).repartition(4)
+    last = warc.read(spark, warc.write(pages)).where("is_last")
+    assert last.select("page_id", "tag").distinct().count() == last.count() == 2 * len(ROWS) + 1
+    responses = last.where("record_type = 'response' and payload_bytes >= 100")
+    assert responses.select("payload_digest").distinct().count() == responses.count() == 3
+
+
 def test_query(spark, sf_dir):
     rows = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     found = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in op8_warc(spark, sf_dir).collect()}
