@@ -91,3 +91,18 @@ def test_odd_rows_and_empty_tables(spark):
     assert langid.predict(no_documents(spark), profiles).count() == 0
     kept = langid.keep_known(docs, profiles)
     assert kept.columns == docs.columns and not {1, 2, 3} & {r["doc_id"] for r in kept.collect()}
+
+
+@pytest.mark.parametrize("text", ["²³½", "12 ٣٤ ¼", "— 🙂 …", "漢字", "a²b"])
+def test_numbers_are_no_letters(text):
+    grams, _ = langid.codes(text)
+    assert bool(len(grams)) == any(c.isalpha() for c in text)
+    assert all(chr(int(g) >> s & 0x1FFFFF).isalpha() for g in grams for s in (0, 21, 42) if int(g) >> s & 0x1FFFFF not in (0, 32))
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    text = " ".join(f"wörd{'x' * (i % 7)} {i}" for i in range(3000))
+    whole = langid.codes(text)
+    monkeypatch.setattr(langid, "BLOCK", 100)
+    cut = langid.codes(text)
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))

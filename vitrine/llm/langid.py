@@ -9,6 +9,7 @@ most for those that the profile lacks. The nearest profile wins.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 PROFILE = 400  # n-grams of a profile
 RANKS = 300  # n-grams of a document
 SAMPLE = 20_000  # labelled rows that a fit uses, about; chosen by a hash of the id over all of them
-BLOCK = 1 << 20  # characters of a text that are counted at a time
-OTHER = re.compile(r"[\W\d_]+")
+BLOCK = 1 << 20  # characters of a text that are counted at a time, up to where a word ends
+#: Whatever is no letter: \\W, and the numbers that are word characters.
+OTHER = re.compile("[\\W_" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()) + "]+")
 UNKNOWN = "und"
 LEAST = 0.25  # a text of another script, or of no language, scores near 0; short texts of a known one 0.4 and more
 
@@ -28,8 +30,12 @@ LEAST = 0.25  # a text of another script, or of no language, scores near 0; shor
 def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-grams of a text as integers (21 bits a character), and their counts. No letter: none."""
     found, counts = [], []
-    for at in range(0, len(text), BLOCK):
-        words = OTHER.sub(" ", text[at : at + BLOCK].lower()).strip()
+    end = 0
+    while end < len(text):
+        at, end = end, end + BLOCK
+        while end < len(text) and text[end].isalpha():
+            end += 1
+        words = OTHER.sub(" ", text[at:end].lower()).strip()
         if not words:
             continue
         c = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32).astype(np.uint64)

@@ -98,7 +98,7 @@ REPEATS_SQL = r"""
     select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join k using (doc_id)"""
 
 #: Rank profiles and out-of-place distances; the checksum that deals documents out is worked bit by bit. It holds
-#: while no more rows are labelled than a fit samples, and no text is longer than a block.
+#: while no more rows are labelled than a fit samples.
 LANGUAGE_SQL = f"""
     with d as (select doc_id, lang, text is not null as has_text, trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}]+', ' ', 'g')) as t,
         xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
