@@ -21,8 +21,9 @@ PROFILE = 400  # n-grams of a profile
 RANKS = 300  # n-grams of a document
 SAMPLE = 20_000  # labelled rows that a fit uses, about; chosen by a hash of the id over all of them
 BLOCK = 1 << 20  # characters of a text that are counted at a time, up to where a word ends
-#: Whatever is no letter: \\W, and the numbers that are word characters.
-OTHER = re.compile("[\\W_" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if chr(c).isalnum() and not chr(c).isalpha()) + "]+")
+OTHER = re.compile(r"[\W\d_]+")
+#: Word characters that are neither letters nor digits, such as ² and ½.
+NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
 UNKNOWN = "und"
 LEAST = 0.25  # a text of another script, or of no language, scores near 0; short texts of a known one 0.4 and more
 
@@ -35,7 +36,10 @@ def codes(text: str) -> tuple[np.ndarray, np.ndarray]:
         at, end = end, end + BLOCK
         while end < len(text) and text[end].isalpha():
             end += 1
-        words = OTHER.sub(" ", text[at:end].lower()).strip()
+        part = text[at:end].lower()
+        for c in NUMBERS.intersection(part):
+            part = part.replace(c, " ")
+        words = OTHER.sub(" ", part).strip()
         if not words:
             continue
         c = np.frombuffer(f" {words} ".encode("utf-32-le"), np.uint32).astype(np.uint64)

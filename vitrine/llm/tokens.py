@@ -13,6 +13,10 @@ EOS = 1
 HELD, SHORT = 250_000, 40  # pieces after which a task forgets those it has not met lately, and how long they may be
 #: A byte-level vocabulary never joins what stands before a space to a letter or digit after it.
 BORDER = re.compile(r" (?=[^\W_])")
+ENDS = ",.;:!?)"
+LETTERS = "\u0530"  # Latin, Greek and Cyrillic letters come before it
+#: Byte-level vocabularies write bytes that don't show as characters from 256 on, in order.
+SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 def default_path() -> str:
@@ -38,17 +42,31 @@ class Encoder(dict):
         self.pieces = not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         self.special = [t["content"] for t in told.get("added_tokens", ())]
         self.before: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def word(self, piece: str) -> bytes:
-        """A space and ASCII letters: nothing to split, so the merges alone give the ids ("Ġ" is the byte of a space)."""
-        ids = [t.id for t in self.merges.tokenize("Ġ" + piece)]
+        """A space and letters: nothing to split, so the merges over their bytes alone give the ids."""
+        ids = [t.id for t in self.merges.tokenize((" " + piece).encode().decode("latin-1").translate(SHOWN))]
         return pack(f"<{len(ids)}I", *ids)
 
+    def ends(self, marks: str) -> bytes:
+        if (ids := self.marks.get(marks)) is None:
+            ids = self.whole(marks)
+            if len(marks) <= 4:
+                self.marks[marks] = ids
+        return ids
+
     def whole(self, text: str) -> bytes:
         return pack(f"<{len(ids := self.made.encode(text, add_special_tokens=False).ids)}I", *ids)
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece) or (self.word(piece) if piece.isascii() and piece.isalpha() else self.whole(" " + piece))
+        ids = self.before.get(piece)
+        if ids is None:
+            word = piece.rstrip(ENDS)
+            if word is not piece and word.isalpha():  # letters and what follows them are never joined
+                ids = self[word] + self.ends(piece[len(word) :])
+            else:
+                ids = self.word(piece) if piece.isalpha() and max(piece) < LETTERS else self.whole(" " + piece)
         if len(piece) <= SHORT:
             if len(self) >= HELD:
                 self.before = dict(self)
