@@ -187,3 +187,19 @@ def test_neighbourhoods_texts_and_shares(spark):
     assert [tuple(r) for r in vector.without_frequent(edges, "k", "t", 2).collect()] == [(1, ["y"])]
     assert [tuple(r) for r in aggregates.shared_prefixes(make([(f"Album ({i})",) for i in range(3)] + [("Other (1)",)], "t string"), "t").collect()] == [("Album", 3)]
     assert [tuple(r) for r in aggregates.covered(edges, "t", "k", F.col("k") > 1).orderBy("t").collect()] == [("x", 3, 2, 0.6667), ("y", 1, 0, 0.0)]
+
+
+@pytest.mark.parametrize(("text", "phrase"), [("by Antonín Dvořák, 1880", "Dvořák"), ("by Antonin Dvorak", "dvořák"), ("Škoda works", "skoda"), ("Skǒda", "Škŏda"), ("Søren Łoś", "soren"), ("café au lait", "CAFÉ"), ("Nguyễn Ái", "nguyen ai")])
+def test_texts_and_phrases_fold_alike(spark, text, phrase):
+    row = spark.createDataFrame([(text,)], "t string").select(T.has_phrase(T.padded(T.tokens(F.col("t"))), phrase).alias("x")).first()
+    assert row["x"] == (phrase.lower() != "škŏda" or T.words_of(phrase) == ["skoda"])
+
+
+@pytest.mark.parametrize(("text", "pieces"), [
+    ("sale A (b; (1700-1780) c); to D", ["sale A (b; (1700-1780) c)", " to D"]),
+    ('a "x; y" b; c', ['a "x; y" b', " c"]), ("a; b; c", ["a", " b", " c"]), ("a (b; c", ["a (b", " c"]), ("a [b; (c; d); e]; f", ["a [b; (c; d); e]", " f"]), ("", [""]),
+])
+def test_pieces_outside_nested_brackets(spark, text, pieces):
+    from vitrine.operators.provenance import outside_brackets
+
+    assert spark.createDataFrame([(text,)], "t string").select(outside_brackets(F.col("t")).alias("p")).first()["p"] == pieces

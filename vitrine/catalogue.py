@@ -73,19 +73,21 @@ class Catalogue:
         return self.mappings.join(ids, "field_id", "left_semi").select("artwork_id", "vocab_rowid").distinct()
 
     def terms(self, name: str, value) -> DataFrame:
-        """(vocab_rowid) of the terms that a filter's value means: a number is an id, an iconclass a notation,
-        anything else the first tier of label matches that has any."""
+        """(vocab_rowid) of the terms that a filter's value means: an iconclass is a notation, anything else the first
+        tier of label matches that has any; a creator's id, as ``persons`` gives it, comes before labels."""
         kind = VOCABULARY_FILTERS[name][1]
         terms = self.vocabulary.where(F.col("type") == kind) if kind else self.vocabulary
-        if str(value).isdigit():
-            return terms.where(F.col("vocab_int_id") == int(value)).select(F.col("vocab_int_id").alias("vocab_rowid"))
         if name == "iconclass":
-            return terms.where(F.col("notation") == value).select(F.col("vocab_int_id").alias("vocab_rowid"))
+            return terms.where(F.col("notation") == str(value)).select(F.col("vocab_int_id").alias("vocab_rowid"))
         labels = terms.select("vocab_int_id", F.explode(F.array("label_en", "label_nl")).alias("label")).where("label <> ''")
         if name in ("creator", "aboutActor", "depictedPerson") and "person_names" in self.tables:
             names = self.person_names.join(terms.select(F.col("id").alias("person_id"), "vocab_int_id"), "person_id")
             labels = labels.unionByName(names.select("vocab_int_id", F.col("name").alias("label")))
-        return filters.tiered_label(labels, "label", str(value)).select(F.col("vocab_int_id").alias("vocab_rowid")).distinct()
+        found = filters.tiered_label(labels, "label", str(value)).select("vocab_int_id", "tier")
+        if name == "creator" and str(value).isdigit():
+            found = found.unionByName(terms.where(F.col("id") == str(value)).select("vocab_int_id", F.lit(0).alias("tier")))
+            found = found.join(F.broadcast(found.agg(F.min("tier").alias("tier"))), "tier")
+        return found.select(F.col("vocab_int_id").alias("vocab_rowid")).distinct()
 
     def with_narrower(self, terms: DataFrame) -> DataFrame:
         """Terms and all that stand below them."""

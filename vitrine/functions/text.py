@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 from itertools import product
 
@@ -11,19 +13,30 @@ from pyspark.sql import functions as F
 MOST_TERMS = 32
 
 
+def _folds() -> dict[str, str]:
+    """Lower-case Latin letters with marks, and the letters that they are without; o with a stroke counts too."""
+    out = {"ø": "o"}
+    for c in map(chr, (*range(0xDF, 0x250), *range(0x1E00, 0x1F00))):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+        if c == c.lower() and len(bare) == 1 and bare != c:
+            out[c] = bare
+    return out
+
+
+FOLDS = _folds()
+MARKS = "".join(map(chr, range(0x300, 0x370)))  # combining marks, which stand alone in decomposed texts
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of letters and digits; Latin accents removed; null: none."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy")
+    """Lower-case runs of letters and digits; Latin accents removed, combined or not; null: none."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), "".join(FOLDS) + MARKS, "".join(FOLDS.values()))
     return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
 
 def words_of(phrase: str) -> list[str]:
-    """A query phrase as the tokens that it matches."""
-    import re
-    import unicodedata
-
-    plain = "".join(c for c in unicodedata.normalize("NFKD", phrase.lower()) if not unicodedata.combining(c))
-    return [w for w in re.split(r"[^\w]+|_", plain) if w]
+    """A query phrase as the tokens that it matches, folded as ``tokens`` folds texts."""
+    plain = "".join(FOLDS.get(c, c) for c in phrase.lower() if c not in MARKS)
+    return [w for w in re.split(r"[\W_]+", plain) if w]
 
 
 def padded(toks: Column) -> Column:

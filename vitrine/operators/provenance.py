@@ -71,13 +71,30 @@ def found(text: Column, pattern: str, group: int = 0) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def outside_brackets(text: Column) -> Column:
+    """The pieces of a text between semicolons that stand in no bracket or quotation, however deep; a bracket that
+    never closes holds nothing together."""
+
+    def whole(t: Column) -> Column:
+        n = lambda marks: F.length(t) - F.length(F.translate(t, marks, ""))
+        return (n("([“") <= n(")]”")) & (n('"') % 2 == 0)
+
+    def merged(at: Column, piece: Column) -> Column:
+        joined = F.concat_ws(";", at["open"], piece)
+        done = whole(joined)
+        return F.struct(F.when(done, F.concat(at["done"], F.array(joined))).otherwise(at["done"]).alias("done"), F.when(~done, joined).alias("open"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
+    return F.aggregate(F.split(text, ";"), start, merged, lambda at: F.when(at["open"].isNull(), at["done"]).otherwise(F.concat(at["done"], F.split(at["open"], ";"))))
+
+
 def segments(rows: DataFrame, key: str, text: str) -> DataFrame:
     """(key, sequence, raw_text, gap, citations): pieces between semicolons outside brackets, in order. Citations
     in braces are set aside; an ellipsis before or after a piece marks a gap."""
     clean = F.regexp_replace(F.col(text), r"<[^>]*>", "")
     mark = F.regexp_replace(clean, r"\{[^}]*\}", "\u0001")
     cited = F.regexp_extract_all(clean, F.lit(r"\{([^}]*)\}"), 1)
-    pieces = F.split(mark, r";(?![^(\[]*[)\]])")
+    pieces = outside_brackets(mark)
     out = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(pieces).alias("_i", "_t"), pieces.alias("_all"), cited.alias("_cited"))
     marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\u0001"), F.lit("")))
     before = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda n, t: n + marks(t))
