@@ -28,11 +28,11 @@ def rec_fallback(t):
 
 @query("""with p as (select distinct p_name from part), w as (select p_name, list_distinct(list_filter(string_split_regex(lower(p_name), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) as w from p)
   select x.p_name as a, y.p_name as b, len(list_intersect(x.w, y.w))::double / len(list_distinct(list_concat(x.w, y.w))) as similarity from w x, w y
-  where x.p_name < 'h' and len(list_intersect(x.w, y.w))::double / len(list_distinct(list_concat(x.w, y.w))) >= 0.6""")
+  where len(list_intersect(x.w, y.w))::double / len(list_distinct(list_concat(x.w, y.w))) >= 0.6""")
 def rec_alike(t):
     """Names with a likeness of tokens, met under their rarest tokens."""
     names = t.part.select("p_name").distinct()
-    return R.alike(names.where("p_name < 'h'"), names, "p_name", "p_name", 0.6)
+    return R.alike(names, names, "p_name", "p_name", 0.6)
 
 
 @query(f"""with n as {NATION_PLACES}, k as (select a.n_nationkey, {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} as km from n a join n b on a.n_nationkey // 3 = b.n_nationkey and a.n_nationkey <> b.n_nationkey)
