@@ -29,6 +29,11 @@ TEXTS = {"title": "title_all_text", "description": "description_text", "inscript
 SORTS = {"height": "height_cm", "width": "width_cm", "dateEarliest": "date_earliest", "dateLatest": "date_latest", "recordModified": "record_modified"}
 PRESENCE = {"hasProvenance": "provenance_events", "hasExhibitions": "artwork_exhibitions", "hasExternalIds": "artwork_external_ids", "hasExaminations": "examinations", "hasModifications": "modifications", "hasParent": "artwork_parent"}
 FILLED = {"hasInscription": "inscription_text", "hasNarrative": "narrative_text"}
+EVENTS = {"transferType": "transferType", "provenanceLocation": "location", "provenanceDateFrom": "dateFrom", "provenanceDateTo": "dateTo", "categoryMethod": "categoryMethod", "parseMethod": "parseMethod", "unsold": "unsold", "uncertain": "uncertain", "gap": "gap", "crossRef": "crossRef"}
+PARTIES = {"party": "party", "positionMethod": "positionMethod", "partyRole": "partyRole"}
+LINKED = {"gender", "placeType", "exhibition", "hasAltNames", "hasWikidataCreator"}
+#: Words of personal names that say nothing when the words are looked for one by one.
+NAME_PARTICLES = frozenset("van von de di du of zu het the la le el den der ten ter della".split())
 OTHER = {"creationDate", "dateMatch", "minHeight", "maxHeight", "minWidth", "maxWidth", "objectNumber", "imageAvailable", "expandPlaceHierarchy", "sameRowMatching", "textQuery", "hasDimensions", "nearPlace", "nearLat", "nearLon", "nearPlaceRadius"}
 PAGING = {"sortBy", "sortOrder", "maxResults", "offset"}
 #: Filters that only narrow others.
@@ -44,7 +49,7 @@ def cleaned(params: dict) -> dict:
         if v is None or v in ("", "null") or v == []:
             continue
         out[k] = {"true": True, "false": False}.get(v, v) if isinstance(v, str) else v
-    if unknown := set(out) - {*VOCABULARY_FILTERS, *TEXTS, *PRESENCE, *FILLED, *OTHER, *PAGING}:
+    if unknown := set(out) - {*VOCABULARY_FILTERS, *TEXTS, *PRESENCE, *FILLED, *EVENTS, *PARTIES, *LINKED, *OTHER, *PAGING}:
         raise ValueError(f"unknown parameters {sorted(unknown)}")
     if not set(out) - MODIFIERS - PAGING:
         raise ValueError("a query needs at least one filter")
@@ -83,7 +88,12 @@ class Catalogue:
         if name in ("creator", "aboutActor", "depictedPerson") and "person_names" in self.tables:
             names = self.person_names.join(terms.select(F.col("id").alias("person_id"), "vocab_int_id"), "person_id")
             labels = labels.unionByName(names.select("vocab_int_id", F.col("name").alias("label")))
-        found = filters.tiered_label(labels, "label", str(value)).select("vocab_int_id", "tier")
+        if name == "creator" and "entity_alt_names" in self.tables:
+            bodies = self.entity_alt_names.where("entity_type in ('organisation', 'group')")
+            names = bodies.join(terms.select(F.col("id").alias("entity_id"), "vocab_int_id"), "entity_id")
+            labels = labels.unionByName(names.select("vocab_int_id", F.col("name").alias("label")))
+        people = name in ("creator", "aboutActor", "depictedPerson")
+        found = filters.tiered_label(labels, "label", str(value), NAME_PARTICLES if people else frozenset()).select("vocab_int_id", "tier")
         if name == "creator" and str(value).isdigit():
             found = found.unionByName(terms.where(F.col("id") == str(value)).select("vocab_int_id", F.lit(0).alias("tier")))
             found = found.join(F.broadcast(found.agg(F.min("tier").alias("tier"))), "tier")
@@ -142,8 +152,39 @@ class Catalogue:
         for name in (n for n in p if n in FILLED):
             some = F.coalesce(c(FILLED[name]), F.lit("")) != ""
             out = out.where(some if p[name] else ~some)
+        for rows, names, test in (("provenance_events", EVENTS, condition), ("provenance_parties", PARTIES, party_condition)):
+            if facets := {names[n]: p[n] for n in names if n in p}:
+                out = filters.same_row(out, self.tables[rows], "art_id", "artwork_id", test(**facets))
+        for name in (n for n in p if n in LINKED):
+            linked = self._linked(name, p[name]).toDF("_k")
+            out = out.join(linked, c("art_id") == c("_k"), "left_anti" if p[name] is False else "left_semi")
         return out
 
+    def _linked(self, name: str, value) -> DataFrame:
+        """(artwork_id) of works that a filter over other tables means: a creator of a gender, a place of production of a
+        type (by name or URI), an exhibition by its title, a term with other names, a creator known elsewhere."""
+        v, c = self.vocabulary, F.col
+        ids = lambda rows: rows.select(c("vocab_int_id").alias("vocab_rowid"))
+        if name == "exhibition":
+            shown = self.exhibitions.where(filters.substring(F.coalesce("title_en", "title_nl"), str(value))).select("exhibition_id")
+            return self.artwork_exhibitions.join(shown, "exhibition_id", "left_semi").select("art_id")
+        if name == "gender":
+            return self.edges("creator").join(ids(v.where(c("gender") == value)), "vocab_rowid", "left_semi").select("artwork_id")
+        if name == "hasWikidataCreator":
+            return self.edges("creator").join(ids(v.where("wikidata_id is not null")), "vocab_rowid", "left_semi").select("artwork_id")
+        if name == "hasAltNames":
+            named = v.join(self.entity_alt_names.select(c("entity_id").alias("id")), "id", "left_semi")
+            return self.mappings.join(ids(named), "vocab_rowid", "left_semi").select("artwork_id")
+        places = v.where(c("placetype") == value)
+        if "placetypes" in self.tables:
+            called = self.placetypes.where(F.lower("label") == str(value).lower()).select(c("uri").alias("placetype"))
+            places = places.unionByName(v.join(called, "placetype", "left_semi").select(v.columns))
+        return self.edges("spatial").join(ids(places), "vocab_rowid", "left_semi").select("artwork_id")
+
+    def total(self, params: dict) -> DataFrame:
+        """(total): how many artworks match, pages aside."""
+        return self.matching(params).agg(F.count("*").alias("total"))
+
     def point(self, p: dict) -> tuple[float, float] | None:
         """The coordinates that a query names, by number or by place; none named: None."""
         if "nearLat" in p and "nearLon" in p:
@@ -156,11 +197,18 @@ class Catalogue:
 
     def located(self, name: str):
         """The place (id, label, lat, lon) that a name means: of those whose label has the phrase the one with the
-        shortest label; without any, the name is tried without its last part, at commas first. None: None."""
+        shortest label; without any, the name is tried without its last word. What follows a comma names a place to be
+        near to: of several the shortest label within 100 km of it, else the nearest. None: None."""
         places = self.vocabulary.where("type = 'place' and lat is not null and lon is not null").select("id", F.explode(F.array("label_en", "label_nl")).alias("label"), "lat", "lon").where("label <> ''")
-        pad, tried = T.padded(T.tokens(F.col("label"))), name.split(",")[0].split()
+        first, _, rest = name.partition(",")
+        pad, tried = T.padded(T.tokens(F.col("label"))), first.split()
+        around = self.located(rest.strip()) if rest.strip() else None
+        order = [F.length("label"), F.col("label"), F.col("id")]
+        if around:
+            km = S.haversine_km(F.lit(around["lat"]), F.lit(around["lon"]), F.col("lat"), F.col("lon"))
+            order = [F.when(km <= 100, 0.0).otherwise(km), *order]
         for phrase in dict.fromkeys([name, *(" ".join(tried[:n]) for n in range(len(tried), 0, -1))]):
-            found = places.where(T.has_phrase(pad, phrase)).orderBy(F.length("label"), "label", "id").limit(1).collect()
+            found = places.where(T.has_phrase(pad, phrase)).orderBy(*order).limit(1).collect()
             if found:
                 return found[0]
         return None
@@ -175,14 +223,14 @@ class Catalogue:
         linked = self.edges("subject", "spatial").join(close, "vocab_rowid")
         return linked.groupBy(F.col("artwork_id").alias("art_id")).agg(F.min(F.struct("km", "place")).alias("_m")).select("art_id", "_m.place", "_m.km")
 
-    def search_near(self, params: dict, slice_size: int = 2000) -> DataFrame:
-        """Matches near a place, nearest first, among the most important ten pages (``slice_size`` at least), with
-        the nearest place and its distance."""
+    def search_near(self, params: dict, slice_size: int | None = None) -> DataFrame:
+        """Matches near a place, nearest first, with the nearest place and its distance; with ``slice_size`` among the
+        most important only (ten pages at least)."""
         p = cleaned(params)
         most, offset = min(100, int(p.get("maxResults", 25))), int(p.get("offset", 0))
         out = self.matching(p).join(self.near(self.point(p), p.get("nearPlaceRadius", 25)), "art_id")
         order = [F.col("importance").desc_nulls_last()] if "importance" in out.columns else []
-        first = out.orderBy(*order, "art_id").limit(max(10 * (most + offset), slice_size))
+        first = out.orderBy(*order, "art_id").limit(max(10 * (most + offset), slice_size)) if slice_size else out
         return first.orderBy("km", "art_id").offset(offset).limit(most).select("object_number", "title", F.col("place").alias("nearest_place"), F.round("km", 1).alias("distance_km"))
 
     def _on_one_row(self, out: DataFrame, pairs: DataFrame, creators, other: str, others, column: str) -> DataFrame:
@@ -285,8 +333,9 @@ class Catalogue:
         eligible = self.matching(params).select("art_id") if params else None
         return vector.knn(self.artwork_embeddings, query, k, "art_id", "embedding", eligible)
 
-    def similar_by(self, channel: str, art_id: int, top: int = 25) -> DataFrame:
-        """(entity, score) of artworks like one, by one channel, best first."""
+    def similar_by(self, channel: str, art_id: int, top: int = 25, strength: dict[str, float] | None = None) -> DataFrame:
+        """(entity, score) of artworks like one, by one channel, best first. ``strength``: what a qualifier of an
+        attribution weighs, for lineage. Visual candidates are a table (art_id, other_id, score)."""
         v = self.vocabulary
         subjects = self.edges("subject").join(v.select(F.col("vocab_int_id").alias("vocab_rowid"), "type", "notation"), "vocab_rowid")
         if channel == "iconclass":
@@ -302,6 +351,12 @@ class Catalogue:
             found = similar.idf_overlap(self.edges("theme"), art_id, "artwork_id", "vocab_rowid", least_terms=2)
         elif channel == "related":
             found = similar.edge_tiers(self.related_objects, art_id, "art_id", "related_art_id", "relationship_en", {"different example": 6.0, "production stadia": 6.0, "pendant": 6.0}, 2.0)
+        elif channel == "lineage":
+            found = similar.pair_overlap(self.assignment_pairs, art_id, "artwork_id", "qualifier_id", "creator_id", strength or {})
+        elif channel == "description":
+            found = vector.similar_items(self.desc_embeddings, art_id, top, "art_id", "embedding").select(F.col("art_id").alias("entity"), F.col("similarity").alias("score"))
+        elif channel == "visual":
+            found = self.visual_candidates.where(F.col("art_id") == art_id).groupBy(F.col("other_id").alias("entity")).agg(F.max("score").alias("score"))
         else:
             raise ValueError(f"unknown channel {channel!r}")
         return found.select("entity", "score").orderBy(F.desc("score"), "entity").limit(top)
@@ -315,8 +370,9 @@ class Catalogue:
         out = one.join(arrays, "art_id", "left").withColumn("inscriptions", F.split("inscription_text", r"\s*\|\s*"))
         return out.withColumn("dimensions", S.dimension_label(F.col("height_cm"), F.col("width_cm")))
 
-    def persons(self, name: str | None = None, gender: str | None = None, born: tuple[int | None, int | None] = (None, None), has_works: bool | None = True) -> DataFrame:
-        """(id, label, birth_year, death_year, gender, n_works), busiest first."""
+    def persons(self, name: str | None = None, gender: str | None = None, born: tuple[int | None, int | None] = (None, None), has_works: bool | None = True, birth_place=None, death_place=None, profession=None, unused: bool = False) -> DataFrame:
+        """(id, label, birth_year, death_year, gender, n_works), busiest first. Places and professions are those of the
+        artworks that a person made (of several every one); ``unused``: persons who neither made a work nor are shown on one."""
         people = self.vocabulary.where("type = 'person'").withColumn("label", F.coalesce(F.nullif("label_en", F.lit("")), "label_nl"))
         if name:
             people = people.join(self.terms("creator", name).select(F.col("vocab_rowid").alias("vocab_int_id")), "vocab_int_id", "left_semi")
@@ -325,14 +381,22 @@ class Catalogue:
         for bound, side in zip(born, (">=", "<="), strict=True):
             if bound is not None:
                 people = people.where(f"birth_year {side} {int(bound)}")
+        for field, values in (("birthPlace", birth_place), ("deathPlace", death_place), ("profession", profession)):
+            for value in [] if values is None else each(values):
+                known = self.edges(*VOCABULARY_FILTERS[field][0]).join(self.terms(field, value), "vocab_rowid", "left_semi").select("artwork_id")
+                makers = self.edges("creator").join(known, "artwork_id", "left_semi").select(F.col("vocab_rowid").alias("vocab_int_id"))
+                people = people.join(makers, "vocab_int_id", "left_semi")
+        if unused:
+            has_works = False
+            people = people.join(self.edges("subject").select(F.col("vocab_rowid").alias("vocab_int_id")), "vocab_int_id", "left_anti")
         works = self.edges("creator").groupBy(F.col("vocab_rowid").alias("vocab_int_id")).agg(F.count("*").alias("n_works"))
         out = people.join(works, "vocab_int_id", "left").withColumn("n_works", F.coalesce("n_works", F.lit(0)))
         if has_works is not None:
             out = out.where(F.col("n_works") > 0 if has_works else F.col("n_works") == 0)
         return out.select("id", "label", "birth_year", "death_year", "gender", "n_works").orderBy(F.desc("n_works"), F.lower("label"), "id")
 
-    def sets(self, contains: str | None = None, least: int | None = None, most: int | None = None) -> DataFrame:
-        """(id, label, members) of curated sets, by name."""
+    def sets(self, contains: str | None = None, least: int | None = None, most: int | None = None, order: str = "name") -> DataFrame:
+        """(id, label, members) of curated sets, by name, size or sizeDesc."""
         named = self.vocabulary.where("type = 'set'").select("id", F.col("vocab_int_id").alias("vocab_rowid"), F.coalesce(F.nullif("label_en", F.lit("")), "label_nl").alias("label"))
         out = named.join(self.edges("collection_set"), "vocab_rowid", "left").groupBy("id", "label").agg(F.count("artwork_id").alias("members"))
         if contains:
@@ -341,7 +405,8 @@ class Catalogue:
             out = out.where(F.col("members") >= least)
         if most is not None:
             out = out.where(F.col("members") <= most)
-        return out.orderBy(F.lower("label"), "id")
+        by = {"name": [], "size": [F.col("members")], "sizeDesc": [F.desc("members")]}[order]
+        return out.orderBy(*by, F.lower("label"), "id")
 
     def set_page(self, set_id: str, size: int = 50, token: str | None = None) -> tuple[DataFrame, str]:
         """A page of a set's members by object number, and the token of the next page."""
@@ -370,7 +435,8 @@ class Catalogue:
 
 
 def condition(**facets) -> Column:
-    """A condition on one event: transferType (one or several), location, between (years), currency, party, unsold, gap."""
+    """A condition on one event: transferType (one or several), location, between (years), dateFrom, dateTo, currency,
+    party, hasPrice, unsold, uncertain, gap, crossRef, relatedTo, categoryMethod, parseMethod."""
     from vitrine.operators.provenance import party_is
 
     c, out = F.col, F.lit(True)
@@ -378,8 +444,22 @@ def condition(**facets) -> Column:
         test = {
             "transferType": lambda v: c("transfer_type").isin(*each(v)), "location": lambda v: filters.substring(c("location"), v), "between": lambda v: c("date_year").between(*v),
             "currency": lambda v: c("price_currency") == v, "party": party_is, "unsold": lambda v: c("unsold") == v, "gap": lambda v: c("gap") == v, "hasPrice": lambda v: c("price_amount").isNotNull() == v,
+            "dateFrom": lambda v: c("date_year") >= int(v), "dateTo": lambda v: c("date_year") <= int(v), "uncertain": lambda v: c("uncertain") == v, "crossRef": lambda v: c("is_cross_ref") == v, "relatedTo": lambda v: c("cross_ref_target") == v,
+            "categoryMethod": lambda v: c("category_method") == v, "parseMethod": lambda v: c("parse_method") == v,
         }.get(name)
         if test is None:
             raise ValueError(f"unknown condition {name!r}")
         out = out & test(value)
     return F.coalesce(out, F.lit(False))
+
+
+def party_condition(party: str | None = None, positionMethod: str | None = None, partyRole: str | None = None) -> Column:  # noqa: N803
+    """A condition on one party's row: part of its name, how its position was found, its role."""
+    out = F.lit(True)
+    if party:
+        out = out & filters.substring(F.col("party_name"), party)
+    if positionMethod:
+        out = out & (F.col("position_method") == positionMethod)
+    if partyRole:
+        out = out & (F.col("party_role") == partyRole)
+    return F.coalesce(out, F.lit(False))

@@ -45,12 +45,12 @@ def _quoted(value: str) -> str:
     return re.escape(value)
 
 
-def tiered_label(labels: DataFrame, label: str, phrase: str) -> DataFrame:
-    """Labels matched by the first tier that matches any: the phrase; forms of its words; the phrase without
-    spaces as a substring. Adds ``tier``."""
+def tiered_label(labels: DataFrame, label: str, phrase: str, skipped: frozenset[str] = frozenset()) -> DataFrame:
+    """Labels matched by the first tier that matches any: the phrase; forms of its words in any order, but for the
+    ``skipped`` ones; the phrase without spaces as a substring. Adds ``tier``."""
     pad = T.padded(T.tokens(F.col(label)))
     words = F.lit(True)
-    groups = T.expanded(phrase)
+    groups = T.expanded(" ".join(w for w in T.words_of(phrase) if w not in skipped))
     for group in groups or []:
         some = F.lit(False)
         for w in group:
