@@ -134,9 +134,11 @@ def long_periods(periods: DataFrame, years: int = 200) -> DataFrame:
 
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of ``n`` rows without replacement, the same for the same seed: the first by a hash of the key.
-    Tasks keep their first ``n`` before anything is shuffled."""
-    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), key).limit(n)
+    """A uniform sample of ``n`` rows without replacement, the same for the same seed: the first by a hash of the key
+    (null: empty); rows of one key go by a hash of all their columns. Tasks keep their first ``n`` before anything is
+    shuffled."""
+    drawn = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f"/{seed}")))
+    return rows.orderBy(drawn, key, F.xxhash64(*rows.columns)).limit(n)
 
 
 def wide(entities: DataFrame, edges: DataFrame, terms: DataFrame, key: str, columns: list[str]) -> DataFrame:
