@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import ann, decontaminate, htmltext, langid, packing, pii, simhash, substrings, tokenfiles, warc
+from vitrine.llm import align, ann, decontaminate, htmltext, langid, packing, pii, simhash, substrings, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,8 +68,14 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align.align(table(spark, sf_dir, "documents"))
+    digest = F.when(F.col("groups_text") == "", "").otherwise(F.sha2("groups_text", 256))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op5_langid, op6_html, op7_tokenfiles, op8_warc, op9_pii, op10_ann)
+    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op5_langid, op6_html, op7_tokenfiles, op8_warc, op9_pii, op10_ann, op11_alignment)
     return {f.__name__: f for f in every}
 
 
