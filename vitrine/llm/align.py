@@ -1,18 +1,21 @@
 """Two tokenizers aligned: where tokens of both end at one byte, a text is cut into groups, and tokens of a group are linked.
 
-Python only tokenises. Everything after it is Spark's array functions: the ends that both have are
-``array_intersect`` of the end arrays; where these cuts stand among a side's tokens is read from the sorted
-array of its ends and the cuts, in which a cut is an entry that equals the one before it; groups are slices
-between cuts; links are the distinct id pairs of each group with what they occur beyond once.
+Python only tokenises: it cuts texts into pieces where both tokenizers end a token in any text, and hands over, for
+batches of whole documents, every distinct piece's tokens once, in two arrays of ids and two of the bytes where
+they end, and every document as the numbers of its pieces. Everything after it is Spark's array functions:
+the ends that both have are ``array_intersect`` of the end arrays; where these cuts stand among a side's tokens is
+read from the sorted array of its ends and the cuts, in which a cut is an entry that equals the one before it;
+groups are slices between cuts, pieces are slices of groups, documents are lists of pieces.
 
 How many documents hold a pair is counted over all documents. A document gives each pair once, so nothing has
-to be made distinct by a shuffle, and tasks add up before it. The counts come back to the documents by a
-broadcast of at most ``HOT`` pairs, which are all of them or those that more than a ``HOT``-th of all entries have;
-the entries of rarer pairs are shuffled.
+to be made distinct by a shuffle, and tasks add up before it. The counts come back to the links by a broadcast of at
+most ``HOT`` pairs, which are all of them or those that more than a ``HOT``-th of all entries have; the links of rarer
+pairs are shuffled.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -22,14 +25,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm import tokens
-from vitrine.llm.shared import cut, stored
+from vitrine.llm.shared import stored
 
 HOT = 500_000  # pairs that may be broadcast: two longs and a flag each
-BATCH = 1 << 20  # tokens after which a task hands over what it has
+BATCH = 1 << 20  # pieces after which a task hands over what it has
+SHORT = 200  # pieces up to this go to the fast merges, longer ones to those whose time doesn't grow with the square
 #: Neither tokenizer joins what stands before a space to a letter or digit after it, where no other space stands before.
 BORDER = re.compile(r"(?<=[^ ]) (?=[^\W_])")
 SPACE = "▁"
-ARRAYS = "ids_a array<int>, ends_a array<int>, ids_b array<int>, ends_b array<int>"
 
 
 def piece_path() -> str:
@@ -38,62 +41,59 @@ def piece_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Both(dict):
-    """Of a piece of text (the key; a space stands before it): its ids and the bytes of each id, for both tokenizers,
-    each as unsigned 32-bit integers; None if the bytes aren't those of the piece.
-
-    Pieces end where both tokenizers end a token, so texts go piece by piece, and short pieces are remembered.
-    """
+class Both:
+    """Both tokenizers with the bytes of each id."""
 
     def __init__(self, path_a: str, path_b: str):
+        import public_tokenizers
         import sentencepiece
+        import tiktoken
+        from tokenizers import Tokenizer
 
-        self.a = tokens.Encoder(path_a)
-        self.a.made.encode_special_tokens = True
-        self.a.special = []
+        self.a = Tokenizer.from_file(path_a)
+        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        back = {shown: byte for byte, shown in tokens.SHOWN.items()}
-        own = lambda entry: bytes(back.get(ord(c), ord(c) & 255) for c in entry)
-        n = self.a.made.get_vocab_size()
-        self.bytes_a = [own(self.a.made.id_to_token(i) or "") for i in range(n)]
+        told = json.loads(self.a.to_str())
+        back = {shown: bytes([byte]) for byte, shown in tokens.SHOWN.items()}
+        own = lambda entry: b"".join(back.get(ord(c), bytes([ord(c) & 255])) for c in entry)
+        self.bytes_a = [own(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
         self.bytes_b = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
-        self.cut_alike = self.a.pieces and not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
-        self.before: dict = {}
+        plain = tokens.splits_at_spaces(told)
+        self.cut_alike = plain and not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
+        special = {t["id"] for t in told.get("added_tokens", ())}
+        ranks = {x: i for i, x in enumerate(self.bytes_a) if i not in special}
+        in_order = plain and tokens.merged_in_order(told)  # the ids tell which merge comes first
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary if in_order else None
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def made_of(self, text: str, ids_a: bytes) -> tuple | None:
-        whole = b" " + text.encode()
-        a, b = array("I", ids_a), array("I", self.b.encode(text))
-        got_a, got_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
-        if b"".join(got_a) != whole or b"".join(got_b) != whole:
-            return None
-        return ids_a, array("I", map(len, got_a)).tobytes(), b.tobytes(), array("I", map(len, got_b)).tobytes()
-
-    def __missing__(self, piece: str) -> tuple | None:
-        found = self.before.get(piece) or self.made_of(piece, self.a[piece])
-        if len(piece) <= tokens.SHORT:
-            if len(self) >= tokens.HELD:
-                self.before = dict(self)
-                self.clear()
-            self[piece] = found
-        return found
-
-    def arrays(self, text: str | None) -> list[np.ndarray] | None:
-        """ids_a, ends_a, ids_b, ends_b of a text; None if it has no tokens."""
-        if not text:
-            return None
-        if self.cut_alike:
-            first, *rest = BORDER.split(text)
-            parts = [self.made_of(first, self.a.whole(" " + first)), *map(self.__getitem__, rest)]
-        else:
-            parts = [self.made_of(text, self.a.whole(" " + text))]
-        if None in parts:
-            return None
-        ids_a, lens_a, ids_b, lens_b = (np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in zip(*parts, strict=True))
-        return [ids_a, np.cumsum(lens_a, dtype=np.int32), ids_b, np.cumsum(lens_b, dtype=np.int32)]
+    def ids_a(self, piece: str) -> list[int]:
+        return self.fast(" " + piece) if self.fast and len(piece) <= SHORT else self.a.encode(" " + piece, add_special_tokens=False).ids
+
+    def pieces(self, text: str | None) -> list[str]:
+        return [] if not text else BORDER.split(text) if self.cut_alike else [text]
+
+    def tokenised(self, pieces: list[str]) -> tuple[list[int], list[np.ndarray]]:
+        """(the place of each piece among those that both tokenizers give back byte by byte, or -1; the arrays
+        ids_a, ends_a, upto_a, ids_b, ends_b, upto_b of these): ends count bytes and upto tokens on over the pieces."""
+        ids, lens, n = (array("i"), array("i")), (array("i"), array("i")), (array("i"), array("i"))
+        at, kept = [], 0
+        for piece, b in zip(pieces, self.b.encode(pieces, num_threads=1), strict=True):
+            a, whole = self.ids_a(piece), b" " + piece.encode()
+            got_a, got_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
+            if b"".join(got_a) != whole or b"".join(got_b) != whole:
+                at.append(-1)
+                continue
+            at.append(kept)
+            kept += 1
+            for side, (x, got) in enumerate(((a, got_a), (b, got_b))):
+                ids[side].extend(x)
+                lens[side].extend(map(len, got))
+                n[side].append(len(x))
+        told = lambda x: np.array(x, np.int32)
+        return at, [y for side in (0, 1) for y in (told(ids[side]), np.cumsum(told(lens[side]), dtype=np.int32), np.cumsum(told(n[side]), dtype=np.int32))]
 
 
 @lru_cache(maxsize=2)
@@ -102,122 +102,136 @@ def both(path_a: str, path_b: str) -> Both:
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str) -> DataFrame:
-    """(row, id, ids_a, ends_a, ids_b, ends_b); arrays are empty where a text has no tokens."""
+    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens) and the tokens of
+    its distinct pieces (see ``Both.tokenised``)."""
 
-    def arrays(batches):
+    def batches(inputs):
         import pyarrow as pa
 
         made = both(path_a, path_b)
-        none = [np.empty(0, np.int32)] * 4
-
-        def told(b, done, found):
-            lists = [pa.ListArray.from_arrays(np.cumsum([0, *map(len, x)], dtype=np.int32), pa.array(np.concatenate(x))) for x in zip(*found, strict=True)]
-            return pa.RecordBatch.from_arrays([*b.slice(done, len(found)).columns[:2], *lists], names=["row", "id", "ids_a", "ends_a", "ids_b", "ends_b"])
 
-        for b in batches:
-            done, n, found = 0, 0, []
+        def told(b, done, n, pieces, number):
+            at, arrays = made.tokenised([*number])
+            at = np.array([*at, -1], np.int64)
+            own = [at[p] for p in pieces]
+            own = [p if len(p) and p.min() >= 0 else p[:0] for p in own]
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)], dtype=np.int32), pa.array(np.concatenate(own).astype(np.int32)))
+            each = pa.StructArray.from_arrays([*b.slice(done, n).columns[:2], lists], names=["row", "id", "pieces"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays([one(each), *(one(pa.array(x)) for x in arrays)], names=["docs", "ids_a", "ends_a", "upto_a", "ids_b", "ends_b", "upto_b"])
+
+        for b in inputs:
+            done, total, pieces, number = 0, 0, [], {}
             for text in b.column(2):
-                found.append(made.arrays(text.as_py()) or none)
-                n += len(found[-1][0]) + len(found[-1][2])
-                if n >= BATCH:
-                    yield told(b, done, found)
-                    done, n, found = done + len(found), 0, []
-            if found:
-                yield told(b, done, found)
-
+                pieces.append(np.array([number.setdefault(p, len(number)) for p in made.pieces(text.as_py())], np.int64))
+                total += len(pieces[-1])
+                if total >= BATCH:
+                    yield told(b, done, len(pieces), pieces, number)
+                    done, total, pieces, number = done + len(pieces), 0, [], {}
+            if pieces:
+                yield told(b, done, len(pieces), pieces, number)
+
+    kind = docs.schema[id_col].dataType.simpleString()
     some = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return some.mapInArrow(arrays, f"row long, id {docs.schema[id_col].dataType.simpleString()}, {ARRAYS}")
+    return some.mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>>>, ids_a array<int>, ends_a array<int>, upto_a array<int>, ids_b array<int>, ends_b array<int>, upto_b array<int>")
 
 
-def let(value: Column, f) -> Column:
-    """``f`` of a value that is worked out once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def places(doubled: str) -> Column:
+    """How many entries of an ascending array come up to each of some of them, which the sorted array ``doubled``
+    holds a second time; with a 0 in front."""
+    z = F.col(doubled)
+    second = F.when(F.size(z) > 0, F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: (i > 0) & (F.get(z, i) == F.get(z, i - 1))))
+    return F.concat(F.array(F.lit(0)), F.coalesce(F.transform(second, lambda i, k: i - k), F.array().cast("array<int>")))
 
 
-def places(ends: str, cuts: str) -> Column:
-    """How many of the ascending ``ends`` come up to each of ``cuts``, which are some of them; linear but for the sort."""
+def between(values: Column, at: Column, k: Column) -> Column:
+    """The values of the ``k``-th stretch."""
+    return F.slice(values, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))
 
-    def found(both_: Column) -> Column:
-        doubled = F.filter(F.sequence(F.lit(2), F.size(both_)), lambda i: F.get(both_, i - 1) == F.get(both_, i - 2))
-        return F.transform(doubled, lambda i, k: i - k - 1)
 
-    return F.when(F.size(cuts) > 0, let(F.sort_array(F.concat(ends, cuts)), found)).otherwise(F.array().cast("array<int>"))
+def stretches(at: str, f) -> Column:
+    """``f`` of the number of each stretch, in order."""
+    return F.when(F.size(at) > 1, F.transform(F.sequence(F.lit(0), F.size(at) - 2), f))
 
 
-def group(ids: Column, at: Column, k: Column) -> Column:
-    """The ids of the ``k``-th group, whose tokens come up to ``at[k]``."""
-    before = F.when(k == 0, 0).otherwise(F.get(at, k - 1))
-    return F.slice(ids, before + 1, F.get(at, k) - before)
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, not again for every entry that reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def code(a: Column, b: Column) -> Column:
-    return a.cast("long") * (1 << 32) + b
-
-
-def times(ids: Column, x: Column) -> Column:
-    return F.size(F.filter(ids, lambda y: y == x)).cast("long")
+    return F.shiftleft(a.cast("long"), 32) + b
 
 
 def grouped(made: DataFrame) -> DataFrame:
-    """One row per document with its groups (array of (a, b), each an array of ids)."""
-    cuts = made.withColumn("cuts", F.array_intersect("ends_a", "ends_b"))
-    at = cuts.withColumns({"at_a": places("ends_a", "cuts"), "at_b": places("ends_b", "cuts")})
-    each = F.transform("at_a", lambda _, k: F.struct(group(F.col("ids_a"), F.col("at_a"), k).alias("a"), group(F.col("ids_b"), F.col("at_b"), k).alias("b")))
-    return at.select("row", "id", F.size("ids_a").cast("long").alias("n_a"), F.size("ids_b").cast("long").alias("n_b"), each.alias("groups"))
-
-
-def linked(groups: DataFrame) -> DataFrame:
-    """Per document: n_groups, n_links, the groups as text, and ``links``: (code, n) of each distinct pair, n the
-    groups it stands in, and ``more``: (code, n) what it occurs in a group beyond once."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    text = F.array_join(F.transform("groups", lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-    one = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
-    pairs = lambda g, f: F.flatten(F.transform(F.array_distinct(g["a"]), lambda x: F.transform(F.array_distinct(g["b"]), lambda y: f(x, y))))
-    codes = F.flatten(F.transform("groups", lambda g: F.when(one(g), F.array(code(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0))))).otherwise(pairs(g, code))))
-    repeats = F.filter("groups", lambda g: (F.size(F.array_distinct(g["a"])) < F.size(g["a"])) | (F.size(F.array_distinct(g["b"])) < F.size(g["b"])))
-    again = F.flatten(F.transform(repeats, lambda g: pairs(g, lambda x, y: F.struct(code(x, y).alias("code"), (times(g["a"], x) * times(g["b"], y) - 1).alias("n")))))
-    n_links = F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"]))
-    some = groups.select("row", "id", "n_a", "n_b", F.size("groups").cast("long").alias("n_groups"), n_links.alias("n_links"), text.alias("groups_text"), F.sort_array(codes).alias("codes"), F.filter(again, lambda x: x["n"] > 0).alias("more"))
-    heads = F.filter(F.sequence(F.lit(0), F.size("codes") - 1), lambda i: (i == 0) | (F.get(F.col("codes"), i) != F.get(F.col("codes"), i - 1)))
-    some = some.withColumn("heads", F.when(F.size("codes") > 0, heads).otherwise(F.array().cast("array<int>")))
-    ends = lambda k: F.coalesce(F.get(F.col("heads"), k + 1), F.size("codes"))
-    links = F.transform("heads", lambda i, k: F.struct(F.get(F.col("codes"), i).alias("code"), (ends(k) - i).cast("long").alias("n")))
-    return some.select(*(c for c in some.columns if c not in ("codes", "heads", "more")), links.alias("links"), "more")
-
-
-def counted(links: DataFrame, told) -> DataFrame:
+    """One row per batch: docs and, of each distinct piece, n_a, n_b, n_groups, n_links, its groups as text, and its
+    links: (code, n) for each distinct pair of each of its groups, n its occurrences there."""
+    a, b, at_a, at_b, at_p = (F.col(c) for c in ("ids_a", "ids_b", "at_a", "at_b", "at_p"))
+    some = made.withColumns({"cuts": F.array_intersect("ends_a", "ends_b"), "ends_p": F.transform("upto_a", lambda x: F.get(F.col("ends_a"), x - 1))})
+    some = some.withColumns({"z_a": F.sort_array(F.concat("ends_a", "cuts")), "z_b": F.sort_array(F.concat("ends_b", "cuts")), "z_p": F.sort_array(F.concat("cuts", "ends_p"))})
+    zero = F.array(F.lit(0))
+    some = some.withColumns({f"at_{c}": places(f"z_{c}") for c in "abp"}).withColumns({"upto_a": F.concat(zero, "upto_a"), "upto_b": F.concat(zero, "upto_b")})
+
+    single = lambda k: (F.get(at_a, k + 1) - F.get(at_a, k) == 1) & (F.get(at_b, k + 1) - F.get(at_b, k) == 1)
+    first = lambda k: (F.get(a, F.get(at_a, k)), F.get(b, F.get(at_b, k)))
+    text = lambda k: F.concat_ws("|", *(F.array_join(between(ids, at, k).cast("array<string>"), ",") for ids, at in ((a, at_a), (b, at_b))))
+    texts = stretches("at_a", lambda k: F.when(single(k), F.concat_ws("|", *(x.cast("string") for x in first(k)))).otherwise(text(k)))
+    pair = lambda x, y, n: F.struct(code(x, y).alias("code"), n.cast("long").alias("n"))
+    times = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
+
+    def crossed(k: Column) -> Column:
+        in_a, in_b = between(a, at_a, k), between(b, at_b, k)
+        return F.flatten(F.transform(F.array_distinct(in_a), lambda x: F.transform(F.array_distinct(in_b), lambda y: pair(x, y, times(in_a, x) * times(in_b, y)))))
+
+    links = stretches("at_a", lambda k: F.when(single(k), F.array(pair(*first(k), F.lit(1)))).otherwise(crossed(k)))
+    size = lambda c, k: F.get(F.col(c), k + 1) - F.get(F.col(c), k)
+    own = {"n_a": stretches("at_p", lambda k: size("upto_a", k)), "n_b": stretches("at_p", lambda k: size("upto_b", k)), "n_groups": stretches("at_p", lambda k: size("at_p", k)),
+           "text": let(texts, lambda t: stretches("at_p", lambda k: F.array_join(between(t, at_p, k), ";"))),
+           "links": let(links, lambda x: stretches("at_p", lambda k: F.flatten(between(x, at_p, k))))}
+    return some.select("docs", *(x.alias(c) for c, x in own.items()))
+
+
+def counted(batches: DataFrame) -> DataFrame:
     """(code, n, best): the documents that hold each pair, and whether no pair of its first id has more."""
-    pairs = told(links.select(F.explode("links.code").alias("code")).groupBy("code").agg(F.count("*").alias("n")))
+    of = lambda d, codes: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["pieces"]), lambda p: F.get(codes, p))))
+    codes = let(F.transform("links", lambda x: x["code"]), lambda c: F.transform("docs", lambda d: of(d, c)))
+    each = batches.select(F.explode(codes).alias("codes")).select(F.explode("codes").alias("code"))
+    pairs = stored(each.groupBy("code").agg(F.count("*").alias("n")), "pairs")
     most = pairs.groupBy(F.shiftright("code", 32).alias("a")).agg(F.max("n").alias("most"))
     return pairs.join(most, F.shiftright("code", 32) == F.col("a")).select("code", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """Per document: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_text.
+def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, told=lambda text: text) -> DataFrame:
+    """Per document: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, and ``groups``.
 
-    ``groups_text`` writes each group as ``a1,a2|b1``, groups joined by ``;``. ``n_best`` counts the links whose pair
-    is held by as many documents as any pair of its first id (ties all count); ``count_sum`` adds up those documents
-    over the links. Strings of special tokens are plain text.
+    ``groups`` is ``told`` of a text that writes each group as ``a1,a2|b1``, groups joined by ``;``. ``n_best`` counts the
+    links whose pair is held by as many documents as any pair of its first id (ties all count); ``count_sum`` adds
+    up those documents over the links. Strings of special tokens are plain text.
 
     Null and empty texts, and texts that a tokenizer doesn't give back byte by byte behind one space, have no tokens:
-    zeros and ''. Every row is a document of its own, whatever its id: null and repeated ids and equal rows stay and
-    each counts. Other columns are left out and may have any name. An empty table gives no rows.
+    zeros and ``told`` of ''. Every row is a document of its own, whatever its id: null and repeated ids and equal rows
+    stay and each counts. Other columns are left out and may have any name. An empty table gives no rows.
     """
     made = tokenised(docs, id_col, text_col, path_a or tokens.default_path(), path_b or piece_path())
-    links = stored(linked(grouped(made)), "links")
-    counts = stored(counted(links, cut), "pairs")
+    batches = stored(grouped(made), "aligned")
+    counts = stored(counted(batches), "counts")
     known = counts.agg(F.count("*").alias("pairs"), F.sum("n").alias("entries")).first()
+    often, rest = counts, None
     if known["pairs"] > hot:
         often, rest = counts.where(F.col("n") > known["entries"] // hot), counts.where(F.col("n") <= known["entries"] // hot)
-    else:
-        often, rest = counts, None
-    each = links.select("row", F.explode(F.concat("links", "more")).alias("x")).select("row", "x.code", F.col("x.n").alias("times"))
+
+    of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get(F.col("links"), p))).alias("links"))
+    each = batches.select(F.explode(F.transform("docs", of_doc)).alias("d")).select("d.row", F.explode("d.links").alias("x")).select("row", "x.code", F.col("x.n").alias("times"))
     each = each.join(F.broadcast(often), "code", "inner" if rest is None else "left")
-    add = lambda df: df.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"))
+    add = lambda df: df.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"), F.sum("times").alias("l"))
     sums = add(each.where(F.col("n").isNotNull()))
     if rest is not None:
         rare = each.where(F.col("n").isNull()).select("row", "code", "times").join(rest, "code")
-        sums = sums.unionByName(add(rare)).groupBy("row").agg(F.sum("s").alias("s"), F.sum("b").alias("b"))
-    out = links.select("row", "id", "n_a", "n_b", "n_groups", "n_links", "groups_text").join(sums, "row", "left")
+        sums = sums.unionByName(add(rare)).groupBy("row").agg(*(F.sum(c).alias(c) for c in "sbl"))
+
+    total = lambda d, c: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, p: n + F.get(F.col(c), p)).alias(c)
+    text = lambda d: F.array_join(F.transform(d["pieces"], lambda p: F.get(F.col("text"), p)), ";")
+    whole = lambda d: F.struct(d["row"].alias("row"), d["id"].alias("id"), *(total(d, c) for c in ("n_a", "n_b", "n_groups")), told(text(d)).alias("groups"))
+    out = batches.select(F.explode(F.transform("docs", whole)).alias("d")).select("d.*").join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("b").alias("n_best"), zero("s").alias("count_sum"), "groups_text")
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", zero("l").alias("n_links"), zero("b").alias("n_best"), zero("s").alias("count_sum"), "groups")

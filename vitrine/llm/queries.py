@@ -69,9 +69,8 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = align.align(table(spark, sf_dir, "documents"))
-    digest = F.when(F.col("groups_text") == "", "").otherwise(F.sha2("groups_text", 256))
-    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    digest = lambda text: F.when(text == "", "").otherwise(F.sha2(text, 256))
+    return align.align(table(spark, sf_dir, "documents"), told=digest).withColumnRenamed("groups", "groups_sha256")
 
 
 def queries() -> dict[str, Query]:

@@ -25,6 +25,19 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def splits_at_spaces(told: dict) -> bool:
+    """Whether a vocabulary (its file, read) is byte-level and splits texts at spaces before it merges."""
+    split = told.get("pre_tokenizer") or {}
+    return not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+
+
+def merged_in_order(told: dict) -> bool:
+    """Whether earlier merges make smaller ids, so that the ids alone tell which merge comes first."""
+    vocab = told["model"]["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in told["model"]["merges"]]
+    return all(a < b for a, b in zip(made, made[1:], strict=False))
+
+
 class Encoder(dict):
     """Ids of texts as little-endian unsigned 32-bit integers, by ``tokenizers``.
 
@@ -38,8 +51,7 @@ class Encoder(dict):
         self.made = Tokenizer.from_file(path)
         self.merges = self.made.model
         told = json.loads(self.made.to_str())
-        split = told.get("pre_tokenizer") or {}
-        self.pieces = not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        self.pieces = splits_at_spaces(told)
         self.special = [t["content"] for t in told.get("added_tokens", ())]
         self.before: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
