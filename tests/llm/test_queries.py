@@ -19,7 +19,7 @@ def test_rows_are_those_of_the_sql_twin(spark, sf_dir, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_contract_columns(spark, sf_dir):

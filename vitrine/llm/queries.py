@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import align, ann, decontaminate, htmltext, langid, packing, pii, simhash, substrings, tokenfiles, warc
+from vitrine.llm import align, ann, decontaminate, htmltext, langid, licenses, packing, pii, simhash, spelling, substrings, tokenfiles, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,8 +73,16 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"), told=digest).withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=31)
+
+
 def queries() -> dict[str, Query]:
-    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op5_langid, op6_html, op7_tokenfiles, op8_warc, op9_pii, op10_ann, op11_alignment)
+    every = (op1_decontamination, op2_packing, op3_simhash, op4_substrings, op5_langid, op6_html, op7_tokenfiles, op8_warc, op9_pii, op10_ann, op11_alignment, op12_licenses, op13_spelling)
     return {f.__name__: f for f in every}
 
 
@@ -122,4 +130,4 @@ LANGUAGE_SQL = f"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.oracle(), "op4_substrings": REPEATS_SQL, "op5_langid": LANGUAGE_SQL, "op8_warc": WARC_SQL, "op10_ann": ANN_SQL}
+    return {"op1_decontamination": decontaminate.oracle(), "op4_substrings": REPEATS_SQL, "op5_langid": LANGUAGE_SQL, "op8_warc": WARC_SQL, "op10_ann": ANN_SQL, "op12_licenses": licenses.oracle()}
