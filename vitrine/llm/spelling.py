@@ -16,6 +16,7 @@ from vitrine.llm.shared import stored
 
 RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LONG = 64  # words of more code points meet by their digests, so that their keys don't repeat them
 BASE = 0x9E3779B97F4A7C15  # any odd number
 
 
@@ -44,7 +45,8 @@ def sums(codes: np.ndarray, powers: np.ndarray, less: np.uint64) -> np.ndarray:
 
 
 def keys(of: DataFrame) -> DataFrame:
-    """(key, own, word, n) for each word of ``of`` (word, n) and each of its keys; ``own``: the key is the word itself."""
+    """(key, own, tag, length, n) for each word of ``of`` (word, tag, n) and each of its keys; ``own``: the key is the word
+    itself."""
 
     def each(batches):
         import pyarrow as pa
@@ -52,11 +54,12 @@ def keys(of: DataFrame) -> DataFrame:
         less = np.uint64(pow(BASE, -1, 1 << 64))
         powers = np.empty(0, np.uint64)
         for b in batches:
-            made = []
+            made, lengths = [], []
             for w in b.column(0):
                 codes = np.frombuffer(w.as_py().encode("utf-32-le"), "<u4").astype(np.uint64)
                 if len(codes) > len(powers):
                     powers = np.cumprod(np.full(2 * len(codes), BASE, np.uint64), dtype=np.uint64)
+                lengths.append(len(codes))
                 made.append(sums(codes + np.uint64(1), powers, less))
             n = np.array([*map(len, made)])
             ends = np.cumsum(n)
@@ -66,22 +69,28 @@ def keys(of: DataFrame) -> DataFrame:
                 own = np.zeros(len(rows), bool)
                 own[ends[first:last] - n[first:last] - (ends[first] - n[first])] = True
                 key = np.concatenate(made[first:last]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], names=["key", "own", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own), *(x.take(pa.array(rows)) for x in (b.column(1), pa.array(lengths, pa.int32()), b.column(2)))], names=["key", "own", "tag", "length", "n"])
 
-    return of.select("word", "n").mapInArrow(each, "key long, own boolean, word string, n long")
+    return of.select("word", "tag", "n").mapInArrow(each, "key long, own boolean, tag string, length int, n long")
 
 
 def near(of: DataFrame) -> DataFrame:
     """(word, n, other, m): the ordered pairs of words of ``of`` (word, n) that differ by exactly one inserted, deleted
     or replaced code point; each once. Two such words share exactly one key."""
+    tag = F.when(F.length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit("#"), F.sha2("word", 256)))
+    of = of.withColumn("tag", tag)
     found = stored(keys(of), "keys")
-    a = found.select("key", F.col("own").alias("own_a"), "word", "n")
-    b = found.select("key", F.col("own").alias("own_b"), F.col("word").alias("other"), F.col("n").alias("m"))
-    lengths = F.length("other") - F.length("word")
-    kinds = F.when(F.col("own_a"), lengths == 1).when(F.col("own_b"), lengths == -1).otherwise(lengths == 0)
-    met = a.join(b, "key").where(~(F.col("own_a") & F.col("own_b")) & kinds & (F.col("word") != F.col("other")))
-    return met.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "m")
-
+    a = found.select("key", F.col("own").alias("own_a"), F.col("tag").alias("word"), "n", F.col("length").alias("la"))
+    b = found.select("key", F.col("own").alias("own_b"), F.col("tag").alias("other"), F.col("n").alias("m"), F.col("length").alias("lb"))
+    kinds = F.when(F.col("own_a"), F.col("lb") - F.col("la") == 1).when(F.col("own_b"), F.col("la") - F.col("lb") == 1).otherwise(F.col("la") == F.col("lb"))
+    met = a.join(b, "key").where(~(F.col("own_a") & F.col("own_b")) & kinds & (F.col("word") != F.col("other"))).select("word", "n", "other", "m")
+    exact = F.levenshtein("word", "other", 1) == 1
+    long = F.col("word").startswith("#") | F.col("other").startswith("#")
+    whole = of.where(F.length("word") > LONG).select("tag", F.col("word").alias("whole"))
+    told = met.where(long)
+    for c in ("word", "other"):
+        told = told.join(whole, told[c] == F.col("tag"), "left").withColumn(c, F.coalesce("whole", c)).drop("tag", "whole")
+    return met.where(~long & exact).unionByName(told.where(exact))
 
 
 def roots(forms: DataFrame) -> DataFrame:
