@@ -28,7 +28,7 @@ from vitrine.llm import tokens
 from vitrine.llm.shared import stored
 
 HOT = 500_000  # pairs that may be broadcast: two longs and a flag each
-BATCH = 1 << 20  # pieces after which a task hands over what it has
+BATCH = 1 << 18  # pieces after which a task hands over what it has
 SHORT = 200  # pieces up to this go to the fast merges, longer ones to those whose time doesn't grow with the square
 #: Neither tokenizer joins what stands before a space to a letter or digit after it, where no other space stands before.
 BORDER = re.compile(r"(?<=[^ ]) (?=[^\W_])")
