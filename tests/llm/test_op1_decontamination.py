@@ -9,15 +9,15 @@ from vitrine.llm import decontaminate
 
 def shingles(text, k):
     words = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
-    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
 
 
 def brute(docs, items, threshold=0.8, k=5):
     out = {}
     for d, text in docs:
-        have = shingles(text, k)
         for i, item in items:
-            want = shingles(item, k)
+            n = min(k, len([w for w in re.split(r"[^\w]+|_", (item or "").lower()) if w]))
+            want, have = shingles(item, n or k), shingles(text, n or k)
             shared = len(want & have)
             if want and shared >= threshold * len(want) - 1e-9:
                 out[d, i] = (len(want), shared)
@@ -39,7 +39,7 @@ def planted(rng):
                 words[rng.randrange(len(words))] = "swapped"
             body = f"{body}, {' '.join(words).upper()}! {prose(rng, 30)}"
         docs.append((d, body))
-    return [*docs, (200, "One, two; THREE -- four five."), (201, None), (202, "")], items
+    return [*docs, (200, "One, two; THREE -- four five."), (201, None), (202, ""), (203, "so A, b c!"), (204, "a b"), (205, "b c a")], items
 
 
 @pytest.mark.parametrize("threshold", [0.5, 0.8, 1.0])

@@ -92,6 +92,13 @@ def test_more_secrets_and_phones(spark):
         assert new.startswith("it is ") and new.endswith(" now")
 
 
+@pytest.mark.parametrize(("front", "secret"), [("token = ", "aB3xY9" * 70), ("sk-", "Zx9" * 100), ("Password: ", "q7W" * 200), ("github_pat_", "11AA22bb_" * 9), ("ghp_", "aB3" * 120)])
+def test_long_secrets_go_to_their_end(spark, front, secret):
+    new = replaced(spark, [f"it is {front}{secret} now"])[0]
+    assert new.startswith(f"it is {front}") and new.endswith(" now") and len(new) == len(f"it is {front}{secret} now")
+    assert not any(secret[i : i + 12] in new for i in range(len(secret) - 12))
+
+
 def test_twenty_people_of_one_family_stay_twenty(spark):
     given = "Karl Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Leon Marco Noel Oscar Paul Quentin Rolf Sven Toni".split()
     found = replaced(spark, [f"Mr {g} Smith" for g in given])

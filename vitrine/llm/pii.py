@@ -58,9 +58,9 @@ WORD = r"(?:\p{Lu}(?:\.|[\p{L}\p{M}]{1,40}(?:['’-][\p{L}\p{M}]{1,40}){0,3})|\p
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kind, pattern, and what of a mention stays in front and behind. The first that matches wins; none starts inside a word.
 KINDS = [
-    ("secret", rf"(?=[apstc])(?:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?[A-Za-z0-9_/+.-]{{8,256}}", rf"^(?i:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?", ""),
-    ("secret", rf"(?=[APSTCapstc])(?i:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?(?=[^\s0-9]{{0,255}}[0-9])[A-Za-z0-9_/+.!#$%&*~-]{{6,256}}", rf"^(?i:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?", ""),
-    ("key", r"(?=[Aegsx])(?:A[KS]IA[0-9A-Z]{16}\b|AIza[0-9A-Za-z_-]{35}|gh[oprsu]_[A-Za-z0-9]{20,255}|sk-[A-Za-z0-9_-]{16,200}|xox[abprs]-[A-Za-z0-9-]{10,200}|eyJ[A-Za-z0-9_-]{8,200}\.[A-Za-z0-9_-]{8,255}(?:\.[A-Za-z0-9_-]{8,255})?)", "^(?:A[KS]IA|AIza|gh[oprsu]_|sk-|xox[abprs]-|eyJ)", ""),
+    ("secret", rf"(?=[apstc])(?:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?[A-Za-z0-9_/+.-]{{8,}}+", rf"^(?i:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?", ""),
+    ("secret", rf"(?=[APSTCapstc])(?i:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?(?=[^\s0-9]*+[0-9])[A-Za-z0-9_/+.!#$%&*~-]{{6,}}+", rf"^(?i:{SECRET})[\x22']?\s{{0,3}}[=:]\s{{0,3}}[\x22']?", ""),
+    ("key", r"(?=[Aegsx])(?:A[KS]IA[0-9A-Z]{16}\b|AIza[0-9A-Za-z_-]{35}|gh[oprsu]_[A-Za-z0-9]{20,}+|github_pat_[A-Za-z0-9_]{20,}+|sk-[A-Za-z0-9_-]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]{8,}+)?)", "^(?:A[KS]IA|AIza|gh[oprsu]_|github_pat_|sk-|xox[abprs]-|eyJ)", ""),
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,6}\.[A-Za-z]{2,24}\b", "", r"\.[A-Za-z]+$"),
     ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b", "^[A-Z]{2}", ""),
     ("ip", rf"{OCTET}(?:\.{OCTET}){{3}}\b", "", ""),
@@ -74,7 +74,7 @@ KINDS = [
 ANY = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'(?:{pattern})' for _, pattern, _, _ in KINDS)})"
 #: What every mention has some of: one of these characters, or one of these strings. Texts without are not searched.
 SIGNS = "[0-9@=:]"
-OPENINGS = [*f"{MALE}|{FEMALE}|{NEUTRAL}".split("|"), *"y name is|ch heiße|appelle|e llamo|еня зовут|sk-|gho_|ghp_|ghr_|ghs_|ghu_|xox|eyJ|AIza".split("|")]
+OPENINGS = [*f"{MALE}|{FEMALE}|{NEUTRAL}".split("|"), *"y name is|ch heiße|appelle|e llamo|еня зовут|sk-|github_pat_|gho_|ghp_|ghr_|ghs_|ghu_|xox|eyJ|AIza".split("|")]
 #: Where letters begin or end.
 BORDERS = r"(?<=[\p{L}\p{M}])(?![\p{L}\p{M}])|(?<![\p{L}\p{M}])(?=[\p{L}\p{M}])"
 MENTION = ("e", "kind", "a", "m", "z")
@@ -281,7 +281,8 @@ def replace(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: s
     """
     text = F.col(text_col).cast("string")
     found_, made_, row_, draws_, names_ = (spare(docs, n) for n in ("_mentions", "_made", "_row", "_draws", "_names"))
-    kept = docs.select(F.xxhash64(text).alias("row"), mentions(text).alias("e")).where(F.size("e") > 0).select("row", described(F.col("e")).alias("x"))
+    # no filter here: Spark would carry it, with all that makes the text, through every step before
+    kept = docs.select(F.xxhash64(text).alias("row"), mentions(text).alias("e")).select("row", described(F.col("e")).alias("x"))
     kept = stored(kept.select("row", F.flatten(F.transform("x", parts)).alias("parts")), "mentions")
     draws = later_draws(kept, key)
     out = docs.withColumn(found_, described(mentions(text)))
