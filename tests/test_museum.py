@@ -34,6 +34,26 @@ def test_dimensions():
         dimensions.counted(None, "colour")
 
 
+SAID = [
+    ("Unsold at the sale, Paris", "sale"), ("commissioned by the city, 1640", "commission"), ("commissioned portraits", "unknown"), ("confiscation by the state", "confiscation"), ("sent to The Hague", "transfer"), ("sent for", "unknown"), ("his testamentary gift", "bequest"),
+    ("sale, Amsterdam, 12 May 1802, lot 3", "sale"), ("sale [Hoet]", "sale"), ("sale, Paris", "unknown"), ("wholesale", "unknown"), ("their great-grandsons, 1850", "by_descent"), ("sons of Noah", "unknown"), ("from Baron Vos through others to P. de Boer", "sale"), ("to Baron Vos from here", "unknown"),
+    ("the widower Vos", "widowhood"), ("from whom, with others, to the museum", "sale"), ("with an art dealer, Bonn", "collection"), ("collection Vos, by whom given by hand", "collection"), ("given by Vos", "gift"), ("stored in Haarlem", "deposit"), ("estate inventory Vos", "inventory"), ("inventory of 1650", "collection"),
+]
+
+
+def test_what_pieces_say(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame(SAID, "x string, wanted string")
+    assert [(r["x"], r["found"]) for r in rows.select("x", curation.transfer_of(F.col("x")).alias("found")).collect()] == SAID
+    own = [("Jan Vos (1606-1669)", True), ("Jan Vos (L. 123)", True), ("Jan Vos", False), ("Galerie Vos", True), ("a private collector, Bonn", True), ("Counting", False), ("", False), (None, False)]
+    rows = spark.createDataFrame(own, "x string, wanted boolean")
+    assert [(r["x"], r["found"]) for r in rows.select("x", curation.collection_like(F.col("x")).alias("found")).collect()] == own
+    pieces = [("lot 12", False), ("no. 3-5", False), ("(unpublished)", False), ("lot 12, Vos", True), ("Vos (1606)", True), ("1650", False)]
+    rows = spark.createDataFrame(pieces, "x string, wanted boolean")
+    assert [(r["x"], r["found"]) for r in rows.select("x", curation.is_piece(F.col("x")).alias("found")).collect()] == pieces
+
+
 def test_nulls_empty_tables_and_ties(spark):
     rows = spark.createDataFrame([(1, None, "manual", 1), (1, "x", "inferred", 2), (1, "w", "inferred", 2), (2, "y", "guessed", 1)], "k int, v string, t string, at int")
     assert [tuple(r) for r in curation.promoted(rows, "k", "v", "t", ["at"]).collect()] == [(1, "w", "inferred")]
