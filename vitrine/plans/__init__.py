@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def queries() -> dict:
-    from vitrine.plans import registry, star_filters, star_museum, star_reconcile, star_records, star_stats, star_streams, star_texts  # noqa: F401  importing registers
+    from vitrine.plans import registry, star_filters, star_linked, star_museum, star_reconcile, star_records, star_stats, star_streams, star_texts  # noqa: F401  importing registers
 
     return dict(registry.QUERIES)
 
