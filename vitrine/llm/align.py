@@ -28,7 +28,7 @@ from vitrine.llm import tokens
 from vitrine.llm.shared import stored
 
 HOT = 500_000  # pairs that may be broadcast: two longs and a flag each
-BATCH = 1 << 18  # pieces after which a task hands over what it has
+BATCH = 1 << 16  # pieces after which a task hands over what it has
 SHORT = 200  # pieces up to this go to the fast merges, longer ones to those whose time doesn't grow with the square
 #: Neither tokenizer joins what stands before a space to a letter or digit after it, where no other space stands before.
 BORDER = re.compile(r"(?<=[^ ]) (?=[^\W_])")
@@ -179,11 +179,13 @@ def grouped(made: DataFrame) -> DataFrame:
     pair = lambda x, y, n: F.struct(code(x, y).alias("code"), n.cast("long").alias("n"))
     times = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
 
-    def crossed(k: Column) -> Column:
-        in_a, in_b = between(a, at_a, k), between(b, at_b, k)
-        return F.flatten(F.transform(F.array_distinct(in_a), lambda x: F.transform(F.array_distinct(in_b), lambda y: pair(x, y, times(in_a, x) * times(in_b, y)))))
+    def crossed(in_a: Column, in_b: Column) -> Column:
+        cross = lambda xs, ys, n: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y, n(x, y)))))
+        once = lambda ids: F.size(F.array_distinct(ids)) == F.size(ids)
+        repeated = cross(F.array_distinct(in_a), F.array_distinct(in_b), lambda x, y: times(in_a, x) * times(in_b, y))
+        return F.when(once(in_a) & once(in_b), cross(in_a, in_b, lambda x, y: F.lit(1))).otherwise(repeated)
 
-    links = stretches("at_a", lambda k: F.when(single(k), F.array(pair(*first(k), F.lit(1)))).otherwise(crossed(k)))
+    links = stretches("at_a", lambda k: F.when(single(k), F.array(pair(*first(k), F.lit(1)))).otherwise(let(between(a, at_a, k), lambda x: let(between(b, at_b, k), lambda y: crossed(x, y)))))
     size = lambda c, k: F.get(F.col(c), k + 1) - F.get(F.col(c), k)
     own = {"n_a": stretches("at_p", lambda k: size("upto_a", k)), "n_b": stretches("at_p", lambda k: size("upto_b", k)), "n_groups": stretches("at_p", lambda k: size("at_p", k)),
            "text": let(texts, lambda t: stretches("at_p", lambda k: F.array_join(between(t, at_p, k), ";"))),
