@@ -1,4 +1,5 @@
-"""Linked-data objects over the star tables: parts are written as JSON-LD lines of differing shape and read back."""
+"""Linked data over the star tables: parts are written as JSON-LD lines of differing shape, suppliers as XML records with
+entities of their own, and read back."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.hierarchy import shared_dir
 from vitrine.plans.registry import Tables, query
-from vitrine.sources import linked
+from vitrine.sources import linked, records
 
 G = linked.GETTY
 #: A list of one, or that one; an id, or an object with it: parts with even keys have the first.
@@ -78,3 +79,32 @@ def src_linked_ids(t):
 @query("select p_partkey, 'part_of' as kind, 'http://x/' || p_brand as id from part")
 def src_linked_wholes(t):
     return linked.links(objects(t), "p_partkey")
+
+
+#: A record of a supplier: every seventh names an entity that its record lacks, every eleventh is deleted; a nation is part of
+#: its region, which is part of the nation again.
+RECORD = """concat('<record><header', if(s_suppkey % 11 = 0, ' status="deleted"', ''), '><identifier>oai:', s_suppkey, '</identifier><datestamp>2024-01-01</datestamp><setSpec>all</setSpec></header>', if(s_suppkey % 11 = 0, '', concat(
+  '<metadata><RDF><Aggregation><aggregatedCHO><ProvidedCHO about="http://x/', s_suppkey, '"><identifier>', s_name, '</identifier><title lang="nl">nl ', s_name, '</title><title lang="en">', s_name, '</title><creator resource="', if(s_suppkey % 7 = 0, 'gone', 'n'), '"/>',
+  '<subject resource="n"/><subject resource="c"/><subject resource="gone"/></ProvidedCHO></aggregatedCHO></Aggregation><Place about="n"><prefLabel lang="en">', n_name, '</prefLabel><isPartOf resource="r"/></Place>',
+  '<Place about="r"><prefLabel>', r_name, '</prefLabel><isPartOf resource="n"/></Place><Concept about="c"><altLabel>', n_nationkey, 'A</altLabel></Concept></RDF></metadata>')), '</record>')"""
+
+
+def harvested(t: Tables) -> DataFrame:
+    from uuid import uuid4
+
+    path = f"{shared_dir(t.spark)}/records-{uuid4().hex}"
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    rows.selectExpr(f"{RECORD} as value").write.text(path)
+    return records.resolved(records.records(t.spark, path))
+
+
+@query("""select case when s_suppkey % 11 = 0 then 'oai:' || s_suppkey else 'http://x/' || s_suppkey end as about, case when s_suppkey % 11 <> 0 then s_name end as title, s_suppkey % 11 = 0 as deleted,
+  case when s_suppkey % 11 <> 0 and s_suppkey % 7 <> 0 then n_name end as creator from supplier join nation on s_nationkey = n_nationkey""")
+def src_record_fields(t):
+    return records.fields(harvested(t)).select("about", "title", "deleted", "creator")
+
+
+@query("""with s as (select 'http://x/' || s_suppkey as about, n_name, n_nationkey, r_name from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey where s_suppkey % 11 <> 0)
+  select about, 0 as seq, n_name as label, 'place' as kind, null::varchar as code, r_name as within from s union all select about, 1, n_nationkey || 'A', 'concept', n_nationkey || 'A', '' from s""")
+def src_record_subjects(t):
+    return records.subjects(harvested(t)).select("about", "seq", "label", "kind", "code", F.array_join("within", ",").alias("within"))
