@@ -30,6 +30,55 @@ def spread(points: DataFrame, group: str, key: str, lat: str, lon: str) -> DataF
     return points.groupBy(group).agg(F.count_distinct(key).alias("n")).join(pairs, group)
 
 
+def squares(rows: DataFrame, box: DataFrame, n: int) -> DataFrame:
+    """``rows`` (g, k, lat, lon) with ``cy`` and ``cx``, the square of their group's box, which has ``n`` by ``n``."""
+    step = lambda c: F.least(F.floor((F.col(c) - F.col(f"lo_{c}")) * n / F.greatest(F.col(f"hi_{c}") - F.col(f"lo_{c}"), F.lit(1e-9))), F.lit(n - 1))
+    return rows.join(box, "g").select(*rows.columns, step("lat").alias("cy"), step("lon").alias("cx"))
+
+
+def summed(points: DataFrame, places: DataFrame) -> DataFrame:
+    """(g, k, s): for every point (g, k, lat, lon) the distances to the places (g, lat, lon, n) of its group, each n times.
+    Tasks add up before anything is shuffled."""
+    at = places.select("g", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "n")
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("_lat"), F.col("_lon"))
+    return points.join(at, "g").groupBy("g", "k").agg(F.sum(km * F.col("n")).alias("s"))
+
+
+def outliers(rows: DataFrame, drop: int, grids: tuple[int, ...] = (8, 64, 256)) -> DataFrame:
+    """(g, k): the ``drop`` points of each group with the largest sum of distances to its others, ties to the smaller key.
+
+    A square's points stand at their mean; what this changes in a sum is at most the sum of all points' distances to their
+    means, the same for every point of the group. So a point whose sum over squares is lower than the ``drop``-th largest
+    by more than twice that is none, and few are left to be held against finer squares and at last against all points.
+    """
+    from vitrine.operators.hierarchy import kept
+
+    box = rows.groupBy("g").agg(*(f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("lo", F.min), ("hi", F.max))))
+    ranked = Window.partitionBy("g").orderBy(F.desc("s"), "k")
+    left = rows
+    for n in grids:
+        own = squares(rows, box, n)
+        means = own.groupBy("g", "cy", "cx").agg(F.count("*").alias("n"), F.avg("lat").alias("mlat"), F.avg("lon").alias("mlon"))
+        error = own.join(means, ["g", "cy", "cx"]).groupBy("g").agg(F.sum(haversine_km(F.col("lat"), F.col("lon"), F.col("mlat"), F.col("mlon"))).alias("e"))
+        sums = kept(summed(left, means.select("g", F.col("mlat").alias("lat"), F.col("mlon").alias("lon"), "n")))
+        least = sums.withColumn("_i", F.row_number().over(ranked)).where(F.col("_i") <= drop).groupBy("g").agg(F.min("s").alias("least"))
+        near = sums.join(least, "g").join(error, "g").where(F.col("s") >= F.col("least") - 2 * F.col("e") - 1e-6).select("g", "k")
+        left = kept(left.join(near, ["g", "k"], "left_semi"))
+    exact = summed(left, rows.select("g", "lat", "lon", F.lit(1).alias("n"))).withColumn("s", F.round("s", 6))
+    return exact.withColumn("_i", F.row_number().over(ranked)).where(F.col("_i") <= drop).select("g", "k")
+
+
+def trimmed_spread(points: DataFrame, group: str, key: str, lat: str, lon: str, drop: int = 2) -> DataFrame:
+    """(group, n, max_km): ``spread`` without the ``drop`` points of each group that lie farthest from its others by the sum
+    of their distances (ties: the smaller keys go); groups of at most ``drop`` + 1 points keep all. ``n`` counts the points
+    that stay. Keys are distinct within a group; points without a place take no part."""
+    rows = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon"))
+    large = rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > drop + 1).select("g")
+    gone = outliers(rows.join(large, "g", "left_semi"), drop)
+    out = spread(rows.join(gone, ["g", "k"], "left_anti"), "g", "k", "lat", "lon")
+    return out.withColumnRenamed("g", group)
+
+
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
     """Whether a point is in a polygon's ring (array of struct(x, y)), by counting crossings."""
     edges = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

@@ -145,6 +145,19 @@ def geo_pairwise_spread(t):
     return geo.spread(nations(t), "n_regionkey", "n_nationkey", "lat", "lon").select("n_regionkey", "n", F.round("max_km", 6).alias("max_km"))
 
 
+SCATTERED = "select c_nationkey as g, c_custkey as k, ((c_custkey * 37) % 29) * 1.0 + (c_custkey % 7) * 0.01 as lat, ((c_custkey * 91) % 53) * 1.0 + (case when c_custkey % 40 = 0 then 80.0 else 0.0 end) as lon from customer"
+
+
+@query(f"""with p as (select g, k, lat::double as lat, lon::double as lon from ({SCATTERED})),
+  s as (select a.g, a.k, sum({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}) as s, count(*) as n from p a join p b on a.g = b.g group by 1, 2),
+  r as (select *, row_number() over (partition by g order by round(s, 6) desc, k) as i from s),
+  kept as (select p.* from p join r on p.g = r.g and p.k = r.k where i > 2 or n <= 3)
+  select a.g as nation, count(distinct a.k) as n, round(max({km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')}), 6) as max_km from kept a join kept b on a.g = b.g group by 1""")
+def geo_trimmed_spread(t):
+    places = t.customer.selectExpr("c_nationkey as nation", *SCATTERED.removeprefix("select c_nationkey as g, ").removesuffix(" from customer").split(", "))
+    return geo.trimmed_spread(places, "nation", "k", "lat", "lon").select("nation", "n", F.round("max_km", 6).alias("max_km"))
+
+
 TREE = f"""(select 'r'||r_regionkey as id, null as parent, (r_regionkey*10)::double as lat, (r_regionkey*20)::double as lon from region where r_regionkey <> 2
   union all select 'r'||r_regionkey, null, null, null from region where r_regionkey = 2
   union all select 'n'||n_nationkey, 'r'||n_regionkey, case when n_nationkey%3=0 then {LAT % 'n_nationkey'}::double end, case when n_nationkey%3=0 then {LON % 'n_nationkey'}::double end from nation
