@@ -72,3 +72,91 @@ def inherited(tree: DataFrame, key: str, parent: str, lat: str, lon: str, blocke
             break
         have = kept(have.join(gain.select("id"), "id", "left_anti").unionByName(gain))
     return have.select("id", "lat", "lon", "method")
+
+
+BOUND = 500  # roots whose intervals are written into the plan; more are joined
+
+
+def labelled(tree: DataFrame, key: str, parent: str) -> tuple[DataFrame, DataFrame]:
+    """Labels that make descendants a range, to be stored: (id, path, level, lo, hi), and the edges (id, parent) that are
+    not part of the labelled forest.
+
+    Each node hangs below its smallest parent; further parents of a node, and of each cycle the edge above its smallest
+    node, are the other edges. ``path`` leads from the root to the node, ``lo`` numbers the nodes in the order of their
+    paths from 1, and what stands at or below a node is numbered ``lo`` to ``hi``. Parents that are no node, null
+    keys and a node as its own parent count for nothing; repeated rows count once.
+
+    Paths are found by doubling, in rounds of the logarithm of the depth, and hold as many ids as the node is deep.
+    """
+    ids = tree.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
+    edges = tree.select(F.col(key).alias("id"), F.col(parent).alias("parent")).where("id is not null and parent is not null and id <> parent").distinct()
+    edges = kept(edges.join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"))
+    nodes = ids.join(edges.groupBy("id").agg(F.min("parent").alias("up")), "id", "left")
+    paths, loops = climbed(nodes)
+    if loops is not None:
+        nodes = nodes.join(loops.withColumn("_loop", F.lit(True)), "id", "left").select("id", F.when(F.col("_loop").isNull(), F.col("up")).alias("up"))
+        paths, _ = climbed(kept(nodes))
+    sizes = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("size"))
+    from vitrine.operators.ranking import places
+
+    at = places(paths, [], [F.col("path")]).join(sizes, "id")
+    labels = kept(at.select("id", "path", (F.size("path") - 1).alias("level"), F.col("place").alias("lo"), (F.col("place") + F.col("size") - 1).alias("hi")))
+    tied = labels.where("level > 0").select("id", F.get("path", F.col("level") - 1).alias("parent"))
+    return labels, edges.join(tied, ["id", "parent"], "left_anti")
+
+
+def climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, path from the root to it) for (id, up), and the nodes (id) above which cycles have to be cut, if any; paths
+    of nodes in or below a cycle are then of no use."""
+    start = F.when(F.col("up").isNotNull(), F.array("up")).otherwise(F.slice(F.array("id"), 1, 0))
+    walk = kept(nodes.select("id", F.col("up").alias("at"), start.alias("above")))
+    while True:
+        open_ = walk.where("at is not null")
+        whole = F.size(F.array_distinct("above")) < F.size("above")  # has been round its cycle
+        if open_.where(~whole).isEmpty():
+            break
+        step = walk.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("above").alias("_above"))
+        walk = kept(walk.join(step, F.col("at") == F.col("_id"), "left").select("id", F.col("_at").alias("at"), F.when(F.col("_id").isNull(), F.col("above")).otherwise(F.concat("above", "_above")).alias("above")))
+    loops = walk.where(F.col("at").isNotNull() & F.array_contains("above", F.col("id")) & (F.col("id") == F.array_min("above"))).select("id")
+    paths = walk.select("id", F.concat(F.reverse("above"), F.array("id")).alias("path"))
+    return paths, None if loops.isEmpty() else loops
+
+
+def below(labels: DataFrame, others: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(id, depth): the roots (one column of ids) at depth 0 and what stands below them, to a depth, by stored
+    labels (see ``labelled``); the rows are those of ``descendants``. Roots that are no node are left out.
+
+    Up to ``BOUND`` roots are looked up and their ranges stand in the plan, so that a table stored in the order of
+    ``lo`` is read there alone; the nearest root on a node's path tells the depth. Other edges whose parent is found
+    lead on to further ranges, round after round, until no node comes closer.
+    """
+    seeds = roots.toDF("id").where("id is not null").distinct().withColumn("depth", F.lit(0))
+    found, plain = None, others.isEmpty()
+    while True:
+        start = labels.join(seeds, "id").select("id", "lo", "hi", F.col("depth").alias("_d"), F.col("level").alias("_l"))
+        few = start.limit(BOUND + 1).collect()
+        if not few:
+            break
+        rows = labels
+        if len(few) <= BOUND:
+            spans, spots = [], sorted((r["lo"], r["hi"]) for r in few)
+            for lo, hi in spots:  # a range within the one before it adds nothing
+                if not spans or lo > spans[-1][1]:
+                    spans.append((lo, hi))
+            inside = F.lit(False)
+            for lo, hi in spans:
+                inside = inside | F.col("lo").between(lo, hi)
+            rows = labels.where(inside)
+        tops = start.select(F.col("id").alias("_root"), (F.col("_d") - F.col("_l")).alias("_less"))
+        each = rows.select("id", "level", F.explode("path").alias("_root")).join(F.broadcast(tops) if len(few) <= BOUND else tops, "_root")
+        new = each.groupBy("id").agg(F.min(F.col("level") + F.col("_less")).cast("int").alias("depth"))
+        new = new if depth is None else new.where(F.col("depth") <= depth)
+        if plain:
+            return new
+        found = new if found is None else found.unionByName(new).groupBy("id").agg(F.min("depth").alias("depth"))
+        found = kept(found)
+        next_ = others.join(found.withColumnRenamed("id", "parent"), "parent").groupBy("id").agg((F.min("depth") + 1).cast("int").alias("depth"))
+        next_ = next_ if depth is None else next_.where(F.col("depth") <= depth)
+        before = found.select("id", F.col("depth").alias("_known"))
+        seeds = kept(next_.join(before, "id", "left").where("_known is null or depth < _known").select("id", "depth"))
+    return found if found is not None else seeds.limit(0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.plans.registry import query
+from vitrine.sources import event_tree
 from vitrine.streaming import events as E
 
 #: What the watermark has passed at the end: ten minutes before the last event.
@@ -69,3 +70,40 @@ EDGES = [10.0, 50.0, 100.0, 500.0]
 def stream_latencies(t):
     """Daily histograms of values by type."""
     return plain(E.finished(E.latencies(stream(t), "ts", "event_type", "value", EDGES), "latencies"))
+
+
+def planted(rows, folder: str) -> None:
+    """Events as a tree of changes: users are the objects, errors delete them. One page a line, days split by ranges."""
+    member = F.struct(F.when(F.col("event_type") == "error", "Delete").when(F.col("event_type") == "signup", "Create").otherwise("Update").alias("@type"),
+                      F.struct(F.concat(F.lit("https://example.org/"), "user_id", F.lit("?_profile=framed")).alias("@id")).alias("object"), F.struct("event_id").alias("@graph"))
+    pages = rows.select(*(F.date_part(F.lit(p), "ts").cast("int").alias(p) for p in ("year", "month", "day")), "ts", "event_id", F.to_json(F.struct(F.array(member).alias("member"))).alias("value"))
+    order = ["year", "month", "day", "ts", "event_id"]
+    pages.repartitionByRange(*order).sortWithinPartitions(*order).select("value", "year", "month", "day").write.mode("append").partitionBy("year", "month", "day").text(folder)
+
+
+HALF = "(select min(ts)::date + ((max(ts)::date - min(ts)::date) // 2)::int from events)"
+
+
+@query(f"""select ts::date as day, case event_type when 'error' then 'Delete' when 'signup' then 'Create' else 'Update' end as kind, count(*) as n, count(distinct user_id) as objects, min(event_id) as first_id
+  from events where user_id is not null and ts >= {HALF} and ts < {HALF} + 5 group by 1, 2""")
+def src_event_tree(t):
+    """Changes of five days from a tree of days: other years, months and days aren't listed."""
+    folder, _ = E.folders(t.spark, "tree")
+    planted(t.events.where("user_id is not null and ts is not null"), folder)
+    half = t.events.select(F.date_add(F.min("ts").cast("date"), F.floor(F.date_diff(F.max("ts").cast("date"), F.min("ts").cast("date")) / 2).cast("int")).alias("d")).select("d", F.date_add("d", 5).alias("e")).first()
+    rows = event_tree.changes(t.spark, folder, str(half["d"]), str(half["e"]))
+    return rows.groupBy("day", "kind").agg(F.count("*").alias("n"), F.countDistinct("object").alias("objects"), F.min(F.get_json_object("payload", "$.event_id").cast("long")).alias("first_id"))
+
+
+@query("select 'https://example.org/' || user_id as object, event_id from events where user_id is not null and ts is not null qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1 and event_type <> 'error'")
+def stream_event_tree(t):
+    """Objects after a tree of changes is followed in two runs: the second goes on behind the file where the first ended."""
+    folder, _ = E.folders(t.spark, "tree")
+    log, progress = E.folders(t.spark, "objects")
+    rows = t.events.where("user_id is not null and ts is not null")
+    day = rows.select(F.percentile_approx(F.unix_date(F.col("ts").cast("date")), 0.5).alias("d"))
+    early = F.unix_date(F.col("ts").cast("date")) <= F.lit(day.first()["d"])
+    for part in (early, ~early):
+        planted(rows.where(part), folder)
+        found = event_tree.followed(t.spark, folder, log, progress, "framed")
+    return found.select("object", F.get_json_object("payload", "$.event_id").cast("long").alias("event_id"))
