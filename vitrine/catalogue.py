@@ -100,10 +100,15 @@ class Catalogue:
         return found.select(F.col("vocab_int_id").alias("vocab_rowid")).distinct()
 
     def with_narrower(self, terms: DataFrame) -> DataFrame:
-        """Terms and all that stand below them."""
+        """Terms and all that stand below them: by the labels that ``hierarchy.labelled`` makes of the vocabulary, where the
+        catalogue has them stored (broader_labels, broader_others), else level by level."""
         tree = self.vocabulary.select("id", "broader_id")
         named = self.vocabulary.select("id", F.col("vocab_int_id").alias("vocab_rowid"))
-        below = hierarchy.descendants(tree, named.join(terms, "vocab_rowid", "left_semi").select("id"), "id", "broader_id")
+        roots = named.join(terms, "vocab_rowid", "left_semi").select("id")
+        if {"broader_labels", "broader_others"} <= self.tables.keys():
+            below = hierarchy.below(self.broader_labels, self.broader_others, roots, 10)
+        else:
+            below = hierarchy.descendants(tree, roots, "id", "broader_id")
         return named.join(below, "id", "left_semi").select("vocab_rowid")
 
     def matching(self, params: dict) -> DataFrame:

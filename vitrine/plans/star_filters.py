@@ -200,6 +200,21 @@ def hier_descendants(t):
     return hierarchy.descendants(tree, t.spark.createDataFrame([(3,)], "id long"), "p_partkey", "up")
 
 
+EDGES = """(select p_partkey as id, p_partkey//3 as up from part union select p_partkey, p_partkey//5 + 1 from part where p_partkey % 40 = 0
+  union select min(p_partkey), max(p_partkey) from part)"""
+
+
+@query(f"""with recursive e as {EDGES}, d as (select p_partkey as id, 0 as depth from part where p_partkey in (3, 7) union select e.id, depth+1 from e join d on e.up = d.id and e.id <> d.id where depth < 10) select id, min(depth)::int as depth from d group by 1""")
+def hier_labelled(t):
+    """What stands below two parts, by interval labels stored in their order: some parts have a second parent, and the
+    last one stands above the first, which closes a cycle."""
+    more = t.part.where("p_partkey % 40 = 0").select("p_partkey", F.expr("p_partkey div 5 + 1").alias("up"))
+    loop = t.part.select(F.min("p_partkey").alias("p_partkey"), F.max("p_partkey").alias("up"))
+    tree = t.part.select("p_partkey", F.expr("p_partkey div 3").alias("up")).unionByName(more).unionByName(loop)
+    labels, others = hierarchy.labelled(tree, "p_partkey", "up")
+    return hierarchy.below(labels, others, t.part.where("p_partkey in (3, 7)").select("p_partkey"), 10)
+
+
 @query("""with recursive a as (select p_partkey as id, p_partkey as node, 0 as d, p_type='PROMO' as ok from part union all
   select a.id, p.p_partkey, d+1, p.p_type='PROMO' from a join part p on p.p_partkey = a.node//3 and p.p_partkey <> a.node where not ok and d < 6)
   select id, node as ancestor, d as depth from a where ok""")
