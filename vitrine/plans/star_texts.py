@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.operators import inscriptions, provenance
+from vitrine.operators import inscriptions, provenance, references, replay, sequences
 from vitrine.plans.registry import query
 
 CITIES = ["Amsterdam", "Paris", "London", "Delft"]
@@ -90,6 +90,60 @@ def prov_rollup(t):
     return found.select("o_custkey", "n_events", "first_year", "last_year", F.array_join("transfer_types", ",").alias("transfer_types"), "has_price")
 
 
+def operated(t):
+    """Histories, and a log of operations for their events by the remainder of the sequence."""
+    chain = prov_events(t)
+    own = chain.select("o_custkey", "sequence", "raw_text").withColumn("_m", F.col("sequence") % 7)
+    stay = own.where("_m not in (3, 4)")  # splits look for their event among those left
+    addressed = lambda rows: sequences.duplicate_ordinals(rows, F.col("raw_text"), "o_custkey", "sequence").drop("raw_text")
+    cases = {1: ("set", "transfer_type", "exchange", None, 0), 2: ("correct", "location", "Lyon", "Paris", 0), 3: ("merge", None, "Delft", None, -1), 4: ("alternative", None, None, None, 1), 5: ("split", None, None, None, 0), 6: ("mark", None, None, None, 0)}
+    table = t.spark.createDataFrame([(m, *c) for m, c in cases.items()], "_m int, op string, field string, value string, expected string, _by int")
+    ops = addressed(own).where("_m in (1, 2, 3, 4, 6)").unionByName(addressed(stay).where("_m = 5")).join(F.broadcast(table), "_m")
+    parts = F.when(F.col("op") == "split", F.array(F.lit("x"), F.lit("y")))
+    none = F.lit(None).cast(chain.schema["parties"].dataType)
+    return chain, ops.select("o_custkey", F.col("sequence").cast("long").alias("op_id"), "content_hash", "dup_ordinal", "dup_count", "op", "field", "value", "expected", none.alias("parties"), (F.col("sequence") + F.col("_by")).alias("target"), parts.alias("parts"), F.when((F.col("op") == "set") & (F.col("sequence") > 7), 0.5).otherwise(0.8).alias("confidence"))
+
+
+@query(f"""with e as ({PROV_EVENTS}), k as (select *, sequence % 7 as m, max(sequence) over (partition by o_custkey) as top from e),
+  c as (select o_custkey, sequence as s, unnest(case when m = 5 then ['x','y'] else [''] end) as part, case when m = 1 and sequence < 8 then 'exchange' when m = 6 then 'non_provenance' else transfer_type end as transfer_type,
+    case when m = 2 and sequence < top then 'Delft' when m = 2 and location = 'Paris' then 'Lyon' else location end as location, uncertain or m = 5 as uncertain from k where m not in (3, 4))
+  select o_custkey, row_number() over (partition by o_custkey order by s, part)::int as sequence, part, transfer_type, location, uncertain from c""")
+def prv_replayed(t):
+    """Curated changes on parsed histories: set, corrected, merged, marked and split events, chains numbered anew."""
+    events, _ = replay.replayed(*operated(t), "o_custkey")
+    return events.select("o_custkey", "sequence", F.when(F.col("raw_text").isin("x", "y"), F.col("raw_text")).otherwise("").alias("part"), "transfer_type", "location", "uncertain")
+
+
+@query(f"""with e as ({PROV_EVENTS}), o as (select case sequence % 7 when 1 then 'set' when 2 then 'correct' when 3 then 'merge' when 4 then 'alternative' when 5 then 'split' when 6 then 'mark' end as op,
+  case when sequence % 7 = 1 and sequence > 7 then 'unsure' when sequence % 7 = 2 and location <> 'Paris' then 'value_changed' else 'applied' end as status from e) select op, status, count(*) as n from o where op is not null group by 1, 2""")
+def prv_replay_report(t):
+    """How many operations of each kind were applied, and why others weren't."""
+    return replay.replayed(*operated(t), "o_custkey")[1]
+
+
+#: By remainder of the customer's key: what its history says; others have one of their own.
+POINTERS = {1: "See the provenance of SK-A-{-1}", 2: "* For the provenance, zie inv. no. SK-A-{-1}.", 3: "For both the present painting and its pendant SK A {1}, with lot BK-17", 4: "same provenance as SK-A-{-1}", 5: "zie onder SK-A-{5000000}"}
+
+
+def pointing(t):
+    """(number, history): customers as works, half of which refer to others; two of ten to each other."""
+    c = t.customer
+    text = F.concat(F.lit("sold to Owner Alder, Delft, 1800, lot SK-A-"), "c_custkey")
+    for m, template in POINTERS.items():
+        head, by, tail = template.replace("{", "|").replace("}", "|").split("|")
+        text = F.when(F.col("c_custkey") % 10 == m, F.concat(F.lit(head), (F.col("c_custkey") + int(by)).cast("string"), F.lit(tail))).otherwise(text)
+    return c.select(F.concat(F.lit("SK-A-"), "c_custkey").alias("number"), text.alias("history"))
+
+
+@query("""with recursive w as (select c_custkey as k, case c_custkey % 10 when 1 then c_custkey-1 when 2 then c_custkey-1 when 3 then c_custkey+1 when 4 then c_custkey-1 when 5 then c_custkey+5000000 end as up from customer),
+  r as (select k, k as tip, 0 as hops from w union all select r.k, w.up, hops+1 from r join w on w.k = r.tip where up is not null and hops < 5),
+  l as (select k, tip, hops from r qualify row_number() over (partition by k order by hops desc) = 1)
+  select 'SK-A-'||k as number, case when hops < 5 then 'SKA'||tip end as source, case when hops < 5 then hops end::int as hops, case when hops = 0 then 'own' when hops = 5 then 'cycle' when not exists (select 1 from w where w.k = tip) then 'missing' else 'resolved' end as status from l""")
+def prv_references(t):
+    """Works whose history stands at another work, and where it is found."""
+    return references.resolved(pointing(t), "number", "history").drop("target")
+
+
 #: By remainder of the part's key: Dutch or English type, technique and placement, and what they mean.
 MARKS = [("signatuur, recto, pen", "signature", "recto", "pen"), ("annotation, verso, pencil", "annotation", "verso", "pencil"), ("verzamelaarsmerk, verso, gestempeld", "collector's mark", "verso", "stamped"), ("opschrift", "inscription", None, None)]
 
