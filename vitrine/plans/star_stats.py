@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitrine.functions import scalar as S
 from vitrine.functions import text as T
 from vitrine.operators import aggregates as A
-from vitrine.operators import similar, text, vector
+from vitrine.operators import postings, similar, text, vector
+from vitrine.operators.hierarchy import shared_dir
 from vitrine.plans.registry import query
 
 EDGES = "(select l_orderkey, p_brand, p_type, p_size, p_name, l_partkey, l_suppkey, l_returnflag from lineitem join part on p_partkey=l_partkey)"
@@ -195,6 +198,18 @@ def txt_bm25_topk(t):
     return found.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(50)
 
 
+@query(f"""with w as (select doc_id, {TOKS} as w from documents), f as (select doc_id, len(w) as len, len(list_filter(w, lambda x: x='rights')) as a, len(list_filter(range(1, len(w)), lambda i: w[i]='apache' and w[i+1]='license')) as b from w),
+  s as (select count(*) as n, avg(len) as al, count(*) filter (a>0) as da, count(*) filter (b>0) as db from f)
+  select doc_id, round(-(case when ln((n-da+0.5)/(da+0.5))<=0 then 1e-6 else ln((n-da+0.5)/(da+0.5)) end*a*2.2/(a+1.2*(0.25+0.75*len/al)) + case when ln((n-db+0.5)/(db+0.5))<=0 then 1e-6 else ln((n-db+0.5)/(db+0.5)) end*b*2.2/(b+1.2*(0.25+0.75*len/al))), 6) as score
+  from f, s where a>0 or b>0""")
+def txt_bm25_postings(t):
+    """Ranked search over stored postings: a word and a phrase."""
+    folder = f"{shared_dir(t.spark)}/postings-{uuid.uuid4().hex}"
+    postings.build(t.documents, "doc_id", ["text"], folder)
+    found = postings.bm25(t.spark, folder, "doc_id", ["rights", "Apache License"])
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
 @query(f"""with w as (select doc_id, {TOKS} as w from documents), u as (select unnest(list_distinct(w)) as term from w),
   b as (select unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]))) as term from w)
   select term, df, kind from (select term, count(*) as df, 'token' as kind from u group by 1 union all select term, count(*), 'bigram' from b group by 1) where df >= 20""")

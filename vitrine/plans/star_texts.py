@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.operators import inscriptions, provenance, references, replay, sequences
+from vitrine.operators.hierarchy import kept
 from vitrine.plans.registry import query
 
 CITIES = ["Amsterdam", "Paris", "London", "Delft"]
@@ -92,7 +93,7 @@ def prov_rollup(t):
 
 def operated(t):
     """Histories, and a log of operations for their events by the remainder of the sequence."""
-    chain = prov_events(t)
+    chain = kept(prov_events(t))  # parsed once
     own = chain.select("o_custkey", "sequence", "raw_text").withColumn("_m", F.col("sequence") % 7)
     stay = own.where("_m not in (3, 4)")  # splits look for their event among those left
     addressed = lambda rows: sequences.duplicate_ordinals(rows, F.col("raw_text"), "o_custkey", "sequence").drop("raw_text")
