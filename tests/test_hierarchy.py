@@ -62,3 +62,14 @@ def test_many_roots_take_a_join(spark, monkeypatch):
     monkeypatch.setattr(hierarchy, "BOUND", 1)
     edges = [(n, n // 3) for n in range(1, 90)] + [(0, None), (80, 4)]
     assert found(spark, edges, [3, 4, 11])[0] == walked(edges, [3, 4, 11], 10)
+
+
+def test_a_catalogue_with_stored_labels_finds_the_same_places(spark):
+    from vitrine.catalogue import Catalogue
+
+    places = [(f"p{n}", n, f"p{n // 3}" if n else None) for n in range(40)]
+    vocabulary = spark.createDataFrame(places, "id string, vocab_int_id long, broader_id string")
+    labels, others = hierarchy.labelled(vocabulary, "id", "broader_id")
+    terms = spark.createDataFrame([(2,), (5,)], "vocab_rowid long")
+    found = lambda **more: sorted(r[0] for r in Catalogue(vocabulary=vocabulary, **more).with_narrower(terms).collect())
+    assert found(broader_labels=labels, broader_others=others) == found() != []
