@@ -81,3 +81,14 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     assert "LessThanOrEqual(l_discount,0.03)" in plan and "l_comment" not in plan
     radius = plans.queries()["geo_radius"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "Cartesian" not in radius
+
+
+def test_histories_of_unknown_events_alone_have_no_types(spark, tmp_path):
+    """No type but unknown: null, as in the SQL, not an empty text."""
+    rows = "values (5L, 1L), (11L, 1L), (5L, 2L), (12L, 2L) as t(o_orderkey, o_custkey)"
+    spark.sql(f"select *, 'F' as o_orderstatus, 10.0D as o_totalprice, date'1997-03-04' as o_orderdate from {rows}").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    found = sorted(map(tuple, plans.queries()["prov_rollup"](spark, str(tmp_path)).collect()))
+    assert found == sorted(con.execute(plans.oracle_sql()["prov_rollup"]).fetchall())
+    assert [r[4] for r in found] == [None, "sale"]

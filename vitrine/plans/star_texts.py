@@ -88,7 +88,7 @@ def prov_search_chains(t):
   bool_or(price_amount is not null) as has_price from e group by 1""")
 def prov_rollup(t):
     found = provenance.rollup(prov_events(t), "o_custkey")
-    return found.select("o_custkey", "n_events", "first_year", "last_year", F.array_join("transfer_types", ",").alias("transfer_types"), "has_price")
+    return found.select("o_custkey", "n_events", "first_year", "last_year", F.when(F.size("transfer_types") > 0, F.array_join("transfer_types", ",")).alias("transfer_types"), "has_price")
 
 
 def operated(t):
