@@ -5,6 +5,8 @@ import pytest
 from vitrine import dimensions, ownership
 from vitrine.catalogue import Catalogue, cleaned
 from vitrine.operators import curation
+from vitrine.plans.museum import catalogue
+from vitrine.plans.registry import Tables
 
 
 @pytest.mark.parametrize(("params", "layer"), [({}, "events"), ({"sortBy": "price"}, "events"), ({"ownerName": "Vos"}, "events"), ({"transferType": "sale"}, "periods"), ({"party": "Vos", "sortBy": "price"}, "periods"), ({"colour": "red"}, "events")])
@@ -26,6 +28,12 @@ def test_a_place_by_what_follows_the_comma(spark):
     assert c.located("Nowhere") is None
 
 
+def test_edges_are_never_broadcast(spark, sf_dir):
+    """Fields that are constants leave no key to join by: the small side is the names of the fields."""
+    plan = catalogue(Tables(spark, sf_dir)).edges("theme")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BuildLeft" not in plan
+
+
 def test_dimensions():
     by_name = {d["name"]: d for d in dimensions.described()}
     assert by_name["century"] == {"name": "century", "multi_valued": False, "grouping_key": "computed_bucket", "default_ordering": "count_desc", "bucket_unit": "year", "bucket_width": 100, "bucket_min": None, "bucket_max_exclusive": None, "creator_domain": None}

@@ -75,7 +75,8 @@ class Catalogue:
     def edges(self, *fields: str) -> DataFrame:
         """(artwork_id, vocab_rowid) of the edges in the named fields."""
         ids = self.field_lookup.where(F.col("name").isin(*fields)).select(F.col("id").alias("field_id"))
-        return self.mappings.join(ids, "field_id", "left_semi").select("artwork_id", "vocab_rowid").distinct()
+        # a field of the edges that is a constant leaves no key to join by; without the hint the edges may be broadcast
+        return self.mappings.join(F.broadcast(ids), "field_id", "left_semi").select("artwork_id", "vocab_rowid").distinct()
 
     def terms(self, name: str, value) -> DataFrame:
         """(vocab_rowid) of the terms that a filter's value means: an iconclass is a notation, anything else the first
