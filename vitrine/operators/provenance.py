@@ -85,7 +85,8 @@ def outside_brackets(text: Column) -> Column:
         return F.struct(F.when(done, F.concat(at["done"], F.array(joined))).otherwise(at["done"]).alias("done"), F.when(~done, joined).alias("open"))
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-    return F.aggregate(F.split(text, ";"), start, merged, lambda at: F.when(at["open"].isNull(), at["done"]).otherwise(F.concat(at["done"], F.split(at["open"], ";"))))
+    held = F.aggregate(F.split(text, ";"), start, merged, lambda at: F.when(at["open"].isNull(), at["done"]).otherwise(F.concat(at["done"], F.split(at["open"], ";"))))
+    return F.when(text.rlike(r'[(\[“"]'), held).otherwise(F.split(text, ";"))  # where nothing opens nothing is held together
 
 
 def segments(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -95,10 +96,10 @@ def segments(rows: DataFrame, key: str, text: str) -> DataFrame:
     mark = F.regexp_replace(clean, r"\{[^}]*\}", "\u0001")
     cited = F.regexp_extract_all(clean, F.lit(r"\{([^}]*)\}"), 1)
     pieces = outside_brackets(mark)
-    out = rows.where(F.col(text).isNotNull()).select(key, F.posexplode(pieces).alias("_i", "_t"), pieces.alias("_all"), cited.alias("_cited"))
+    out = rows.where(F.col(text).isNotNull()).select(key, pieces.alias("_all"), cited.alias("_cited")).select("*", F.posexplode("_all").alias("_i", "_t"))
     marks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\u0001"), F.lit("")))
     before = F.aggregate(F.slice("_all", F.lit(1), F.col("_i")), F.lit(0), lambda n, t: n + marks(t))
-    out = out.withColumn("citations", F.slice("_cited", before + 1, F.greatest(marks(F.col("_t")), F.lit(0))))
+    out = out.withColumn("citations", F.when(F.size("_cited") == 0, F.col("_cited")).otherwise(F.slice("_cited", before + 1, F.greatest(marks(F.col("_t")), F.lit(0)))))
     bare = F.trim(F.regexp_replace(F.regexp_replace("_t", "\u0001", ""), r"^[\s.…]+|[\s.…]+$", " "))
     gap = F.col("_t").rlike(r"^\s*(?:…|\.\.\.)") | F.coalesce(F.get("_all", F.col("_i") - 1).rlike(r"(?:…|\.\.\.)[\s\u0001]*$"), F.lit(False))
     out = out.withColumn("gap", gap).withColumn("raw_text", bare).where("raw_text <> ''")
@@ -139,13 +140,28 @@ def priced(text: Column) -> Column:
     def amount(raw: Column) -> Column:
         whole = F.split_part(raw, F.lit(":"), F.lit(1))
         plain = F.regexp_replace(F.regexp_replace(whole, r"[.,](?=\d{3}(?:\D|$))", ""), ",", ".")
-        small = F.split_part(raw, F.lit(":"), F.lit(2)).try_cast("double")
+        small = F.when(F.contains(raw, F.lit(":")), F.split_part(raw, F.lit(":"), F.lit(2)).try_cast("double"))
         return F.rtrim(plain, F.lit(".")).try_cast("double") + F.coalesce(small / 20, F.lit(0.0))
 
     rules = [(rf"\Q{sign}\E\s*{number}", name) for sign, name in BEFORE_AMOUNT.items()] + [(rf"(?iu){number}\s*{sign}\b", name) for sign, name in AFTER_AMOUNT.items()]
     for pattern, name in reversed(rules):
         out = F.when(text.rlike(pattern), F.struct(amount(F.regexp_extract(text, pattern, 1)).alias("amount"), F.lit(name).alias("currency"))).otherwise(out)
-    return out
+    signs = "|".join([*(rf"\Q{sign}\E\s*\d" for sign in BEFORE_AMOUNT), rf"\d[\d.,:]*\s*(?:{'|'.join(AFTER_AMOUNT)})\b"])
+    return F.when(text.rlike(f"(?iu){signs}"), out)
+
+
+def known_first(text: Column, rules: list[tuple[str, Column]], joined) -> Column:
+    """The value of the first rule (pattern, value) whose pattern is in a text that has one of them, by halves: ``joined``
+    makes one expression of several patterns, so a text meets as many as the logarithm of the rules."""
+    if len(rules) == 1:
+        return rules[0][1]
+    left, right = rules[: len(rules) // 2], rules[len(rules) // 2 :]
+    return F.when(text.rlike(joined([p for p, _ in left])), known_first(text, left, joined)).otherwise(known_first(text, right, joined))
+
+
+def first_of(text: Column, rules: list[tuple[str, Column]], joined) -> Column:
+    """The value of the first rule whose pattern is in a text, or null."""
+    return F.when(text.rlike(joined([p for p, _ in rules])), known_first(text, rules, joined))
 
 
 def position(role: Column, transfer: Column) -> Column:
@@ -162,14 +178,16 @@ def events(rows: DataFrame, key: str, text: str) -> DataFrame:
     body = F.regexp_replace("raw_text", r"^\?\s*", "")
     e = e.withColumn("uncertain", F.col("raw_text").startswith("?")).withColumn("_b", body)
     kin = rf"(?i)^((?:his|her|their) (?:[\w'’-]+ ){{0,2}}?(?:{KIN}))\b,?"
-    first_match = F.when(F.col("_b").rlike(kin), F.struct(F.when(F.col("_b").rlike(r"(?i)^\w+ widow(?:er)?\b"), "widowhood").otherwise("by_descent").alias("type"), F.lower(F.regexp_extract("_b", kin, 1)).alias("role"), F.lit(kin).alias("cut")))
-    rules = [(type_, role, p, p) for type_, role, pattern in OPENINGS for p in [rf"(?i)^(?:{pattern})(?=[\s,:]|$)"]]
-    rules += [(type_, None, rf"(?i){pattern}", "$.") for type_, pattern in SIGNS]
-    made = [F.when(F.col("_b").rlike(p), F.struct(F.lit(type_).alias("type"), F.lit(role).cast("string").alias("role"), F.lit(cut).alias("cut"))) for type_, role, p, cut in rules]
-    e = e.withColumn("_m", F.coalesce(first_match, *made)).withColumn("transfer_type", F.coalesce("_m.type", F.lit("unknown")))
-    rest = F.trim(F.regexp_replace(F.col("_b"), F.coalesce("_m.cut", F.lit("$.")), F.lit("")))
+    first_match = F.when(F.col("_b").rlike(kin), F.struct(F.when(F.col("_b").rlike(r"(?i)^\w+ widow(?:er)?\b"), "widowhood").otherwise("by_descent").alias("type"), F.lower(F.regexp_extract("_b", kin, 1)).alias("role"), F.regexp_extract("_b", kin, 0).alias("cut")))
+    opens = lambda patterns: rf"(?i)^(?:{'|'.join(patterns)})(?=[\s,:]|$)"
+    rule = lambda type_, role, cut: F.struct(F.lit(type_).alias("type"), F.lit(role).cast("string").alias("role"), cut.alias("cut"))
+    opened = first_of(F.col("_b"), [(p, rule(type_, role, F.regexp_extract("_b", opens([p]), 0))) for type_, role, p in OPENINGS], opens)
+    signed = first_of(F.col("_b"), [(p, rule(type_, None, F.lit(""))) for type_, p in SIGNS], lambda patterns: f"(?i){'|'.join(patterns)}")
+    e = e.withColumn("_m", F.coalesce(first_match, opened, signed)).withColumn("transfer_type", F.coalesce("_m.type", F.lit("unknown")))
+    rest = F.trim(F.substr("_b", F.coalesce(F.length("_m.cut"), F.lit(0)) + 1))  # what opens a segment goes
     e = e.withColumn("_rest", F.regexp_replace(rest, r"^[,:\s]+", ""))
     name = F.trim(F.regexp_replace(F.regexp_extract("_rest", r"^((?:[^,(]|\([^)]*\))*)", 1), r"\([^)]*\)", ""))
+    e, name = e.withColumn("_said", name), F.col("_said")  # a column of its own is worked out once
     name = F.when(name.rlike(r"^(?:\d|[£$€]|fl\.|(?i:in|by|before|after|c\.|lot|no\.) ?\d|(?i:for|to the museum))") | (name == ""), None).otherwise(name)
     life = F.nullif(F.regexp_extract("_rest", r"^[^,]*?\(([^)]*\d{3,4}[^)]*)\)", 1), F.lit(""))
     receiver = found(F.col("_rest"), r"(?i)(?:^|[,\s])(?:by whom sold to|to) (the museum|[A-Z][^,(;]*)", 1)
@@ -178,8 +196,9 @@ def events(rows: DataFrame, key: str, text: str) -> DataFrame:
     first = F.when(F.col("_name").isNotNull() & F.col("_m.role").isNotNull() & F.col("_m.role").isin("seller") & F.col("_name").rlike("(?i) to "), F.regexp_extract("_name", r"(?i)^(.*?) to ", 1)).otherwise(F.col("_name"))
     second = F.when((F.col("transfer_type") == "sale") & (F.col("_m.role") == "seller") & receiver.isNotNull(), F.trim(receiver))
     parties = F.array_compact(F.array(F.when(first.isNotNull(), party(first, life, F.col("_m.role"))), F.when(second.isNotNull(), party(second, F.lit(None).cast("string"), F.lit("buyer")))))
-    price, date = priced(F.col("_b")), dated(F.col("_b"))
     place = found(F.regexp_replace("_rest", r"\([^)]*\)", ""), r"^[^,]+,\s*(\p{Lu}[\p{L}'’ .-]+?)\s*(?:,|$)", 1)
+    e = e.withColumns({"_price": priced(F.col("_b")), "_date": dated(F.col("_b")), "_place": place})
+    price, date, place = F.col("_price"), F.col("_date"), F.col("_place")
     cross = r"(?i)^(?:for (?:the )?provenance,? )?see (?:also )?(?:the )?(?:provenance of )?([\w.-]+(?:-[\w.]+)*)"
     return e.select(
         key, "sequence", "raw_text", "gap", "citations", "transfer_type", lookup(CATEGORY, F.col("transfer_type")).alias("transfer_category"), "uncertain",
