@@ -95,6 +95,11 @@ def test_histories_of_unknown_events_alone_have_no_types(spark, tmp_path):
     assert [r[4] for r in found] == [None, "sale"]
 
 
+def test_histories_are_parsed_once_for_whole_chains(spark, sf_dir):
+    plan = plans.queries()["prov_search_chains"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("posexplode(") == 1
+
+
 def test_openings_are_cut_by_fixed_patterns(spark, sf_dir):
     """A pattern that changes from row to row is compiled for every row; and a text meets few patterns, not all in turn."""
     plan = plans.queries()["prov_parse_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

@@ -257,10 +257,10 @@ def periods(chain: DataFrame, key: str, creation: DataFrame | None = None) -> Da
 def chains(chain: DataFrame, key: str, condition: Column, without: Column | None = None) -> DataFrame:
     """Whole chains of the entities with an event on which the condition holds (and none on which ``without``
     does), each event with ``matched``."""
-    hit = chain.where(condition).select(F.col(key).alias("_k")).distinct()
-    out = chain.join(hit, chain[key] == F.col("_k"), "left_semi")
-    if without is not None:
-        out = out.join(chain.where(without).select(F.col(key).alias("_w")).distinct(), F.col(key) == F.col("_w"), "left_anti")
+    own = Window.partitionBy(key)  # chains come parsed and in order by their keys, so they are read once
+    some = lambda test: F.coalesce(F.bool_or(test).over(own), F.lit(False))
+    out = chain.withColumns({"_hit": some(condition), "_non": F.lit(False) if without is None else some(without)})
+    out = out.where(F.col(key).isNotNull() & F.col("_hit") & ~F.col("_non")).drop("_hit", "_non")
     return out.withColumn("matched", F.coalesce(condition, F.lit(False)))
 
 
