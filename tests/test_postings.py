@@ -40,3 +40,14 @@ def test_a_phrase_that_overlaps_itself_counts_at_each_place(spark, tmp_path):
 def test_an_empty_table(spark, tmp_path):
     postings.build(spark.createDataFrame([], "id long, t string"), "id", ["t"], str(tmp_path))
     assert postings.bm25(spark, str(tmp_path), "id", ["red"]).count() == 0
+
+
+def test_postings_are_made_without_a_shuffle(spark, stored):
+    """Only writing them by term shuffles; places come from the document's own row, for long texts too."""
+    docs, _ = stored
+    made = postings.postings(postings.lengths(docs, "id", ["title", "note"]), ["title", "note"])
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    long = spark.createDataFrame([(1, "b a " * 30_000 + "c")], "id long, t string")
+    rows = postings.postings(postings.lengths(long, "id", ["t"]), ["t"]).collect()
+    assert {r["term"]: r["places"] for r in rows} == {"b": [*range(0, 60_000, 2)], "a": [*range(1, 60_000, 2)], "c": [60_000]}
+    assert {(r["field"], r["key"], r["len"]) for r in rows} == {("t", 1, 60_001)}

@@ -8,6 +8,28 @@ from pyspark.sql import functions as F
 from vitrine.functions import text as T
 
 BUCKETS = 64
+SPREAD = 8  # parts of a bucket, by document
+
+
+def lengths(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(row, key, w0, w1 and so on: the tokens of the columns, len: how many)."""
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), *(T.tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)))
+    return words.withColumn("len", sum((F.size(f"w{i}") for i in range(len(columns))), F.lit(0)))
+
+
+def postings(words: DataFrame, columns: list[str]) -> DataFrame:
+    """(term, field, row, key, len, places), one row for each term of a document's field. A document's postings are made in its
+    row: its tokens are sorted, and each run of one term is a slice. Nothing is shuffled."""
+    field = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"w{i}").alias("w")) for i, c in enumerate(columns))))
+    each = words.select("row", "key", "len", field.alias("f")).where("size(f.w) > 0")
+    each = each.select("row", "key", "len", "f.field", F.array_sort(F.transform("f.w", lambda t, at: F.struct(t.alias("term"), at.alias("at")))).alias("s"))
+    term = lambda i: F.get("s", i)["term"]
+    first = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
+    each = each.withColumn("first", F.concat(first, F.array(F.size("s"))))
+    start = lambda k: F.get("first", k)
+    posting = lambda k: F.struct(term(start(k)).alias("term"), F.transform(F.slice("s", start(k) + 1, start(k + 1) - start(k)), lambda x: x["at"]).alias("places"))
+    posts = each.select("row", "key", "len", "field", F.explode(F.transform(F.sequence(F.lit(0), F.size("first") - 2), posting)).alias("p"))
+    return posts.select("p.term", "field", "row", "key", "len", "p.places")
 
 
 def build(docs: DataFrame, key: str, columns: list[str], folder: str, buckets: int = BUCKETS) -> None:
@@ -18,15 +40,13 @@ def build(docs: DataFrame, key: str, columns: list[str], folder: str, buckets: i
     groups; a term of very many documents is spread over files by document. Null texts have no tokens; every row is a
     document of its own, whatever its key; documents without a token count for the mean. Other columns may have any name.
     """
-    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), *(T.tokens(F.col(c)).alias(f"w{i}") for i, c in enumerate(columns)))
-    words = words.withColumn("len", sum((F.size(f"w{i}") for i in range(len(columns))), F.lit(0)))
+    words = lengths(docs, key, columns)
     words.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.lit(buckets).alias("buckets"), F.lit(None).cast(docs.schema[key].dataType).alias("key")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/stats")
-    field = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"w{i}").alias("w")) for i, c in enumerate(columns))))
-    each = words.select("row", "key", "len", field.alias("f")).select("row", "key", "len", "f.field", F.posexplode("f.w").alias("at", "term"))
-    posts = each.groupBy("term", "field", "row").agg(F.first("key").alias("key"), F.first("len").alias("len"), F.array_sort(F.collect_list("at")).alias("places"))
+    posts = postings(words, columns)
     posts = posts.withColumn("bucket", F.pmod(F.hash("term"), F.lit(buckets)))
     order = ["bucket", "term", "row"]
-    posts.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+    # dealt by hashes: ranges would be sampled first, which makes every posting twice
+    posts.repartition("bucket", F.pmod("row", F.lit(SPREAD))).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
 
 
 def of_words(spark: SparkSession, folder: str, words: list[str], fields: list[str] | None = None) -> DataFrame:
