@@ -32,3 +32,9 @@ def test_lines_cycles_and_missing_works(spark):
 
 def test_no_works(spark):
     assert references.resolved(spark.createDataFrame([], "number string, history string"), "number", "history").count() == 0
+
+
+def test_words_of_a_text_are_found_once(spark):
+    """Not again for every word, which takes the square of a history's length."""
+    plan = spark.range(1).select(references.target(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1

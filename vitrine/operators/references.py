@@ -26,24 +26,32 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(joined, F.lit(rf"{NUMBER}|\p{{L}}+"), 0)
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, not again at every place that reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def target(text: Column) -> Column:
     """The number of the work that a text refers to for its history, or null. Three forms: a word that points (see,
     zie, see under) before it, a history that is the same as that of it, and both works of a pair whose other one it is."""
 
-    def pointed(found: Column, i: Column) -> Column:
-        back = F.transform(F.reverse(F.slice(found, 1, i - 1)), F.lower)
-        skipped = F.size(back) - F.size(F.array_except(back, F.array(*(F.lit(w) for w in BETWEEN))))  # bound on what can be skipped
-        starts = F.filter(F.sequence(F.lit(0), skipped), lambda k: ~F.coalesce(F.get(back, k).isin(BETWEEN), F.lit(False)))
-        at = F.get(starts, F.lit(0))
+    def tests(back: Column, at: Column) -> Column:
         one, two = F.get(back, at), F.get(back, at + 1)
         after = lambda n: F.slice(back, at + 2, F.lit(n))
         some = lambda n, wanted: F.arrays_overlap(after(n), F.array(*(F.lit(w) for w in wanted)))
-        tests = one.isin(POINTS) | (one.isin(BELOW) & two.isin(POINTS)) | (one.isin(LIKE) & some(3, SAME)) | (one.isin(PAIR) & some(1 << 20, BOTH))
-        return F.coalesce(tests, F.lit(False))
+        return F.coalesce(one.isin(POINTS) | (one.isin(BELOW) & two.isin(POINTS)) | (one.isin(LIKE) & some(3, SAME)) | (one.isin(PAIR) & some(1 << 20, BOTH)), F.lit(False))
+
+    def pointed(back: Column) -> Column:
+        skipped = F.size(back) - F.size(F.array_except(back, F.array(*(F.lit(w) for w in BETWEEN))))  # bound on what can be skipped
+        starts = F.filter(F.sequence(F.lit(0), skipped), lambda k: ~F.coalesce(F.get(back, k).isin(BETWEEN), F.lit(False)))
+        return let(F.get(starts, F.lit(0)), lambda at: tests(back, at))
+
+    def meant(found: Column) -> Column:
+        back = lambda i: F.transform(F.reverse(F.slice(found, 1, i - 1)), F.lower)
+        spots = F.filter(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda i: F.coalesce(F.get(found, i - 1).rlike(rf"^{NUMBER}$") & let(back(i), pointed), F.lit(False)))
+        return F.get(found, F.get(spots, F.lit(0)) - 1)
 
-    found = words(text)
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), lambda i: F.coalesce(F.get(found, i - 1).rlike(rf"^{NUMBER}$") & pointed(found, i), F.lit(False)))
-    return F.get(found, F.get(spots, F.lit(0)) - 1)
+    return let(words(text), meant)
 
 
 def same(number: Column) -> Column:
