@@ -104,3 +104,9 @@ def test_openings_are_cut_by_fixed_patterns(spark, sf_dir):
     """A pattern that changes from row to row is compiled for every row; and a text meets few patterns, not all in turn."""
     plan = plans.queries()["prov_parse_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert not re.search(r"regexp_replace\(_b#\d+, \w", plan) and "(?i)^(?:sold (?:by" in plan and "stolen(?: from| by)?|" in plan
+
+
+def test_rules_of_histories_stay_out_of_generated_code(spark, sf_dir):
+    """Types, prices and dates are told in lambdas: the code generated for a row stays short enough to be compiled."""
+    plan = plans.queries()["prov_parse_events"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"transform\(array\(_b#\d+\)", plan)) == 3

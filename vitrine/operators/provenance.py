@@ -150,6 +150,12 @@ def priced(text: Column) -> Column:
     return F.when(text.rlike(f"(?iu){signs}"), out)
 
 
+def apart(value: Column, f) -> Column:
+    """``f`` of a value, in a lambda: its many branches stay out of the code generated for the row, which the JVM doesn't compile
+    any more when it gets long."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def known_first(text: Column, rules: list[tuple[str, Column]], joined) -> Column:
     """The value of the first rule (pattern, value) whose pattern is in a text that has one of them, by halves: ``joined``
     makes one expression of several patterns, so a text meets as many as the logarithm of the rules."""
@@ -178,12 +184,17 @@ def events(rows: DataFrame, key: str, text: str) -> DataFrame:
     body = F.regexp_replace("raw_text", r"^\?\s*", "")
     e = e.withColumn("uncertain", F.col("raw_text").startswith("?")).withColumn("_b", body)
     kin = rf"(?i)^((?:his|her|their) (?:[\w'’-]+ ){{0,2}}?(?:{KIN}))\b,?"
-    first_match = F.when(F.col("_b").rlike(kin), F.struct(F.when(F.col("_b").rlike(r"(?i)^\w+ widow(?:er)?\b"), "widowhood").otherwise("by_descent").alias("type"), F.lower(F.regexp_extract("_b", kin, 1)).alias("role"), F.regexp_extract("_b", kin, 0).alias("cut")))
     opens = lambda patterns: rf"(?i)^(?:{'|'.join(patterns)})(?=[\s,:]|$)"
     rule = lambda type_, role, cut: F.struct(F.lit(type_).alias("type"), F.lit(role).cast("string").alias("role"), cut.alias("cut"))
-    opened = first_of(F.col("_b"), [(p, rule(type_, role, F.regexp_extract("_b", opens([p]), 0))) for type_, role, p in OPENINGS], opens)
-    signed = first_of(F.col("_b"), [(p, rule(type_, None, F.lit(""))) for type_, p in SIGNS], lambda patterns: f"(?i){'|'.join(patterns)}")
-    e = e.withColumn("_m", F.coalesce(first_match, opened, signed)).withColumn("transfer_type", F.coalesce("_m.type", F.lit("unknown")))
+
+    def typed(b: Column) -> Column:
+        widow = F.when(b.rlike(r"(?i)^\w+ widow(?:er)?\b"), "widowhood").otherwise("by_descent")
+        relative = F.when(b.rlike(kin), F.struct(widow.alias("type"), F.lower(F.regexp_extract(b, kin, 1)).alias("role"), F.regexp_extract(b, kin, 0).alias("cut")))
+        opened = first_of(b, [(p, rule(type_, role, F.regexp_extract(b, opens([p]), 0))) for type_, role, p in OPENINGS], opens)
+        signed = first_of(b, [(p, rule(type_, None, F.lit(""))) for type_, p in SIGNS], lambda patterns: f"(?i){'|'.join(patterns)}")
+        return F.coalesce(relative, opened, signed)
+
+    e = e.withColumn("_m", apart(F.col("_b"), typed)).withColumn("transfer_type", F.coalesce("_m.type", F.lit("unknown")))
     rest = F.trim(F.substr("_b", F.coalesce(F.length("_m.cut"), F.lit(0)) + 1))  # what opens a segment goes
     e = e.withColumn("_rest", F.regexp_replace(rest, r"^[,:\s]+", ""))
     name = F.trim(F.regexp_replace(F.regexp_extract("_rest", r"^((?:[^,(]|\([^)]*\))*)", 1), r"\([^)]*\)", ""))
@@ -197,7 +208,7 @@ def events(rows: DataFrame, key: str, text: str) -> DataFrame:
     second = F.when((F.col("transfer_type") == "sale") & (F.col("_m.role") == "seller") & receiver.isNotNull(), F.trim(receiver))
     parties = F.array_compact(F.array(F.when(first.isNotNull(), party(first, life, F.col("_m.role"))), F.when(second.isNotNull(), party(second, F.lit(None).cast("string"), F.lit("buyer")))))
     place = found(F.regexp_replace("_rest", r"\([^)]*\)", ""), r"^[^,]+,\s*(\p{Lu}[\p{L}'’ .-]+?)\s*(?:,|$)", 1)
-    e = e.withColumns({"_price": priced(F.col("_b")), "_date": dated(F.col("_b")), "_place": place})
+    e = e.withColumns({"_price": apart(F.col("_b"), priced), "_date": apart(F.col("_b"), dated), "_place": place})
     price, date, place = F.col("_price"), F.col("_date"), F.col("_place")
     cross = r"(?i)^(?:for (?:the )?provenance,? )?see (?:also )?(?:the )?(?:provenance of )?([\w.-]+(?:-[\w.]+)*)"
     return e.select(
