@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 
 import numpy as np
 
 EOS = 1
-HELD, SHORT = 250_000, 40  # pieces after which a task forgets those it has not met lately, and how long they may be
+PART = 100_000  # characters of a text that are merged at a time
 #: A byte-level vocabulary never joins what stands before a space to a letter or digit after it.
 BORDER = re.compile(r" (?=[^\W_])")
-ENDS = ",.;:!?)"
-LETTERS = "\u0530"  # Latin, Greek and Cyrillic letters come before it
 #: Byte-level vocabularies write bytes that don't show as characters from 256 on, in order.
 SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
@@ -38,59 +36,61 @@ def merged_in_order(told: dict) -> bool:
     return all(a < b for a, b in zip(made, made[1:], strict=False))
 
 
-class Encoder(dict):
-    """Ids of texts as little-endian unsigned 32-bit integers, by ``tokenizers``.
+def bytes_of_ids(made) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    back = {shown: bytes([byte]) for byte, shown in SHOWN.items()}
+    return [b"".join(back.get(ord(c), bytes([ord(c) & 255])) for c in made.id_to_token(i) or "") for i in range(made.get_vocab_size())]
 
-    Where the vocabulary splits texts at spaces before it merges, a text goes piece by piece, and ids of short
-    pieces (the keys; a space stands before each) are remembered: words repeat, so few texts are merged anew.
+
+def merges(told: dict, known: dict[int, bytes]):
+    """The ids of a text by the merges of a vocabulary whose ids tell which merge comes first; special tokens are plain text."""
+    import public_tokenizers
+    import tiktoken
+
+    special = {t["id"] for t in told.get("added_tokens", ())}
+    ranks = {x: i for i, x in known.items() if i not in special}
+    return tiktoken.Encoding("merges", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit integers, those that ``tokenizers`` gives by the vocabulary's file.
+
+    Where the vocabulary splits texts at spaces before it merges and earlier merges have smaller ids, its own merges are
+    run by ``tiktoken``, which keeps nothing between texts; longer texts go there in parts that end before a space
+    and a letter or digit. All other texts, those with the strings of special tokens and longer runs without
+    such a place go through ``tokenizers`` itself.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.made = Tokenizer.from_file(path)
-        self.merges = self.made.model
         told = json.loads(self.made.to_str())
-        self.pieces = splits_at_spaces(told)
         self.special = [t["content"] for t in told.get("added_tokens", ())]
-        self.before: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
-
-    def word(self, piece: str) -> bytes:
-        """A space and letters: nothing to split, so the merges over their bytes alone give the ids."""
-        ids = [t.id for t in self.merges.tokenize((" " + piece).encode().decode("latin-1").translate(SHOWN))]
-        return pack(f"<{len(ids)}I", *ids)
-
-    def ends(self, marks: str) -> bytes:
-        if (ids := self.marks.get(marks)) is None:
-            ids = self.whole(marks)
-            if len(marks) <= 4:
-                self.marks[marks] = ids
-        return ids
-
-    def whole(self, text: str) -> bytes:
-        return pack(f"<{len(ids := self.made.encode(text, add_special_tokens=False).ids)}I", *ids)
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            word = piece.rstrip(ENDS)
-            if word is not piece and word.isalpha():  # letters and what follows them are never joined
-                ids = self[word] + self.ends(piece[len(word) :])
-            else:
-                ids = self.word(piece) if piece.isalpha() and max(piece) < LETTERS else self.whole(" " + piece)
-        if len(piece) <= SHORT:
-            if len(self) >= HELD:
-                self.before = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
+        self.fast = merges(told, {i: x for i, x in enumerate(bytes_of_ids(self.made)) if x}) if splits_at_spaces(told) and merged_in_order(told) else None
+
+    def whole(self, text: str) -> list[int]:
+        return self.made.encode(text, add_special_tokens=False).ids
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts of up to ``PART`` characters, longer ones only where there is no place to cut."""
+        at, last = 0, 0
+        for border in BORDER.finditer(text):
+            if border.start() - at > PART and last > at:
+                yield text[at:last]
+                at = last
+            last = border.start()
+        if len(text) - at > PART and last > at:
+            yield text[at:last]
+            at = last
+        yield text[at:]
 
     def ids(self, text: str) -> np.ndarray:
-        if not self.pieces or any(t in text for t in self.special):
-            return np.frombuffer(self.whole(text), "<u4")
-        first, *rest = BORDER.split(text)
-        return np.frombuffer(self.whole(first) + b"".join(map(self.__getitem__, rest)), "<u4")
+        if self.fast is None or any(t in text for t in self.special):
+            return np.array(self.whole(text), "<u4")
+        if len(text) <= PART:
+            return np.array(self.fast(text), "<u4")
+        return np.concatenate([np.array(self.fast(x) if len(x) <= PART else self.whole(x), "<u4") for x in self.parts(text)])
 
 
 @lru_cache(maxsize=2)
