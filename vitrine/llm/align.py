@@ -1,9 +1,13 @@
 """Two tokenizers aligned: where tokens of both end at one byte, a text is cut into groups, and tokens of a group are linked.
 
 Python only tokenises: it cuts texts into pieces where both tokenizers end a token in any text, and hands over, for
-batches of whole documents, every distinct piece's tokens once, in two arrays of ids and two of the bytes where
-they end, and every document as the numbers of its pieces. Everything after it is Spark's array functions:
-the ends that both have are ``array_intersect`` of the end arrays; where these cuts stand among a side's tokens is
+batches of whole documents, every document as the numbers of its pieces and the tokens of every distinct piece
+once: ids and the bytes where they end. Pieces that many batches hold are counted over all documents beforehand,
+and at most ``OFTEN`` of them are tokenised and grouped once for the whole table; batches name these by number
+and take their groups from one broadcast row. How many there are only tells where a piece is grouped.
+
+Everything after it is Spark's array functions: the ends that both have are ``array_intersect`` of the end arrays,
+and where all ends are equal, tokens pair off by ``zip_with``. Of long pieces, where these cuts stand among a side's tokens is
 read from the sorted array of its ends and the cuts, in which a cut is an entry that equals the one before it;
 groups are slices between cuts, pieces are slices of groups, documents are lists of pieces.
 
@@ -18,17 +22,24 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections import Counter
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import tokens
 from vitrine.llm.shared import stored
 
 HOT = 500_000  # pairs that may be broadcast: two longs and a flag each
-BATCH = 1 << 16  # pieces after which a task hands over what it has
+BATCH = 1 << 19  # bytes of text after which a task hands over what it has
+OFTEN, WORD = 150_000, 40  # pieces that are grouped once for all batches, and the longest of them
+COUNTED = 300_000  # pieces that a task counts before it hands over those it has met twice
+ROWS = 1000  # documents that go to Python at once
+PER_FILE = 4  # batches in a stored file: readers of columns hold all rows of one, up to thousands, at once
+FEW = 64  # tokens of a piece whose groups are filtered one by one
 SHORT = 200  # pieces up to this go to the fast merges, longer ones to those whose time doesn't grow with the square
 #: Neither tokenizer joins what stands before a space to a letter or digit after it, where no other space stands before.
 BORDER = re.compile(r"(?<=[^ ]) (?=[^\W_])")
@@ -45,25 +56,19 @@ class Both:
     """Both tokenizers with the bytes of each id."""
 
     def __init__(self, path_a: str, path_b: str):
-        import public_tokenizers
         import sentencepiece
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         told = json.loads(self.a.to_str())
-        back = {shown: bytes([byte]) for byte, shown in tokens.SHOWN.items()}
-        own = lambda entry: b"".join(back.get(ord(c), bytes([ord(c) & 255])) for c in entry)
-        self.bytes_a = [own(self.a.id_to_token(i) or "") for i in range(self.a.get_vocab_size())]
+        self.bytes_a = tokens.bytes_of_ids(self.a)
         self.bytes_b = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         plain = tokens.splits_at_spaces(told)
         self.cut_alike = plain and not any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
-        special = {t["id"] for t in told.get("added_tokens", ())}
-        ranks = {x: i for i, x in enumerate(self.bytes_a) if i not in special}
-        in_order = plain and tokens.merged_in_order(told)  # the ids tell which merge comes first
-        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary if in_order else None
+        self.fast = tokens.merges(told, dict(enumerate(self.bytes_a))) if plain and tokens.merged_in_order(told) else None
+        self.size_a, self.size_b = (np.array([*map(len, x)], np.int32) for x in (self.bytes_a, self.bytes_b))
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -72,28 +77,45 @@ class Both:
     def ids_a(self, piece: str) -> list[int]:
         return self.fast(" " + piece) if self.fast and len(piece) <= SHORT else self.a.encode(" " + piece, add_special_tokens=False).ids
 
-    def pieces(self, text: str | None) -> list[str]:
-        return [] if not text else BORDER.split(text) if self.cut_alike else [text]
-
-    def tokenised(self, pieces: list[str]) -> tuple[list[int], list[np.ndarray]]:
+    def pieces(self, texts) -> tuple[np.ndarray, object]:
+        """(the pieces that come before each text and all, the pieces): texts, an Arrow array, cut before each space between
+        another character and a letter or digit. Null and empty texts have none."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False)
+        if not self.cut_alike:
+            return np.r_[0, np.cumsum(some.to_numpy(zero_copy_only=False))], texts.filter(some)
+        words = pc.split_pattern(texts.filter(some), " ")
+        flat, first = words.flatten(), words.offsets.to_numpy()
+        first = first - first[0]
+        begins = pc.utf8_is_alnum(pc.utf8_slice_codeunits(flat, 0, 1)).to_numpy(zero_copy_only=False).copy()
+        begins[1:] &= pc.binary_length(flat).to_numpy()[:-1] > 0
+        begins[first[:-1]] = True
+        at = np.flatnonzero(begins)
+        made = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.r_[at, len(flat)].astype(np.int32)), flat), " ")
+        n = np.zeros(len(texts), np.int64)
+        n[some.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(at, first))
+        return np.r_[0, np.cumsum(n)], made
+
+    def tokenised(self, pieces: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """(the place of each piece among those that both tokenizers give back byte by byte, or -1; the arrays
-        ids_a, ends_a, upto_a, ids_b, ends_b, upto_b of these): ends count bytes and upto tokens on over the pieces."""
-        ids, lens, n = (array("i"), array("i")), (array("i"), array("i")), (array("i"), array("i"))
+        ids_a, n_a, ids_b, n_b of these, the tokens of each after one another)."""
+        ids, n = (array("i"), array("i")), (array("i"), array("i"))
         at, kept = [], 0
+        own_a, own_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
         for piece, b in zip(pieces, self.b.encode(pieces, num_threads=1), strict=True):
             a, whole = self.ids_a(piece), b" " + piece.encode()
-            got_a, got_b = [*map(self.bytes_a.__getitem__, a)], [*map(self.bytes_b.__getitem__, b)]
-            if b"".join(got_a) != whole or b"".join(got_b) != whole:
+            if b"".join(map(own_a, a)) != whole or b"".join(map(own_b, b)) != whole:
                 at.append(-1)
                 continue
             at.append(kept)
             kept += 1
-            for side, (x, got) in enumerate(((a, got_a), (b, got_b))):
+            for side, x in enumerate((a, b)):
                 ids[side].extend(x)
-                lens[side].extend(map(len, got))
                 n[side].append(len(x))
         told = lambda x: np.array(x, np.int32)
-        return at, [y for side in (0, 1) for y in (told(ids[side]), np.cumsum(told(lens[side]), dtype=np.int32), np.cumsum(told(n[side]), dtype=np.int32))]
+        return told(at), [told(x) for side in (0, 1) for x in (ids[side], n[side])]
 
 
 @lru_cache(maxsize=2)
@@ -101,39 +123,140 @@ def both(path_a: str, path_b: str) -> Both:
     return Both(path_a, path_b)
 
 
-def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str) -> DataFrame:
-    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens) and the tokens of
-    its distinct pieces (see ``Both.tokenised``)."""
+@contextmanager
+def rows_at_once(spark: SparkSession, most: int):
+    """While it lasts, tasks hand Python at most so many rows at once: an Arrow batch is held by both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(most, int(before)) if int(before) > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def parts_of(made: Both, batch):
+    """A batch (row, id, text) in parts of about ``BATCH`` bytes of text: (the part, ends of its documents' pieces from 0, pieces)."""
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BATCH)))
+        part = batch.slice(at, to - at)
+        yield part, *made.pieces(part.column(2))
+        at = to
+
+
+def met_often(docs: DataFrame, path_a: str, path_b: str) -> list[str]:
+    """At most ``OFTEN`` short pieces that most batches of all documents hold, by counts in which a task may miss those that it meets once."""
+
+    def counted(inputs):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        made, met = both(path_a, path_b), Counter()
+
+        def told():
+            some = [(x, n) for x, n in met.items() if n > 1]
+            met.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["piece", "n"])
+
+        for b in inputs:
+            for _, _, pieces in parts_of(made, b):
+                each = pieces.dictionary_encode().dictionary
+                met.update(each.filter(pc.less_equal(pc.binary_length(each), WORD)).to_pylist())
+                if len(met) > COUNTED:
+                    yield told()
+        yield told()
+
+    found = docs.mapInArrow(counted, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return [r["piece"] for r in found.orderBy(F.desc("n"), "piece").limit(OFTEN).select("piece").collect()]
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+TOKENS = "few array<struct<a: array<int>, ends_a: array<int>, b: array<int>, ends_b: array<int>>>, ids_a array<int>, ends_a array<int>, upto_a array<int>, ids_b array<int>, ends_b array<int>, upto_b array<int>"
+NAMES = ["few", "ids_a", "ends_a", "upto_a", "ids_b", "ends_b", "upto_b"]
+
+
+def told_tokens(made: Both, pieces: list[str]) -> tuple[np.ndarray, list]:
+    """(the number of each piece, or -1; one row of ``TOKENS``): short pieces come first, each with its own arrays; of
+    long ones ends count bytes and upto tokens on over all of them."""
+    import pyarrow as pa
+
+    at, (ids_a, n_a, ids_b, n_b) = made.tokenised(pieces)
+    few = n_a + n_b <= FEW
+    order = np.argsort(~few, kind="stable")
+    place = np.empty(len(order) + 1, np.int32)
+    place[order], place[-1] = np.arange(len(order)), -1
+    one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+    lists, rest = [], []
+    for ids, n, size in ((ids_a, n_a, made.size_a), (ids_b, n_b, made.size_b)):
+        upto = np.cumsum(np.r_[0, n], dtype=np.int64).astype(np.int32)
+        ends = np.cumsum(np.r_[0, size[ids]], dtype=np.int64)
+        own = (ends[1:] - np.repeat(ends[upto[:-1]], n)).astype(np.int32)
+        lists += [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in (ids, own)]
+        long = np.repeat(~few, n)
+        rest += [ids[long], np.cumsum(size[ids[long]], dtype=np.int32), np.cumsum(n[~few], dtype=np.int32)]
+    short = pa.StructArray.from_arrays(lists, names=["a", "ends_a", "b", "ends_b"]).filter(pa.array(few))
+    return place[at], [one(short), *(one(pa.array(x)) for x in rest)]
+
+
+def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, often: list[str] | None = None) -> DataFrame:
+    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens), the numbers in ``often`` of the
+    pieces it has of these, which are its first, and the tokens of its other distinct pieces (see ``told_tokens``)."""
+    known = docs.sparkSession.sparkContext.broadcast(often or [])
 
     def batches(inputs):
         import pyarrow as pa
 
         made = both(path_a, path_b)
+        number = {x: i for i, x in enumerate(known.value)}
+        for b in inputs:
+            for part, ends, pieces in parts_of(made, b):
+                coded = pieces.dictionary_encode()
+                each = coded.dictionary.to_pylist()
+                old = np.array([number.get(x, -1) for x in each], np.int32)
+                new = np.flatnonzero(old < 0)
+                at, arrays = told_tokens(made, [each[i] for i in new])
+                place = np.cumsum(old >= 0, dtype=np.int32) - 1
+                some = old[old >= 0]
+                place[new] = np.where(at < 0, -1, at + len(some))
+                own = place[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.int32)
+                bad = np.cumsum(np.r_[0, own < 0])
+                bad = bad[ends[1:]] > bad[ends[:-1]]  # documents with a piece that a tokenizer doesn't give back
+                n = np.diff(ends)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, np.where(bad, 0, n)]).astype(np.int32)), pa.array(own[~np.repeat(bad, n)]))
+                docs_ = pa.StructArray.from_arrays([*part.columns[:2], lists], names=["row", "id", "pieces"])
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays([one(docs_), one(pa.array(some)), *arrays], names=["docs", "often", *NAMES])
 
-        def told(b, done, n, pieces, number):
-            at, arrays = made.tokenised([*number])
-            at = np.array([*at, -1], np.int64)
-            own = [at[p] for p in pieces]
-            own = [p if len(p) and p.min() >= 0 else p[:0] for p in own]
-            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)], dtype=np.int32), pa.array(np.concatenate(own).astype(np.int32)))
-            each = pa.StructArray.from_arrays([*b.slice(done, n).columns[:2], lists], names=["row", "id", "pieces"])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            return pa.RecordBatch.from_arrays([one(each), *(one(pa.array(x)) for x in arrays)], names=["docs", "ids_a", "ends_a", "upto_a", "ids_b", "ends_b", "upto_b"])
+    kind = docs.schema[id_col].dataType.simpleString()
+    return texts_of(docs, id_col, text_col).mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>>>, often array<int>, {TOKENS}")
+
+
+def grouped_once(spark: SparkSession, often: list[str], path_a: str, path_b: str) -> tuple[list[str], DataFrame]:
+    """Those of ``often`` that both tokenizers give back, and one row: known, their parts in this order (see ``grouped``)."""
+
+    def tokens_of(inputs):
+        import pyarrow as pa
 
+        made = both(path_a, path_b)
         for b in inputs:
-            done, total, pieces, number = 0, 0, [], {}
-            for text in b.column(2):
-                pieces.append(np.array([number.setdefault(p, len(number)) for p in made.pieces(text.as_py())], np.int64))
-                total += len(pieces[-1])
-                if total >= BATCH:
-                    yield told(b, done, len(pieces), pieces, number)
-                    done, total, pieces, number = done + len(pieces), 0, [], {}
-            if pieces:
-                yield told(b, done, len(pieces), pieces, number)
+            at, arrays = told_tokens(made, b.column(1).to_pylist())
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            kept = pa.array(at >= 0)
+            yield pa.RecordBatch.from_arrays([one(b.column(0).filter(kept)), one(pa.array(at).filter(kept)), *arrays], names=["number", "at", *NAMES])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    some = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return some.mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>>>, ids_a array<int>, ends_a array<int>, upto_a array<int>, ids_b array<int>, ends_b array<int>, upto_b array<int>")
+    rows = spark.createDataFrame([*enumerate(often)], "number long, piece string")
+    made = parts_grouped(rows.repartition(16).mapInArrow(tokens_of, f"number array<bigint>, at array<int>, {TOKENS}"))
+    each = made.select(F.explode(F.transform(F.arrays_zip("number", "at"), lambda x: F.struct(x["number"].alias("number"), F.get(F.col("parts"), x["at"]).alias("part")))).alias("x")).select("x.*")
+    each = stored(each, "often")
+    kept = sorted(r["number"] for r in each.select("number").collect())
+    return [often[i] for i in kept], each.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "part"))), lambda x: x["part"]).alias("known"))
 
 
 def places(doubled: str) -> Column:
@@ -163,40 +286,92 @@ def code(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32) + b
 
 
-def grouped(made: DataFrame) -> DataFrame:
-    """One row per batch: docs and, of each distinct piece, n_a, n_b, n_groups, n_links, its groups as text, and its
-    links: (code, n) for each distinct pair of each of its groups, n its occurrences there."""
-    a, b, at_a, at_b, at_p = (F.col(c) for c in ("ids_a", "ids_b", "at_a", "at_b", "at_p"))
+def pair(x: Column, y: Column, n: Column) -> Column:
+    return F.struct(code(x, y).alias("code"), n.cast("long").alias("n"))
+
+
+def crossed(in_a: Column, in_b: Column) -> Column:
+    """The distinct pairs of a group's ids, each with its occurrences."""
+    times = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
+    cross = lambda xs, ys, n: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y, n(x, y)))))
+    once = lambda ids: F.size(F.array_distinct(ids)) == F.size(ids)
+    repeated = cross(F.array_distinct(in_a), F.array_distinct(in_b), lambda x, y: times(in_a, x) * times(in_b, y))
+    return F.when(once(in_a) & once(in_b), cross(in_a, in_b, lambda x, y: F.lit(1))).otherwise(repeated)
+
+
+def joined(ids: Column) -> Column:
+    return F.array_join(ids.cast("array<string>"), ",")
+
+
+def part(n_a: Column, n_b: Column, n_groups: Column, text: Column, links: Column) -> Column:
+    return F.struct(*(x.cast("int").alias(c) for x, c in ((n_a, "n_a"), (n_b, "n_b"), (n_groups, "n_groups"))), text.alias("text"), links.alias("links"))
+
+
+def of_few(p: Column) -> Column:
+    """The part of a short piece."""
+    a, b, ends_a, ends_b = (p[c] for c in ("a", "b", "ends_a", "ends_b"))
+    told = lambda n, text, links: part(F.size(a), F.size(b), n, text, links)
+    alike = told(F.size(a), F.array_join(F.zip_with(a, b, lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string"))), ";"), F.zip_with(a, b, lambda x, y: pair(x, y, F.lit(1))))
+    whole = told(F.lit(1), F.concat_ws("|", joined(a), joined(b)), crossed(a, b))
+
+    def groups(cuts: Column) -> Column:
+        within = lambda ids, ends, i: F.filter(ids, lambda x, k: (F.get(ends, k) <= F.get(cuts, i)) & ((i == 0) | (F.get(ends, k) > F.get(cuts, i - 1))))
+        return F.transform(cuts, lambda c, i: F.struct(within(a, ends_a, i).alias("a"), within(b, ends_b, i).alias("b")))
+
+    def of(each: Column) -> Column:
+        text = F.array_join(F.transform(each, lambda g: F.concat_ws("|", joined(g["a"]), joined(g["b"]))), ";")
+        links = F.flatten(F.transform(each, lambda g: F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), F.array(pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0)), F.lit(1)))).otherwise(crossed(g["a"], g["b"]))))
+        return told(F.size(each), text, links)
+
+    many = let(let(F.array_intersect(ends_a, ends_b), groups), of)
+    return F.when(ends_a == ends_b, alike).when((F.size(a) == 1) | (F.size(b) == 1), whole).otherwise(many)
+
+
+def with_cuts(made: DataFrame) -> DataFrame:
+    """``made`` with the places of the cuts among long pieces' tokens, at_a and at_b, and among pieces, at_p."""
     some = made.withColumns({"cuts": F.array_intersect("ends_a", "ends_b"), "ends_p": F.transform("upto_a", lambda x: F.get(F.col("ends_a"), x - 1))})
     some = some.withColumns({"z_a": F.sort_array(F.concat("ends_a", "cuts")), "z_b": F.sort_array(F.concat("ends_b", "cuts")), "z_p": F.sort_array(F.concat("cuts", "ends_p"))})
     zero = F.array(F.lit(0))
-    some = some.withColumns({f"at_{c}": places(f"z_{c}") for c in "abp"}).withColumns({"upto_a": F.concat(zero, "upto_a"), "upto_b": F.concat(zero, "upto_b")})
+    return some.withColumns({f"at_{c}": places(f"z_{c}") for c in "abp"}).withColumns({"upto_a": F.concat(zero, "upto_a"), "upto_b": F.concat(zero, "upto_b")})
 
+
+def of_long() -> Column:
+    """The parts of all long pieces of a row (see ``with_cuts``)."""
+    a, b, at_a, at_b, at_p = (F.col(c) for c in ("ids_a", "ids_b", "at_a", "at_b", "at_p"))
     single = lambda k: (F.get(at_a, k + 1) - F.get(at_a, k) == 1) & (F.get(at_b, k + 1) - F.get(at_b, k) == 1)
     first = lambda k: (F.get(a, F.get(at_a, k)), F.get(b, F.get(at_b, k)))
-    text = lambda k: F.concat_ws("|", *(F.array_join(between(ids, at, k).cast("array<string>"), ",") for ids, at in ((a, at_a), (b, at_b))))
+    text = lambda k: F.concat_ws("|", *(joined(between(ids, at, k)) for ids, at in ((a, at_a), (b, at_b))))
     texts = stretches("at_a", lambda k: F.when(single(k), F.concat_ws("|", *(x.cast("string") for x in first(k)))).otherwise(text(k)))
-    pair = lambda x, y, n: F.struct(code(x, y).alias("code"), n.cast("long").alias("n"))
-    times = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
-
-    def crossed(in_a: Column, in_b: Column) -> Column:
-        cross = lambda xs, ys, n: F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y, n(x, y)))))
-        once = lambda ids: F.size(F.array_distinct(ids)) == F.size(ids)
-        repeated = cross(F.array_distinct(in_a), F.array_distinct(in_b), lambda x, y: times(in_a, x) * times(in_b, y))
-        return F.when(once(in_a) & once(in_b), cross(in_a, in_b, lambda x, y: F.lit(1))).otherwise(repeated)
-
     links = stretches("at_a", lambda k: F.when(single(k), F.array(pair(*first(k), F.lit(1)))).otherwise(let(between(a, at_a, k), lambda x: let(between(b, at_b, k), lambda y: crossed(x, y)))))
     size = lambda c, k: F.get(F.col(c), k + 1) - F.get(F.col(c), k)
-    own = {"n_a": stretches("at_p", lambda k: size("upto_a", k)), "n_b": stretches("at_p", lambda k: size("upto_b", k)), "n_groups": stretches("at_p", lambda k: size("at_p", k)),
-           "text": let(texts, lambda t: stretches("at_p", lambda k: F.array_join(between(t, at_p, k), ";"))),
-           "links": let(links, lambda x: stretches("at_p", lambda k: F.flatten(between(x, at_p, k))))}
-    return some.select("docs", *(x.alias(c) for c, x in own.items()))
+    of = lambda t, x: lambda k: part(size("upto_a", k), size("upto_b", k), size("at_p", k), F.array_join(between(t, at_p, k), ";"), F.flatten(between(x, at_p, k)))
+    return let(texts, lambda t: let(links, lambda x: stretches("at_p", of(t, x))))
+
+
+PARTS = "array<struct<n_a: int, n_b: int, n_groups: int, text: string, links: array<struct<code: bigint, n: bigint>>>>"
+
+
+def parts_grouped(made: DataFrame) -> DataFrame:
+    """``made`` with parts instead of tokens: of each piece, by number, n_a, n_b, n_groups, its groups as text, and its
+    links: (code, n) for each pair of each of its groups, n its occurrences there."""
+    rest = [c for c in made.columns if c not in NAMES]
+    parts = F.concat(F.transform("few", of_few), F.coalesce(of_long(), F.array().cast(PARTS)))
+    return with_cuts(made).select(*rest, parts.alias("parts"))
+
+
+def grouped(made: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """One row per batch: docs and parts, its pieces' groups and links; those of pieces met often come from ``known``."""
+    some = parts_grouped(made)
+    if known is None:
+        return some.select("docs", "parts")
+    old = F.transform("often", lambda k: F.get(F.col("known"), k))
+    return some.join(F.broadcast(known)).select("docs", F.concat(old, "parts").alias("parts"))
 
 
 def counted(batches: DataFrame) -> DataFrame:
     """(code, n, best): the documents that hold each pair, and whether no pair of its first id has more."""
     of = lambda d, codes: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["pieces"]), lambda p: F.get(codes, p))))
-    codes = let(F.transform("links", lambda x: x["code"]), lambda c: F.transform("docs", lambda d: of(d, c)))
+    codes = let(F.transform("parts", lambda x: x["links"]["code"]), lambda c: F.transform("docs", lambda d: of(d, c)))
     each = batches.select(F.explode(codes).alias("codes")).select(F.explode("codes").alias("code"))
     pairs = stored(each.groupBy("code").agg(F.count("*").alias("n")), "pairs")
     most = pairs.groupBy(F.shiftright("code", 32).alias("a")).agg(F.max("n").alias("most"))
@@ -214,15 +389,17 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     zeros and ``told`` of ''. Every row is a document of its own, whatever its id: null and repeated ids and equal rows
     stay and each counts. Other columns are left out and may have any name. An empty table gives no rows.
     """
-    made = tokenised(docs, id_col, text_col, path_a or tokens.default_path(), path_b or piece_path())
-    batches = stored(grouped(made), "aligned")
+    paths = path_a or tokens.default_path(), path_b or piece_path()
+    with rows_at_once(docs.sparkSession, ROWS):
+        often, known = grouped_once(docs.sparkSession, met_often(texts_of(docs, id_col, text_col), *paths), *paths)
+        batches = stored(grouped(tokenised(docs, id_col, text_col, *paths, often), known), "aligned", PER_FILE)
     counts = stored(counted(batches), "counts")
     known = counts.agg(F.count("*").alias("pairs"), F.sum("n").alias("entries")).first()
     often, rest = counts, None
     if known["pairs"] > hot:
         often, rest = counts.where(F.col("n") > known["entries"] // hot), counts.where(F.col("n") <= known["entries"] // hot)
 
-    of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get(F.col("links"), p))).alias("links"))
+    of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get(F.col("parts"), p)["links"])).alias("links"))
     each = batches.select(F.explode(F.transform("docs", of_doc)).alias("d")).select("d.row", F.explode("d.links").alias("x")).select("row", "x.code", F.col("x.n").alias("times"))
     each = each.join(F.broadcast(often), "code", "inner" if rest is None else "left")
     add = lambda df: df.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"), F.sum("times").alias("l"))
@@ -231,8 +408,8 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
         rare = each.where(F.col("n").isNull()).select("row", "code", "times").join(rest, "code")
         sums = sums.unionByName(add(rare)).groupBy("row").agg(*(F.sum(c).alias(c) for c in "sbl"))
 
-    total = lambda d, c: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, p: n + F.get(F.col(c), p)).alias(c)
-    text = lambda d: F.array_join(F.transform(d["pieces"], lambda p: F.get(F.col("text"), p)), ";")
+    total = lambda d, c: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, p: n + F.get(F.col("parts"), p)[c]).alias(c)
+    text = lambda d: F.array_join(F.transform(d["pieces"], lambda p: F.get(F.col("parts"), p)["text"]), ";")
     whole = lambda d: F.struct(d["row"].alias("row"), d["id"].alias("id"), *(total(d, c) for c in ("n_a", "n_b", "n_groups")), told(text(d)).alias("groups"))
     out = batches.select(F.explode(F.transform("docs", whole)).alias("d")).select("d.*").join(sums, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")

@@ -35,10 +35,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows of ``df`` from a Parquet table in the shared folder: like ``cut``, for larger tables."""
+def stored(df: DataFrame, what: str, per_file: int = 0) -> DataFrame:
+    """The rows of ``df`` from a Parquet table in the shared folder: like ``cut``, for larger tables. ``per_file``: most rows
+    of a file, for rows of megabytes."""
     path = fresh_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
