@@ -50,3 +50,25 @@ def test_a_row_a_batch_against_brute_force(spark, monkeypatch):
     texts = TEXTS + TEXTS[::-1]
     wanted = brute((a, sentencepiece.SentencePieceProcessor(model_file=align.piece_path())), texts)
     assert [tuple(r)[1:] for r in align.align(table(spark, texts)).orderBy("doc_id").collect()] == wanted
+
+
+def test_pieces_met_often_are_not_stored_by_batches(spark, monkeypatch):
+    """Every batch stored the groups of all its pieces, and was read for them three times: that was most of the CPU."""
+    monkeypatch.setattr(align, "ROWS", 1)
+    found = {}
+    monkeypatch.setattr(align, "stored", lambda df, what, *more: found.setdefault(what, shared.stored(df, what, *more)))
+    rows = align.align(table(spark, ["alpha beta gamma"] * 5 + ["alpha delta"])).orderBy("doc_id").collect()
+    assert [r["n_links"] > 0 for r in rows] == [True] * 6 and rows[0]["count_sum"] == rows[4]["count_sum"]
+    held = [x for r in found["aligned"].collect() for c in r for x in c if isinstance(x, str)]
+    assert len(held) == 1  # delta
+
+
+def test_pieces_tokenised_together_have_their_own_tokens():
+    made = align.both(tokens.default_path(), align.piece_path())
+    pieces = ["alpha", "antionhare", "beta ", "gamma", " lead", "x" * 300, "1.\nAvec,", "a ▁b", "ends\n", "<|endoftext|>", "漢字", "tail  "] * 200
+    at, (ids_a, n_a, ids_b, n_b) = made.tokenised(pieces)
+    kept = [x for x in pieces if x != "a ▁b"]
+    assert [i < 0 for i in at] == [x == "a ▁b" for x in pieces] and at.max() == len(kept) - 1
+    one = {x: (made.a.encode(" " + x, add_special_tokens=False).ids, made.b.encode(x)) for x in set(kept)}
+    for side, ids, n in ((0, ids_a, n_a), (1, ids_b, n_b)):
+        assert ids.tolist() == [i for x in kept for i in one[x][side]] and n.tolist() == [len(one[x][side]) for x in kept]

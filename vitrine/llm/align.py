@@ -1,15 +1,14 @@
 """Two tokenizers aligned: where tokens of both end at one byte, a text is cut into groups, and tokens of a group are linked.
 
 Python only tokenises: it cuts texts into pieces where both tokenizers end a token in any text, and hands over, for
-batches of whole documents, every document as the numbers of its pieces and the tokens of every distinct piece
-once: ids and the bytes where they end. Pieces that many batches hold are counted over all documents beforehand,
-and at most ``OFTEN`` of them are tokenised and grouped once for the whole table; batches name these by number
-and take their groups from one broadcast row. How many there are only tells where a piece is grouped.
+batches of whole documents, every document as the numbers of its pieces and, once, the tokens of every distinct piece
+with the places where both end one. Pieces that many batches hold are counted over all documents beforehand, and at
+most ``OFTEN`` of them are tokenised and grouped once for the whole table: they have numbers of their own, and no
+batch stores them again. How many there are only tells where a piece is grouped.
 
-Everything after it is Spark's array functions: the ends that both have are ``array_intersect`` of the end arrays,
-and where all ends are equal, tokens pair off by ``zip_with``. Of long pieces, where these cuts stand among a side's tokens is
-read from the sorted array of its ends and the cuts, in which a cut is an entry that equals the one before it;
-groups are slices between cuts, pieces are slices of groups, documents are lists of pieces.
+Everything after it is Spark's array functions: groups are written out and crossed to links, documents are lists of
+pieces. What a document adds up over its pieces is read from arrays by their numbers; those of pieces met often are one
+broadcast row. Only the links of other pieces become rows.
 
 How many documents hold a pair is counted over all documents. A document gives each pair once, so nothing has
 to be made distinct by a shuffle, and tasks add up before it. The counts come back to the links by a broadcast of at
@@ -25,6 +24,7 @@ from array import array
 from collections import Counter
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,7 +39,8 @@ OFTEN, WORD = 150_000, 40  # pieces that are grouped once for all batches, and t
 COUNTED = 300_000  # pieces that a task counts before it hands over those it has met twice
 ROWS = 1000  # documents that go to Python at once
 PER_FILE = 4  # batches in a stored file: readers of columns hold all rows of one, up to thousands, at once
-FEW = 64  # tokens of a piece whose groups are filtered one by one
+FEW = 64  # tokens of a piece that has arrays of its own
+RUN = 1000  # pieces that are tokenised together
 SHORT = 200  # pieces up to this go to the fast merges, longer ones to those whose time doesn't grow with the square
 #: Neither tokenizer joins what stands before a space to a letter or digit after it, where no other space stands before.
 BORDER = re.compile(r"(?<=[^ ]) (?=[^\W_])")
@@ -98,24 +99,54 @@ class Both:
         n[some.to_numpy(zero_copy_only=False)] = np.diff(np.searchsorted(at, first))
         return np.r_[0, np.cumsum(n)], made
 
+    def tokens_a(self, pieces: list[str], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, how many each has). Pieces that go on where a text may be cut are tokenised together; they part where
+        their bytes end (``size``), and where a token doesn't end there, each goes alone."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        alone = np.ones(len(pieces), bool)
+        if self.fast and self.cut_alike and pieces:
+            told = pa.array(pieces, pa.string())
+            begins = pc.utf8_is_alnum(pc.utf8_slice_codeunits(told, 0, 1))
+            some = pc.and_(pc.and_not(begins, pc.ends_with(told, " ")), pc.less_equal(pc.utf8_length(told), SHORT))
+            alone = ~some.to_numpy(zero_copy_only=False)
+        first = np.r_[True, alone[1:] | alone[:-1]][: len(pieces)]
+        first[::RUN] = True
+        at = np.flatnonzero(first)
+        ids, n = array("i"), array("i")
+        for s, e in zip(at.tolist(), [*at[1:].tolist(), len(pieces)], strict=False):
+            if e - s > 1:
+                some = self.fast(" " + " ".join(pieces[s:e]))
+                ends, wanted = np.cumsum(self.size_a[some]), np.cumsum(size[s:e])
+                place = np.searchsorted(ends, wanted)
+                if place[-1] < len(ends) and (ends[place] == wanted).all():
+                    ids.extend(some)
+                    n.extend(np.diff(place, prepend=-1).tolist())
+                    continue
+            for piece in pieces[s:e]:
+                some = self.ids_a(piece)
+                ids.extend(some)
+                n.append(len(some))
+        return np.array(ids, np.int32), np.array(n, np.int32)
+
     def tokenised(self, pieces: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """(the place of each piece among those that both tokenizers give back byte by byte, or -1; the arrays
         ids_a, n_a, ids_b, n_b of these, the tokens of each after one another)."""
-        ids, n = (array("i"), array("i")), (array("i"), array("i"))
-        at, kept = [], 0
-        own_a, own_b = self.bytes_a.__getitem__, self.bytes_b.__getitem__
-        for piece, b in zip(pieces, self.b.encode(pieces, num_threads=1), strict=True):
-            a, whole = self.ids_a(piece), b" " + piece.encode()
-            if b"".join(map(own_a, a)) != whole or b"".join(map(own_b, b)) != whole:
-                at.append(-1)
-                continue
-            at.append(kept)
-            kept += 1
-            for side, x in enumerate((a, b)):
-                ids[side].extend(x)
-                n[side].append(len(x))
-        told = lambda x: np.array(x, np.int32)
-        return told(at), [told(x) for side in (0, 1) for x in (ids[side], n[side])]
+        whole = "".join([" " + x for x in pieces]).encode()
+        size = np.fromiter((1 + (len(x) if x.isascii() else len(x.encode())) for x in pieces), np.int64, len(pieces))
+        upto = np.cumsum(np.r_[0, size])
+        b = self.b.encode(pieces, num_threads=1) if pieces else []
+        n_b = np.fromiter(map(len, b), np.int32, len(pieces))
+        sides = [self.tokens_a(pieces, size), (np.fromiter(chain.from_iterable(b), np.int32, int(n_b.sum())), n_b)]
+        good = np.ones(len(pieces), bool)
+        for (ids, n), own, sizes in zip(sides, (self.bytes_a, self.bytes_b), (self.size_a, self.size_b), strict=True):
+            back = b"".join(map(own.__getitem__, ids.tolist()))
+            ends = np.cumsum(np.r_[0, sizes[ids]], dtype=np.int64)[np.cumsum(np.r_[0, n])]
+            if back != whole or not np.array_equal(ends, upto):
+                good &= np.fromiter((back[ends[i] : ends[i + 1]] == whole[upto[i] : upto[i + 1]] for i in range(len(pieces))), bool, len(pieces))
+        kept = [x for ids, n in sides for x in (ids[np.repeat(good, n)], n[good])]
+        return np.where(good, np.cumsum(good, dtype=np.int32) - 1, -1).astype(np.int32), kept
 
 
 @lru_cache(maxsize=2)
@@ -178,13 +209,20 @@ def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-TOKENS = "few array<struct<a: array<int>, ends_a: array<int>, b: array<int>, ends_b: array<int>>>, ids_a array<int>, ends_a array<int>, upto_a array<int>, ids_b array<int>, ends_b array<int>, upto_b array<int>"
-NAMES = ["few", "ids_a", "ends_a", "upto_a", "ids_b", "ends_b", "upto_b"]
+TOKENS = "few array<struct<n_a: int, n_b: int, groups: array<struct<a: array<int>, b: array<int>>>>>, ids_a array<int>, upto_a array<int>, at_a array<int>, ids_b array<int>, upto_b array<int>, at_b array<int>, at_p array<int>"
+NAMES = ["few", "ids_a", "upto_a", "at_a", "ids_b", "upto_b", "at_b", "at_p"]
+
+
+def places(ends_a: np.ndarray, ends_b: np.ndarray, ends_p: np.ndarray) -> list[np.ndarray]:
+    """How many tokens of each side, and how many cuts up to the end of each piece, come up to each byte where both sides end one,
+    with a 0 in front."""
+    cuts = np.intersect1d(ends_a, ends_b)
+    return [np.r_[0, np.searchsorted(x, y, "right")].astype(np.int32) for x, y in ((ends_a, cuts), (ends_b, cuts), (cuts, ends_p))]
 
 
 def told_tokens(made: Both, pieces: list[str]) -> tuple[np.ndarray, list]:
-    """(the number of each piece, or -1; one row of ``TOKENS``): short pieces come first, each with its own arrays; of
-    long ones ends count bytes and upto tokens on over all of them."""
+    """(the number of each piece, or -1; one row of ``TOKENS``): short pieces come first, each with arrays of its own, the tokens of
+    each group; of long ones upto counts tokens on over all of them, and ``places`` tell where groups end."""
     import pyarrow as pa
 
     at, (ids_a, n_a, ids_b, n_b) = made.tokenised(pieces)
@@ -192,22 +230,24 @@ def told_tokens(made: Both, pieces: list[str]) -> tuple[np.ndarray, list]:
     order = np.argsort(~few, kind="stable")
     place = np.empty(len(order) + 1, np.int32)
     place[order], place[-1] = np.arange(len(order)), -1
+
+    def of(some):
+        ids, n = [x[np.repeat(some, k)] for x, k in ((ids_a, n_a), (ids_b, n_b))], [n_a[some], n_b[some]]
+        ends = [np.cumsum(size[x], dtype=np.int64) for x, size in zip(ids, (made.size_a, made.size_b), strict=True)]
+        upto = [np.cumsum(x, dtype=np.int32) for x in n]
+        return ids, n, upto, places(*ends, ends[0][upto[0] - 1])
+
     one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-    lists, rest = [], []
-    for ids, n, size in ((ids_a, n_a, made.size_a), (ids_b, n_b, made.size_b)):
-        upto = np.cumsum(np.r_[0, n], dtype=np.int64).astype(np.int32)
-        ends = np.cumsum(np.r_[0, size[ids]], dtype=np.int64)
-        own = (ends[1:] - np.repeat(ends[upto[:-1]], n)).astype(np.int32)
-        lists += [pa.ListArray.from_arrays(pa.array(upto), pa.array(x)) for x in (ids, own)]
-        long = np.repeat(~few, n)
-        rest += [ids[long], np.cumsum(size[ids[long]], dtype=np.int32), np.cumsum(n[~few], dtype=np.int32)]
-    short = pa.StructArray.from_arrays(lists, names=["a", "ends_a", "b", "ends_b"]).filter(pa.array(few))
-    return place[at], [one(short), *(one(pa.array(x)) for x in rest)]
+    ids, n, _, (at_a, at_b, at_p) = of(few)
+    groups = pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(k), pa.array(x)) for k, x in ((at_a, ids[0]), (at_b, ids[1]))], names=["a", "b"])
+    short = pa.StructArray.from_arrays([pa.array(n[0]), pa.array(n[1]), pa.ListArray.from_arrays(pa.array(at_p), groups)], names=["n_a", "n_b", "groups"])
+    ids, _, upto, (at_a, at_b, at_p) = of(~few)
+    return place[at], [one(short), *(one(pa.array(x)) for x in (ids[0], upto[0], at_a, ids[1], upto[1], at_b, at_p))]
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, often: list[str] | None = None) -> DataFrame:
-    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens), the numbers in ``often`` of the
-    pieces it has of these, which are its first, and the tokens of its other distinct pieces (see ``told_tokens``)."""
+    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens) and the tokens of its distinct pieces
+    that aren't in ``often`` (see ``told_tokens``). The numbers of pieces in ``often`` are their places there, those of others go on."""
     known = docs.sparkSession.sparkContext.broadcast(often or [])
 
     def batches(inputs):
@@ -222,9 +262,8 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b:
                 old = np.array([number.get(x, -1) for x in each], np.int32)
                 new = np.flatnonzero(old < 0)
                 at, arrays = told_tokens(made, [each[i] for i in new])
-                place = np.cumsum(old >= 0, dtype=np.int32) - 1
-                some = old[old >= 0]
-                place[new] = np.where(at < 0, -1, at + len(some))
+                place = old
+                place[new] = np.where(at < 0, -1, at + len(number))
                 own = place[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.int32)
                 bad = np.cumsum(np.r_[0, own < 0])
                 bad = bad[ends[1:]] > bad[ends[:-1]]  # documents with a piece that a tokenizer doesn't give back
@@ -232,10 +271,10 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, np.where(bad, 0, n)]).astype(np.int32)), pa.array(own[~np.repeat(bad, n)]))
                 docs_ = pa.StructArray.from_arrays([*part.columns[:2], lists], names=["row", "id", "pieces"])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                yield pa.RecordBatch.from_arrays([one(docs_), one(pa.array(some)), *arrays], names=["docs", "often", *NAMES])
+                yield pa.RecordBatch.from_arrays([one(docs_), *arrays], names=["docs", *NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>>>, often array<int>, {TOKENS}")
+    return texts_of(docs, id_col, text_col).mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>>>, {TOKENS}")
 
 
 def grouped_once(spark: SparkSession, often: list[str], path_a: str, path_b: str) -> tuple[list[str], DataFrame]:
@@ -259,14 +298,6 @@ def grouped_once(spark: SparkSession, often: list[str], path_a: str, path_b: str
     return [often[i] for i in kept], each.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "part"))), lambda x: x["part"]).alias("known"))
 
 
-def places(doubled: str) -> Column:
-    """How many entries of an ascending array come up to each of some of them, which the sorted array ``doubled``
-    holds a second time; with a 0 in front."""
-    z = F.col(doubled)
-    second = F.when(F.size(z) > 0, F.filter(F.sequence(F.lit(0), F.size(z) - 1), lambda i: (i > 0) & (F.get(z, i) == F.get(z, i - 1))))
-    return F.concat(F.array(F.lit(0)), F.coalesce(F.transform(second, lambda i, k: i - k), F.array().cast("array<int>")))
-
-
 def between(values: Column, at: Column, k: Column) -> Column:
     """The values of the ``k``-th stretch."""
     return F.slice(values, F.get(at, k) + 1, F.get(at, k + 1) - F.get(at, k))
@@ -309,34 +340,15 @@ def part(n_a: Column, n_b: Column, n_groups: Column, text: Column, links: Column
 
 def of_few(p: Column) -> Column:
     """The part of a short piece."""
-    a, b, ends_a, ends_b = (p[c] for c in ("a", "b", "ends_a", "ends_b"))
-    told = lambda n, text, links: part(F.size(a), F.size(b), n, text, links)
-    alike = told(F.size(a), F.array_join(F.zip_with(a, b, lambda x, y: F.concat_ws("|", x.cast("string"), y.cast("string"))), ";"), F.zip_with(a, b, lambda x, y: pair(x, y, F.lit(1))))
-    whole = told(F.lit(1), F.concat_ws("|", joined(a), joined(b)), crossed(a, b))
-
-    def groups(cuts: Column) -> Column:
-        within = lambda ids, ends, i: F.filter(ids, lambda x, k: (F.get(ends, k) <= F.get(cuts, i)) & ((i == 0) | (F.get(ends, k) > F.get(cuts, i - 1))))
-        return F.transform(cuts, lambda c, i: F.struct(within(a, ends_a, i).alias("a"), within(b, ends_b, i).alias("b")))
-
-    def of(each: Column) -> Column:
-        text = F.array_join(F.transform(each, lambda g: F.concat_ws("|", joined(g["a"]), joined(g["b"]))), ";")
-        links = F.flatten(F.transform(each, lambda g: F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), F.array(pair(F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0)), F.lit(1)))).otherwise(crossed(g["a"], g["b"]))))
-        return told(F.size(each), text, links)
-
-    many = let(let(F.array_intersect(ends_a, ends_b), groups), of)
-    return F.when(ends_a == ends_b, alike).when((F.size(a) == 1) | (F.size(b) == 1), whole).otherwise(many)
-
-
-def with_cuts(made: DataFrame) -> DataFrame:
-    """``made`` with the places of the cuts among long pieces' tokens, at_a and at_b, and among pieces, at_p."""
-    some = made.withColumns({"cuts": F.array_intersect("ends_a", "ends_b"), "ends_p": F.transform("upto_a", lambda x: F.get(F.col("ends_a"), x - 1))})
-    some = some.withColumns({"z_a": F.sort_array(F.concat("ends_a", "cuts")), "z_b": F.sort_array(F.concat("ends_b", "cuts")), "z_p": F.sort_array(F.concat("cuts", "ends_p"))})
-    zero = F.array(F.lit(0))
-    return some.withColumns({f"at_{c}": places(f"z_{c}") for c in "abp"}).withColumns({"upto_a": F.concat(zero, "upto_a"), "upto_b": F.concat(zero, "upto_b")})
+    first = lambda g: (F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0)))
+    single = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
+    text = lambda g: F.when(single(g), F.concat_ws("|", *(x.cast("string") for x in first(g)))).otherwise(F.concat_ws("|", joined(g["a"]), joined(g["b"])))
+    links = lambda g: F.when(single(g), F.array(pair(*first(g), F.lit(1)))).otherwise(crossed(g["a"], g["b"]))
+    return part(p["n_a"], p["n_b"], F.size(p["groups"]), F.array_join(F.transform(p["groups"], text), ";"), F.flatten(F.transform(p["groups"], links)))
 
 
 def of_long() -> Column:
-    """The parts of all long pieces of a row (see ``with_cuts``)."""
+    """The parts of all long pieces of a row."""
     a, b, at_a, at_b, at_p = (F.col(c) for c in ("ids_a", "ids_b", "at_a", "at_b", "at_p"))
     single = lambda k: (F.get(at_a, k + 1) - F.get(at_a, k) == 1) & (F.get(at_b, k + 1) - F.get(at_b, k) == 1)
     first = lambda k: (F.get(a, F.get(at_a, k)), F.get(b, F.get(at_b, k)))
@@ -348,6 +360,7 @@ def of_long() -> Column:
     return let(texts, lambda t: let(links, lambda x: stretches("at_p", of(t, x))))
 
 
+FIELDS = ["n_a", "n_b", "n_groups", "text", "links"]
 PARTS = "array<struct<n_a: int, n_b: int, n_groups: int, text: string, links: array<struct<code: bigint, n: bigint>>>>"
 
 
@@ -356,28 +369,44 @@ def parts_grouped(made: DataFrame) -> DataFrame:
     links: (code, n) for each pair of each of its groups, n its occurrences there."""
     rest = [c for c in made.columns if c not in NAMES]
     parts = F.concat(F.transform("few", of_few), F.coalesce(of_long(), F.array().cast(PARTS)))
-    return with_cuts(made).select(*rest, parts.alias("parts"))
+    return made.withColumns({c: F.concat(F.array(F.lit(0)), c) for c in ("upto_a", "upto_b")}).select(*rest, parts.alias("parts"))
+
+
+def grouped(made: DataFrame) -> DataFrame:
+    """One row per batch: docs, and a column of each field of its pieces' parts."""
+    return parts_grouped(made).select("docs", *(F.col("parts")[c].alias(c) for c in FIELDS))
 
 
-def grouped(made: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """One row per batch: docs and parts, its pieces' groups and links; those of pieces met often come from ``known``."""
-    some = parts_grouped(made)
-    if known is None:
-        return some.select("docs", "parts")
-    old = F.transform("often", lambda k: F.get(F.col("known"), k))
-    return some.join(F.broadcast(known)).select("docs", F.concat(old, "parts").alias("parts"))
+def of_either(often: Column, own: Column | None, p: Column, many: int) -> Column:
+    """The entry of the piece of number ``p``, in ``often`` for the first ``many``, in ``own`` for the others."""
+    return F.when(p < many, F.get(often, p)).otherwise(F.get(own, p - many))
 
 
-def counted(batches: DataFrame) -> DataFrame:
-    """(code, n, best): the documents that hold each pair, and whether no pair of its first id has more."""
-    of = lambda d, codes: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["pieces"]), lambda p: F.get(codes, p))))
-    codes = let(F.transform("parts", lambda x: x["links"]["code"]), lambda c: F.transform("docs", lambda d: of(d, c)))
-    each = batches.select(F.explode(codes).alias("codes")).select(F.explode("codes").alias("code"))
+def counted(batches: DataFrame, known: DataFrame, many: int) -> DataFrame:
+    """(code, n, best): the documents that hold each pair, and whether no pair of its first id has more. ``known``: one row,
+    the parts of the ``many`` pieces that are numbered first."""
+    codes = lambda links: F.transform(links, lambda x: x["code"])
+    known = known.select(F.transform("known", lambda x: x["links"]["code"]).alias("often"))
+    of = lambda d, own: F.array_distinct(F.flatten(F.transform(F.array_distinct(d["pieces"]), lambda p: of_either(F.col("often"), own, p, many))))
+    each = let(F.transform("links", codes), lambda own: F.transform("docs", lambda d: of(d, own)))
+    each = batches.select("docs", "links").join(F.broadcast(known)).select(F.explode(each).alias("codes")).select(F.explode("codes").alias("code"))
     pairs = stored(each.groupBy("code").agg(F.count("*").alias("n")), "pairs")
     most = pairs.groupBy(F.shiftright("code", 32).alias("a")).agg(F.max("n").alias("most"))
     return pairs.join(most, F.shiftright("code", 32) == F.col("a")).select("code", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
+def summed(links: DataFrame, by: str, often: DataFrame, rest: DataFrame | None) -> DataFrame:
+    """(by, s, b, l) for links (by, code, times): the sum of their counts, how many have the highest of their first id, and how many
+    there are. ``often``: counts to broadcast, ``rest``: the others. Pairs of documents without tokens have no count."""
+    add = lambda df: df.groupBy(by).agg(F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"), F.sum("times").alias("l"))
+    each = links.join(F.broadcast(often), "code", "inner" if rest is None else "left")
+    sums = add(each.where(F.col("n").isNotNull()))
+    if rest is None:
+        return sums
+    rare = each.where(F.col("n").isNull()).select(by, "code", "times").join(rest, "code")
+    return sums.unionByName(add(rare)).groupBy(by).agg(*(F.sum(c).alias(c) for c in "sbl"))
+
+
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, told=lambda text: text) -> DataFrame:
     """Per document: its id, n_a, n_b, n_groups, n_links, n_best, count_sum, and ``groups``.
 
@@ -392,25 +421,30 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
     paths = path_a or tokens.default_path(), path_b or piece_path()
     with rows_at_once(docs.sparkSession, ROWS):
         often, known = grouped_once(docs.sparkSession, met_often(texts_of(docs, id_col, text_col), *paths), *paths)
-        batches = stored(grouped(tokenised(docs, id_col, text_col, *paths, often), known), "aligned", PER_FILE)
-    counts = stored(counted(batches), "counts")
-    known = counts.agg(F.count("*").alias("pairs"), F.sum("n").alias("entries")).first()
+        batches = stored(grouped(tokenised(docs, id_col, text_col, *paths, often)), "aligned", PER_FILE)
+    many = len(often)
+    counts = stored(counted(batches, known, many), "counts")
+    total = counts.agg(F.count("*").alias("pairs"), F.sum("n").alias("entries")).first()
     often, rest = counts, None
-    if known["pairs"] > hot:
-        often, rest = counts.where(F.col("n") > known["entries"] // hot), counts.where(F.col("n") <= known["entries"] // hot)
-
-    of_doc = lambda d: F.struct(d["row"].alias("row"), F.flatten(F.transform(d["pieces"], lambda p: F.get(F.col("parts"), p)["links"])).alias("links"))
-    each = batches.select(F.explode(F.transform("docs", of_doc)).alias("d")).select("d.row", F.explode("d.links").alias("x")).select("row", "x.code", F.col("x.n").alias("times"))
-    each = each.join(F.broadcast(often), "code", "inner" if rest is None else "left")
-    add = lambda df: df.groupBy("row").agg(F.sum(F.col("times") * F.col("n")).alias("s"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("b"), F.sum("times").alias("l"))
-    sums = add(each.where(F.col("n").isNotNull()))
-    if rest is not None:
-        rare = each.where(F.col("n").isNull()).select("row", "code", "times").join(rest, "code")
-        sums = sums.unionByName(add(rare)).groupBy("row").agg(*(F.sum(c).alias(c) for c in "sbl"))
-
-    total = lambda d, c: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, p: n + F.get(F.col("parts"), p)[c]).alias(c)
-    text = lambda d: F.array_join(F.transform(d["pieces"], lambda p: F.get(F.col("parts"), p)["text"]), ";")
-    whole = lambda d: F.struct(d["row"].alias("row"), d["id"].alias("id"), *(total(d, c) for c in ("n_a", "n_b", "n_groups")), told(text(d)).alias("groups"))
-    out = batches.select(F.explode(F.transform("docs", whole)).alias("d")).select("d.*").join(sums, "row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", zero("l").alias("n_links"), zero("b").alias("n_best"), zero("s").alias("count_sum"), "groups")
+    if total["pairs"] > hot:
+        often, rest = counts.where(F.col("n") > total["entries"] // hot), counts.where(F.col("n") <= total["entries"] // hot)
+
+    parts = stored(known.select(F.posexplode("known").alias("number", "part")), "known")
+    links = parts.select("number", F.explode("part.links").alias("x")).select("number", "x.code", F.col("x.n").alias("times"))
+    parts = parts.join(summed(links, "number", often, rest), "number", "left").select("number", *(F.col("part")[c].alias(c) for c in FIELDS[:-1]), *(F.coalesce(c, F.lit(0)).alias(c) for c in "sbl"))
+    own = [*FIELDS[:-1], *"sbl"]
+    in_order = parts.agg(F.array_sort(F.collect_list(F.struct("number", *own))).alias("known"))
+    in_order = in_order.select(*(F.col("known")[c].alias(f"often_{c}") for c in own))
+
+    others = lambda d: F.flatten(F.transform(F.filter(d["pieces"], lambda p: p >= many), lambda p: F.get(F.col("links"), p - many)))
+    each = batches.select(F.explode(F.transform("docs", lambda d: F.struct(d["row"].alias("row"), others(d).alias("links")))).alias("d")).select("d.row", F.explode("d.links").alias("x"))
+    sums = summed(each.select("row", "x.code", F.col("x.n").alias("times")), "row", often, rest)
+
+    add = lambda d, f: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, p: n + f(p))
+    of = lambda c: lambda p: of_either(F.col(f"often_{c}"), F.col(c), p, many)
+    first = lambda c: lambda p: F.when(p < many, F.get(F.col(f"often_{c}"), p)).otherwise(0)
+    text = lambda d: F.array_join(F.transform(d["pieces"], of("text")), ";")
+    whole = lambda d: F.struct(d["row"].alias("row"), d["id"].alias("id"), *(add(d, of(c)).alias(c) for c in FIELDS[:3]), *(add(d, first(c)).alias(f"_{c}") for c in "sbl"), told(text(d)).alias("groups"))
+    out = batches.select("docs", *FIELDS[:-1]).join(F.broadcast(in_order)).select(F.explode(F.transform("docs", whole)).alias("d")).select("d.*").join(sums, "row", "left")
+    both_of = lambda c: F.col(f"_{c}") + F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", both_of("l").alias("n_links"), both_of("b").alias("n_best"), both_of("s").alias("count_sum"), "groups")
