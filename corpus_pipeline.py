@@ -15,7 +15,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the document with the smallest id stays."""
+    """Of near copies the document with the smallest id stays; operator 3's index of fingerprints and one of rare shingles find them."""
     return simhash.keep_one(docs, k=5, similarity=0.8)
 
 

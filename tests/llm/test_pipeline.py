@@ -110,3 +110,21 @@ def test_stages_take_odd_rows(spark, folder):
         docs = odd_documents(spark, clash=False)
         assert stage(spark, docs, folder[0]).count() >= 0, name
         assert stage(spark, docs.limit(0), folder[0]).count() == 0, name
+
+
+def test_near_copies_are_met_by_fingerprints(spark, monkeypatch):
+    """The stage found candidates by shingles only, without the index of operator 3."""
+    from vitrine.llm import simhash
+
+    rng = random.Random(8)
+    words = english(rng, 400).split()
+    texts = [" ".join(words), " ".join(words[:-1]), " ".join([*words, "through"]), english(rng, 400), None, " "]
+    real = simhash.candidates
+
+    def without_shingles(*args):
+        pairs, long = real(*args)
+        return pairs.limit(0), long.limit(0)
+
+    monkeypatch.setattr(simhash, "candidates", without_shingles)
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert ids(corpus_pipeline.one_of_each_group(spark, docs, "")) == {0, 3, 4}  # null and blank are alike

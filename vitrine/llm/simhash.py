@@ -9,8 +9,9 @@ least if, and only if, their tally reaches the guaranteed count. The index itsel
 filed under six bytes, and its tally is checked in the list). What meets is verified by its bits. Lists give
 spanning links, not all pairs, and long lists are dealt out as pairs of blocks.
 
-For a similarity of shingle sets rather than a distance of fingerprints (``similar``) no guarantee over bytes
-reaches far enough, so that index is of shingles: in one order of all shingles, rarest first, each set goes under
+For a similarity of shingle sets rather than a distance of fingerprints (``similar``) the fingerprints' index gives
+candidates, whose shingle sets decide. Its guarantee over bytes doesn't reach all similar sets, so an index of shingles
+gives the others: in one order of all shingles, rarest first, each set goes under
 its first ones only, as many as a set may lack and still be similar, and one more. Two similar sets share one of
 them, so every similar pair is a candidate, and shingle sets decide. How rare a shingle is comes from hashed
 counts over all sets; they only set the order, which costs time where it is poor, never a pair. Long lists give
@@ -456,6 +457,17 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame, k: int, sim
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
 
+def fingerprint_pairs(classes: DataFrame, d: int = 4) -> DataFrame:
+    """Candidate pairs (a, b) of sets by their fingerprints (``classes``: node, fp): each with the first of its fingerprint,
+    and firsts whose fingerprints ``links`` connects at ``d`` bits."""
+    leads = cut(classes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
+    total = leads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    same = attached(classes.select("node", "fp"), leads, "fp", "lead", total, "node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+    x, y = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"of_{c}")) for c in "ab")
+    near = links(leads.select("fp"), d).distinct().join(x, "a").join(y, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id): groups that links between texts of at least ``similarity`` connect (Jaccard over
     sets of ``k``-word shingles), each named after its smallest id. Nulls, blanks, repeats and empty tables as
@@ -463,18 +475,20 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def each(batches):
-        for part, _, names in set_batches(batches, k):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names)], names=["id", "node"])
+        for part, made, names in set_batches(batches, k):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names), pa.array([*map(set_fingerprint, made)], pa.int64())], names=["id", "node", "fp"])
 
-    own = cut(rows.mapInArrow(each, "id long, node long"))
-    classes = cut(own.where("id is not null").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    own = cut(rows.mapInArrow(each, "id long, node long, fp long"))
+    classes = cut(own.where("id is not null").groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.min("fp").alias("fp")))
+    own = own.select("id", "node")
     texts = rows.where("id is not null")
     pairs, long = candidates(texts, levels(texts, k), k, similarity)
-    links = cut(verified(pairs, texts, classes, k, similarity))
-    found = components(links)
+    pairs = cut(pairs.unionByName(fingerprint_pairs(classes)).distinct())
+    alike = cut(verified(pairs, texts, classes, k, similarity))
+    found = components(alike)
     more = cut(pairs_across(long, found, similarity))
     if not more.isEmpty():
-        found = components(links.unionByName(verified(more, texts, classes, k, similarity)))
+        found = components(alike.unionByName(verified(more, texts, classes, k, similarity)))
     named = component_ids(own, classes, found, "node")
     return named.select(F.col("id").alias("doc_id"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
 
