@@ -72,3 +72,11 @@ def test_pieces_tokenised_together_have_their_own_tokens():
     one = {x: (made.a.encode(" " + x, add_special_tokens=False).ids, made.b.encode(x)) for x in set(kept)}
     for side, ids, n in ((0, ids_a, n_a), (1, ids_b, n_b)):
         assert ids.tolist() == [i for x in kept for i in one[x][side]] and n.tolist() == [len(one[x][side]) for x in kept]
+
+
+def test_documents_name_their_own_pieces(spark):
+    """All pieces of a document were filtered for them, and went through six lambdas each for the numbers added up."""
+    docs, paths = table(spark, ["alpha beta", "alpha delta alpha", "beta delta", None]), (tokens.default_path(), align.piece_path())
+    rows = align.tokenised(docs, "doc_id", "text", *paths, ["alpha", "beta"]).collect()
+    assert [(d["pieces"], d["own"]) for r in rows for d in r["docs"]] == [([0, 1], []), ([0, 2, 0], [0]), ([1, 2], [0]), ([], [])]
+    assert "BroadcastHashJoin [number" in align.align(docs)._jdf.queryExecution().executedPlan().toString()

@@ -7,8 +7,8 @@ most ``OFTEN`` of them are tokenised and grouped once for the whole table: they
 batch stores them again. How many there are only tells where a piece is grouped.
 
 Everything after it is Spark's array functions: groups are written out and crossed to links, documents are lists of
-pieces. What a document adds up over its pieces is read from arrays by their numbers; those of pieces met often are one
-broadcast row. Only the links of other pieces become rows.
+pieces. Their texts are read from arrays by number; those of pieces met often are one broadcast row. What a document adds up
+over pieces met often comes by a join with a broadcast table of their numbers; the links of other pieces become rows.
 
 How many documents hold a pair is counted over all documents. A document gives each pair once, so nothing has
 to be made distinct by a shuffle, and tasks add up before it. The counts come back to the links by a broadcast of at
@@ -21,7 +21,6 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from collections import Counter
 from contextlib import contextmanager
 from functools import lru_cache
 from itertools import chain
@@ -36,7 +35,7 @@ from vitrine.llm.shared import stored
 HOT = 500_000  # pairs that may be broadcast: two longs and a flag each
 BATCH = 1 << 19  # bytes of text after which a task hands over what it has
 OFTEN, WORD = 150_000, 40  # pieces that are grouped once for all batches, and the longest of them
-COUNTED = 300_000  # pieces that a task counts before it hands over those it has met twice
+COUNTED = 2_000_000  # pieces of batches that a task holds before it hands over those it has met twice
 ROWS = 1000  # documents that go to Python at once
 PER_FILE = 4  # batches in a stored file: readers of columns hold all rows of one, up to thousands, at once
 FEW = 64  # tokens of a piece that has arrays of its own
@@ -133,8 +132,11 @@ class Both:
     def tokenised(self, pieces: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         """(the place of each piece among those that both tokenizers give back byte by byte, or -1; the arrays
         ids_a, n_a, ids_b, n_b of these, the tokens of each after one another)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         whole = "".join([" " + x for x in pieces]).encode()
-        size = np.fromiter((1 + (len(x) if x.isascii() else len(x.encode())) for x in pieces), np.int64, len(pieces))
+        size = 1 + pc.binary_length(pa.array(pieces, pa.string())).to_numpy().astype(np.int64)
         upto = np.cumsum(np.r_[0, size])
         b = self.b.encode(pieces, num_threads=1) if pieces else []
         n_b = np.fromiter(map(len, b), np.int32, len(pieces))
@@ -186,18 +188,19 @@ def met_often(docs: DataFrame, path_a: str, path_b: str) -> list[str]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        made, met = both(path_a, path_b), Counter()
+        made, met = both(path_a, path_b), []
 
         def told():
-            some = [(x, n) for x, n in met.items() if n > 1]
+            some = pa.chunked_array(met, pa.string()).value_counts()
             met.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["piece", "n"])
+            some = some.filter(pc.greater(some.field("counts"), 1))
+            return pa.RecordBatch.from_arrays([some.field("values"), some.field("counts")], names=["piece", "n"])
 
         for b in inputs:
             for _, _, pieces in parts_of(made, b):
                 each = pieces.dictionary_encode().dictionary
-                met.update(each.filter(pc.less_equal(pc.binary_length(each), WORD)).to_pylist())
-                if len(met) > COUNTED:
+                met.append(each.filter(pc.less_equal(pc.binary_length(each), WORD)))
+                if sum(map(len, met)) > COUNTED:
                     yield told()
         yield told()
 
@@ -246,35 +249,38 @@ def told_tokens(made: Both, pieces: list[str]) -> tuple[np.ndarray, list]:
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, path_a: str, path_b: str, often: list[str] | None = None) -> DataFrame:
-    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens) and the tokens of its distinct pieces
-    that aren't in ``often`` (see ``told_tokens``). The numbers of pieces in ``often`` are their places there, those of others go on."""
+    """One row per batch of documents: docs (row, id, pieces: none where a text has no tokens, own) and the tokens of its distinct pieces
+    that aren't in ``often`` (see ``told_tokens``). The numbers of pieces in ``often`` are their places there, those of others go on;
+    ``own`` has the others alone, numbered from 0."""
     known = docs.sparkSession.sparkContext.broadcast(often or [])
 
     def batches(inputs):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        made = both(path_a, path_b)
-        number = {x: i for i, x in enumerate(known.value)}
+        made, many = both(path_a, path_b), np.int32(len(known.value))
+        told = pa.array(known.value, pa.string())
         for b in inputs:
             for part, ends, pieces in parts_of(made, b):
                 coded = pieces.dictionary_encode()
-                each = coded.dictionary.to_pylist()
-                old = np.array([number.get(x, -1) for x in each], np.int32)
-                new = np.flatnonzero(old < 0)
-                at, arrays = told_tokens(made, [each[i] for i in new])
-                place = old
-                place[new] = np.where(at < 0, -1, at + len(number))
-                own = place[coded.indices.to_numpy()] if len(each) else np.zeros(0, np.int32)
+                place = pc.fill_null(pc.index_in(coded.dictionary, value_set=told), -1).to_numpy(zero_copy_only=False).copy()
+                new = np.flatnonzero(place < 0)
+                at, arrays = told_tokens(made, coded.dictionary.take(pa.array(new)).to_pylist())
+                place[new] = np.where(at < 0, -1, at + many)
+                own = place[coded.indices.to_numpy()] if len(place) else np.zeros(0, np.int32)
                 bad = np.cumsum(np.r_[0, own < 0])
                 bad = bad[ends[1:]] > bad[ends[:-1]]  # documents with a piece that a tokenizer doesn't give back
                 n = np.diff(ends)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, np.where(bad, 0, n)]).astype(np.int32)), pa.array(own[~np.repeat(bad, n)]))
-                docs_ = pa.StructArray.from_arrays([*part.columns[:2], lists], names=["row", "id", "pieces"])
+                own, upto = own[~np.repeat(bad, n)], np.cumsum(np.r_[0, np.where(bad, 0, n)])
+                rest = own >= many
+                upto_rest = np.cumsum(np.r_[0, rest])[upto]
+                lists = [pa.ListArray.from_arrays(pa.array(k.astype(np.int32)), pa.array(x)) for k, x in ((upto, own), (upto_rest, own[rest] - many))]
+                docs_ = pa.StructArray.from_arrays([*part.columns[:2], *lists], names=["row", "id", "pieces", "own"])
                 one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
                 yield pa.RecordBatch.from_arrays([one(docs_), *arrays], names=["docs", *NAMES])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return texts_of(docs, id_col, text_col).mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>>>, {TOKENS}")
+    return texts_of(docs, id_col, text_col).mapInArrow(batches, f"docs array<struct<row: bigint, id: {kind}, pieces: array<int>, own: array<int>>>, {TOKENS}")
 
 
 def grouped_once(spark: SparkSession, often: list[str], path_a: str, path_b: str) -> tuple[list[str], DataFrame]:
@@ -338,11 +344,16 @@ def part(n_a: Column, n_b: Column, n_groups: Column, text: Column, links: Column
     return F.struct(*(x.cast("int").alias(c) for x, c in ((n_a, "n_a"), (n_b, "n_b"), (n_groups, "n_groups"))), text.alias("text"), links.alias("links"))
 
 
+def written(a: Column, b: Column) -> Column:
+    """A group of two tokens; ``concat_ws`` takes twice the time for every entry."""
+    return F.concat(a.cast("string"), F.lit("|"), b.cast("string"))
+
+
 def of_few(p: Column) -> Column:
     """The part of a short piece."""
     first = lambda g: (F.get(g["a"], F.lit(0)), F.get(g["b"], F.lit(0)))
     single = lambda g: (F.size(g["a"]) == 1) & (F.size(g["b"]) == 1)
-    text = lambda g: F.when(single(g), F.concat_ws("|", *(x.cast("string") for x in first(g)))).otherwise(F.concat_ws("|", joined(g["a"]), joined(g["b"])))
+    text = lambda g: F.when(single(g), written(*first(g))).otherwise(F.concat_ws("|", joined(g["a"]), joined(g["b"])))
     links = lambda g: F.when(single(g), F.array(pair(*first(g), F.lit(1)))).otherwise(crossed(g["a"], g["b"]))
     return part(p["n_a"], p["n_b"], F.size(p["groups"]), F.array_join(F.transform(p["groups"], text), ";"), F.flatten(F.transform(p["groups"], links)))
 
@@ -353,7 +364,7 @@ def of_long() -> Column:
     single = lambda k: (F.get(at_a, k + 1) - F.get(at_a, k) == 1) & (F.get(at_b, k + 1) - F.get(at_b, k) == 1)
     first = lambda k: (F.get(a, F.get(at_a, k)), F.get(b, F.get(at_b, k)))
     text = lambda k: F.concat_ws("|", *(joined(between(ids, at, k)) for ids, at in ((a, at_a), (b, at_b))))
-    texts = stretches("at_a", lambda k: F.when(single(k), F.concat_ws("|", *(x.cast("string") for x in first(k)))).otherwise(text(k)))
+    texts = stretches("at_a", lambda k: F.when(single(k), written(*first(k))).otherwise(text(k)))
     links = stretches("at_a", lambda k: F.when(single(k), F.array(pair(*first(k), F.lit(1)))).otherwise(let(between(a, at_a, k), lambda x: let(between(b, at_b, k), lambda y: crossed(x, y)))))
     size = lambda c, k: F.get(F.col(c), k + 1) - F.get(F.col(c), k)
     of = lambda t, x: lambda k: part(size("upto_a", k), size("upto_b", k), size("at_p", k), F.array_join(between(t, at_p, k), ";"), F.flatten(between(x, at_p, k)))
@@ -431,20 +442,19 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None,
 
     parts = stored(known.select(F.posexplode("known").alias("number", "part")), "known")
     links = parts.select("number", F.explode("part.links").alias("x")).select("number", "x.code", F.col("x.n").alias("times"))
-    parts = parts.join(summed(links, "number", often, rest), "number", "left").select("number", *(F.col("part")[c].alias(c) for c in FIELDS[:-1]), *(F.coalesce(c, F.lit(0)).alias(c) for c in "sbl"))
-    own = [*FIELDS[:-1], *"sbl"]
-    in_order = parts.agg(F.array_sort(F.collect_list(F.struct("number", *own))).alias("known"))
-    in_order = in_order.select(*(F.col("known")[c].alias(f"often_{c}") for c in own))
+    numbers = [*FIELDS[:3], *"sbl"]
+    each = parts.join(summed(links, "number", often, rest), "number", "left").select("number", *(F.col("part")[c].cast("long").alias(c) for c in FIELDS[:3]), *(F.coalesce(c, F.lit(0)).alias(c) for c in "sbl"))
+    places_ = batches.select(F.explode("docs").alias("d")).select("d.row", F.explode("d.pieces").alias("number"))
+    met = places_.join(F.broadcast(each), "number").groupBy("row").agg(*(F.sum(c).alias(f"often_{c}") for c in numbers))
 
-    others = lambda d: F.flatten(F.transform(F.filter(d["pieces"], lambda p: p >= many), lambda p: F.get(F.col("links"), p - many)))
+    others = lambda d: F.flatten(F.transform(d["own"], lambda p: F.get(F.col("links"), p)))
     each = batches.select(F.explode(F.transform("docs", lambda d: F.struct(d["row"].alias("row"), others(d).alias("links")))).alias("d")).select("d.row", F.explode("d.links").alias("x"))
     sums = summed(each.select("row", "x.code", F.col("x.n").alias("times")), "row", often, rest)
 
-    add = lambda d, f: F.aggregate(d["pieces"], F.lit(0).cast("long"), lambda n, p: n + f(p))
-    of = lambda c: lambda p: of_either(F.col(f"often_{c}"), F.col(c), p, many)
-    first = lambda c: lambda p: F.when(p < many, F.get(F.col(f"often_{c}"), p)).otherwise(0)
-    text = lambda d: F.array_join(F.transform(d["pieces"], of("text")), ";")
-    whole = lambda d: F.struct(d["row"].alias("row"), d["id"].alias("id"), *(add(d, of(c)).alias(c) for c in FIELDS[:3]), *(add(d, first(c)).alias(f"_{c}") for c in "sbl"), told(text(d)).alias("groups"))
-    out = batches.select("docs", *FIELDS[:-1]).join(F.broadcast(in_order)).select(F.explode(F.transform("docs", whole)).alias("d")).select("d.*").join(sums, "row", "left")
-    both_of = lambda c: F.col(f"_{c}") + F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", both_of("l").alias("n_links"), both_of("b").alias("n_best"), both_of("s").alias("count_sum"), "groups")
+    in_order = parts.agg(F.transform(F.array_sort(F.collect_list(F.struct("number", "part.text"))), lambda x: x["text"]).alias("often"))
+    add = lambda d, c: F.aggregate(d["own"], F.lit(0).cast("long"), lambda n, p: n + F.get(F.col(c), p))
+    text = lambda d: F.array_join(F.transform(d["pieces"], lambda p: of_either(F.col("often"), F.col("text"), p, many)), ";")
+    whole = lambda d: F.struct(d["row"].alias("row"), d["id"].alias("id"), *(add(d, c).alias(c) for c in FIELDS[:3]), told(text(d)).alias("groups"))
+    out = batches.select("docs", *FIELDS[:-1]).join(F.broadcast(in_order)).select(F.explode(F.transform("docs", whole)).alias("d")).select("d.*").join(sums, "row", "left").join(met, "row", "left")
+    of = lambda c: (F.coalesce(c, F.lit(0)) + F.coalesce(f"often_{c}", F.lit(0))).cast("long")
+    return out.select(F.col("id").alias(id_col), *(of(c).alias(c) for c in FIELDS[:3]), of("l").alias("n_links"), of("b").alias("n_best"), of("s").alias("count_sum"), "groups")
