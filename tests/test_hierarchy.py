@@ -73,3 +73,16 @@ def test_a_catalogue_with_stored_labels_finds_the_same_places(spark):
     terms = spark.createDataFrame([(2,), (5,)], "vocab_rowid long")
     found = lambda **more: sorted(r[0] for r in Catalogue(vocabulary=vocabulary, **more).with_narrower(terms).collect())
     assert found(broader_labels=labels, broader_others=others) == found() != []
+
+
+def test_many_ranges_don_t_overflow_the_planner(spark):
+    """Two to ``BOUND`` roots were a chain of as many conditions, too deep for the stack of a driver."""
+    edges = [(0, None), *((n, 0) for n in range(1, 451)), *((n + 1000, n) for n in range(1, 451))]
+    assert found(spark, edges, [*range(1, 451)])[0] == {n: d for d in (0, 1) for n in range(1000 * d + 1, 1000 * d + 451)}
+
+
+def test_cycles_are_cut_without_paths(spark):
+    up = lambda edges: spark.createDataFrame(edges, "id long, up long")
+    tails = [(10 * n, 10 * n - 10) for n in range(2, 40)] + [(9, 10), (8, 9), (10, 8), (50_000, 10)]
+    assert sorted(r["id"] for r in hierarchy.cuts(up([*tails, (1, 2), (2, 1), (7, None), (6, 7)])).collect()) == [1, 8]
+    assert hierarchy.cuts(up([(2, 1), (1, None)])) is None

@@ -86,40 +86,67 @@ def labelled(tree: DataFrame, key: str, parent: str) -> tuple[DataFrame, DataFra
     paths from 1, and what stands at or below a node is numbered ``lo`` to ``hi``. Parents that are no node, null
     keys and a node as its own parent count for nothing; repeated rows count once.
 
-    Paths are found by doubling, in rounds of the logarithm of the depth, and hold as many ids as the node is deep.
+    Paths are found by doubling, in rounds of the logarithm of the depth, and hold as many ids as the node is deep. Cycles are
+    cut before, without paths; only nodes with others below them take part, the rest get theirs by one join.
     """
     ids = tree.where(F.col(key).isNotNull()).select(F.col(key).alias("id")).distinct()
     edges = tree.select(F.col(key).alias("id"), F.col(parent).alias("parent")).where("id is not null and parent is not null and id <> parent").distinct()
     edges = kept(edges.join(ids.select(F.col("id").alias("parent")), "parent", "left_semi").select("id", "parent"))
     nodes = ids.join(edges.groupBy("id").agg(F.min("parent").alias("up")), "id", "left")
-    paths, loops = climbed(nodes)
+    loops = cuts(nodes)
     if loops is not None:
         nodes = nodes.join(loops.withColumn("_loop", F.lit(True)), "id", "left").select("id", F.when(F.col("_loop").isNull(), F.col("up")).alias("up"))
-        paths, _ = climbed(kept(nodes))
-    sizes = paths.select(F.explode("path").alias("id")).groupBy("id").agg(F.count("*").alias("size"))
+    nodes = kept(nodes)
+    parents = nodes.where("up is not null").select(F.col("up").alias("id")).distinct()
+    inner = climbed(nodes.join(parents, "id", "left_semi"))
+    leaves = nodes.join(parents, "id", "left_anti")
+    least = leaves.where("up is not null").groupBy(F.col("up").alias("id")).agg(F.count("*").alias("_n"))
+    each = inner.join(least, "id", "left").select(F.explode("path").alias("id"), (1 + F.coalesce("_n", F.lit(0))).alias("_n"))
+    sizes = each.groupBy("id").agg(F.sum("_n").alias("size"))
+    ends = leaves.join(inner.select(F.col("id").alias("up"), "path"), "up", "left").select("id", F.concat(F.coalesce("path", F.slice(F.array("id"), 1, 0)), F.array("id")).alias("path"), F.lit(1).cast("long").alias("size"))
     from vitrine.operators.ranking import places
 
-    at = places(paths, [], [F.col("path")]).join(sizes, "id")
+    at = places(inner.join(sizes, "id").select("id", "path", "size").unionByName(ends), [], [F.col("path")])
     labels = kept(at.select("id", "path", (F.size("path") - 1).alias("level"), F.col("place").alias("lo"), (F.col("place") + F.col("size") - 1).alias("hi")))
-    tied = labels.where("level > 0").select("id", F.get("path", F.col("level") - 1).alias("parent"))
-    return labels, edges.join(tied, ["id", "parent"], "left_anti")
+    return labels, edges.join(nodes.select("id", F.col("up").alias("parent")).where("parent is not null"), ["id", "parent"], "left_anti")
+
+
+def cuts(nodes: DataFrame) -> DataFrame | None:
+    """(id): the smallest node of each cycle of (id, up), if there are any. Steps are doubled, and of the nodes only those
+    stay that others lead to, so that after rounds of the logarithm of the depth the cycles alone are left."""
+    step = kept(nodes.where("up is not null").select("id", F.col("up").alias("at")))
+    n = step.count()
+    while n:
+        inner = step.join(step.select(F.col("at").alias("id")).distinct(), "id", "left_semi")
+        step = kept(inner.join(inner.select(F.col("id").alias("_id"), F.col("at").alias("_at")), F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")))
+        before, n = n, step.count()
+        if n == before:
+            break
+    if not n:
+        return None
+    walk = kept(nodes.join(step, "id", "left_semi").select("id", F.col("up").alias("at"), F.least("id", "up").alias("low")))
+    while True:
+        to = walk.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("low").alias("_low"))
+        walk = kept(walk.join(to, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("less")))
+        if walk.where("less").isEmpty():
+            return walk.where("id = low").select("id")
 
 
-def climbed(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(id, path from the root to it) for (id, up), and the nodes (id) above which cycles have to be cut, if any; paths
-    of nodes in or below a cycle are then of no use."""
+def climbed(nodes: DataFrame) -> DataFrame:
+    """(id, path from the root to it) for (id, up) without cycles, in which each up is an id."""
     start = F.when(F.col("up").isNotNull(), F.array("up")).otherwise(F.slice(F.array("id"), 1, 0))
     walk = kept(nodes.select("id", F.col("up").alias("at"), start.alias("above")))
-    while True:
-        open_ = walk.where("at is not null")
-        whole = F.size(F.array_distinct("above")) < F.size("above")  # has been round its cycle
-        if open_.where(~whole).isEmpty():
-            break
+    while not (open_ := walk.where("at is not null")).isEmpty():
         step = walk.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("above").alias("_above"))
-        walk = kept(walk.join(step, F.col("at") == F.col("_id"), "left").select("id", F.col("_at").alias("at"), F.when(F.col("_id").isNull(), F.col("above")).otherwise(F.concat("above", "_above")).alias("above")))
-    loops = walk.where(F.col("at").isNotNull() & F.array_contains("above", F.col("id")) & (F.col("id") == F.array_min("above"))).select("id")
-    paths = walk.select("id", F.concat(F.reverse("above"), F.array("id")).alias("path"))
-    return paths, None if loops.isEmpty() else loops
+        further = open_.join(step, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at"), F.concat("above", "_above").alias("above"))
+        walk = kept(further.unionByName(walk.where("at is null")))
+    return walk.select("id", F.concat(F.reverse("above"), F.array("id")).alias("path"))
+
+
+def either(tests: list[Column]) -> Column:
+    """Whether one of ``tests`` holds; halves of halves, as a chain of hundreds overflows the stack of the planner."""
+    half = len(tests) // 2
+    return either(tests[:half]) | either(tests[half:]) if half else tests[0]
 
 
 def below(labels: DataFrame, others: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
@@ -143,12 +170,10 @@ def below(labels: DataFrame, others: DataFrame, roots: DataFrame, depth: int | N
             for lo, hi in spots:  # a range within the one before it adds nothing
                 if not spans or lo > spans[-1][1]:
                     spans.append((lo, hi))
-            inside = F.lit(False)
-            for lo, hi in spans:
-                inside = inside | F.col("lo").between(lo, hi)
-            rows = labels.where(inside)
+            rows = labels.where(either([F.col("lo").between(lo, hi) for lo, hi in spans]))
         tops = start.select(F.col("id").alias("_root"), (F.col("_d") - F.col("_l")).alias("_less"))
-        each = rows.select("id", "level", F.explode("path").alias("_root")).join(F.broadcast(tops) if len(few) <= BOUND else tops, "_root")
+        near = F.col("path") if depth is None else F.slice("path", F.greatest(F.col("level") + 1 - depth, F.lit(1)), depth + 1)
+        each = rows.select("id", "level", F.explode(near).alias("_root")).join(F.broadcast(tops) if len(few) <= BOUND else tops, "_root")
         new = each.groupBy("id").agg(F.min(F.col("level") + F.col("_less")).cast("int").alias("depth"))
         new = new if depth is None else new.where(F.col("depth") <= depth)
         if plain:
