@@ -1,8 +1,10 @@
 """References of one history to another: what is one, and where they lead."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from vitrine.operators import provenance, references
+from vitrine.operators import hierarchy, provenance, references
 
 SAID = {
     "see SK-A-1": "SK-A-1", "Zie BK 1955-3.": "BK-1955-3", "See also the provenance of inv. no. RP-P-12a": "RP-P-12a", "zie onder SK C 5": "SK-C-5", "See under cat. no. SK-A-7.2": "SK-A-7.2",
@@ -38,3 +40,29 @@ def test_words_of_a_text_are_found_once(spark):
     """Not again for every word, which takes the square of a history's length."""
     plan = spark.range(1).select(references.target(F.col("id").cast("string")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_cycles_end_in_few_rounds(spark, monkeypatch):
+    """Works in cycles were followed until the disk was full."""
+    r = random.Random(2)
+    ups = {n: n - 1 for n in range(2, 130)} | {n: n + 1 for n in range(200, 260)} | {260: 200} | {n: r.randrange(300, 400) for n in range(300, 398, 2)} | {n: r.choice([1, 60, 129, 210, 399, 5000]) for n in range(400, 420)} | {500: 500, 501: 500}
+    works = sorted({1, 60, 129, 399, *ups, *range(300, 400)})
+
+    def walked(n):
+        hops, at = 0, n
+        while at in ups and hops <= len(works):
+            hops, at = hops + 1, ups[at]
+        return (None, None, "cycle") if hops > len(works) else (f"A{at}", hops, "own" if not hops else "resolved" if at in works else "missing")
+
+    calls = []
+
+    def few(df, kept=hierarchy.kept):
+        calls.append(1)
+        assert len(calls) < 12
+        return kept(df)
+
+    for module in (hierarchy, references):
+        monkeypatch.setattr(module, "kept", few)
+    table = spark.createDataFrame([(f"A-{n}", f"see A-{ups[n]}" if n in ups else "sold to Anna Berg, 1800") for n in works], "number string, history string")
+    got = {int(x["number"][2:]): (x["source"], x["hops"], x["status"]) for x in references.resolved(table, "number", "history").collect()}
+    assert got == {n: walked(n) for n in works}

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.hierarchy import climbed, kept
+from vitrine.operators.hierarchy import kept
 
 #: Words that may stand between a word that points and the number it points to.
 BETWEEN = ["the", "provenance", "of", "for", "to", "inv", "cat", "no", "nr", "also", "de", "herkomst", "van", "voor", "ook"]
@@ -71,18 +71,36 @@ def resolved(works: DataFrame, number: str, text: str) -> DataFrame:
     rows = kept(works.select(F.col(number), target(F.col(text)).alias("target")).withColumns({"_id": same(F.col(number)), "_up": same(F.col("target"))}))
     up = F.when(F.count("_up") == F.count("*"), F.min("_up"))
     nodes = rows.where("_id is not null").groupBy(F.col("_id").alias("id")).agg(up.alias("up"))
-    paths, _ = climbed(nodes)
-    ends = paths.select(F.col("id").alias("_t"), F.get("path", F.lit(0)).alias("_end"), F.size("path").alias("_n"), (F.size(F.array_distinct("path")) < F.size("path")).alias("_round"))
+    ends = followed(nodes).toDF("_t", "_end", "_n", "_round")
     there = nodes.select(F.col("id").alias("_known"))
     out = rows.join(ends, F.col("_up") == F.col("_t"), "left")
     end = F.when(F.col("_up").isNull(), F.col("_id")).otherwise(F.coalesce("_end", "_up"))
     out = out.withColumn("_end", end).join(there, F.col("_end") == F.col("_known"), "left")
     turns = F.coalesce("_round", F.lit(False))
     status = F.when(F.col("_up").isNull(), "own").when(turns, "cycle").when(F.col("_known").isNull(), "missing").otherwise("resolved")
-    hops = F.when(F.col("_up").isNull(), 0).when(~turns, F.coalesce(F.col("_n"), F.lit(1)))
+    hops = F.when(F.col("_up").isNull(), 0).when(~turns, F.coalesce(F.col("_n"), F.lit(0)) + 1)
     return out.select(number, "target", F.when(~turns, F.col("_end")).alias("source"), hops.cast("int").alias("hops"), status.alias("status"))
 
 
+def followed(nodes: DataFrame) -> DataFrame:
+    """(id, end, n, round) for each of (id, up) that has an up: where its ups lead, which need not be an id, and after how many steps.
+    ``round``: they come to a cycle; end and n are then of no use.
+
+    Steps are doubled, without paths, which don't end in cycles. A round that finds no new end is the last one, as an end further
+    away would mean that this round found one half as far.
+    """
+    ups = nodes.where("up is not null")
+    on = ups.select(F.col("id").alias("_id"), F.lit(True).alias("_on"))
+    walk = kept(ups.join(on, F.col("up") == F.col("_id"), "left").select("id", F.col("up").alias("end"), F.lit(1).cast("long").alias("n"), F.col("_on").isNotNull().alias("round")))
+    before, left = None, walk.where("round").count()
+    while left and left != before:
+        to = walk.toDF("_id", "_end", "_n", "_round")
+        further = walk.where("round").join(to, F.col("end") == F.col("_id")).select("id", F.col("_end").alias("end"), (F.col("n") + F.col("_n")).alias("n"), F.col("_round").alias("round"))
+        walk = kept(further.unionByName(walk.where("not round")))
+        before, left = left, walk.where("round").count()
+    return walk
+
+
 def lent(events: DataFrame, key: str, found: DataFrame, number: str) -> DataFrame:
     """Events (with ``key``, the work's number) of works that have a history, and for works that refer to one (``found``,
     from ``resolved``) the events of its source, with ``source``."""
