@@ -66,8 +66,11 @@ def attached(rows: DataFrame, small: DataFrame, key: str, value: str, total: int
     """``rows`` with ``value`` of ``small`` (key, value, n: how many of ``total`` rows have the key), null where there is none.
 
     Keys with more than a thousandth of the rows, a thousand at most, come by a broadcast and don't gather their rows
-    in one task: those are dealt by ``salt``, any other column. The rest is shuffled.
+    in one task: those are dealt by ``salt``, any other column. The rest is shuffled. Where no key can have as many, it is one
+    plain join.
     """
+    if total <= 1000:
+        return rows.join(small.select(F.col(key).alias("_ck"), F.col(value)), F.col(key) == F.col("_ck"), "left").drop("_ck")
     hot = small.where(F.col("n") > max(1000, total // 1000)).select(F.col(key).alias("_hk"), F.col(value).alias("_hv"))
     some = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
     some = some.withColumn("_salt", F.when(F.col("_hk").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(salt), F.lit(1 << 30))).cast("long"))
@@ -81,6 +84,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is two joins and two aggregations whose
     rows are bounded by the edges, and hubs are only ever reduced to a minimum, never gathered (``attached``).
+    Each half of a round is stored: the second reads the first at four places, and the driver would hold its plan as often.
     The rounds end when the edges are stars. Returns (node, root): each node of an edge with the smallest
     node that it reaches, roots included. No edges: no rows.
     """
@@ -89,7 +93,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"), F.count("*").alias("n"))
-        large = attached(both.where("b > a"), low, "a", "m", 2 * n, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = cut(attached(both.where("b > a"), low, "a", "m", 2 * n, "b").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         down = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = attached(large, down, "a", "m", 2 * n, "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct())

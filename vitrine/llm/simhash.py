@@ -464,7 +464,7 @@ def fingerprint_pairs(classes: DataFrame, d: int = 4) -> DataFrame:
     total = leads.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     same = attached(classes.select("node", "fp"), leads, "fp", "lead", total, "node").select(F.col("lead").alias("a"), F.col("node").alias("b"))
     x, y = (leads.select(F.col("fp").alias(c), F.col("lead").alias(f"of_{c}")) for c in "ab")
-    near = links(leads.select("fp"), d).distinct().join(x, "a").join(y, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    near = cut(links(leads.select("fp"), d).distinct()).join(x, "a").join(y, "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
     return same.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
