@@ -15,7 +15,9 @@ gives the others: in one order of all shingles, rarest first, each set goes unde
 its first ones only, as many as a set may lack and still be similar, and one more. Two similar sets share one of
 them, so every similar pair is a candidate, and shingle sets decide. How rare a shingle is comes from hashed
 counts over all sets; they only set the order, which costs time where it is poor, never a pair. Long lists give
-spanning links first; once sets have decided on those, all pairs of a long list follow that they don't connect.
+spanning links first; once sets have decided on those, all pairs of a long list follow that they don't connect and
+whose sketches allow the similarity: a sketch has the parity of a set's hashes in each of some thousand slots, so two sets
+differ in as many shingles as their sketches in bits, at least, and no similar pair is left out.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ BLOCK = 4096  # entries of one list that one task compares with as many others
 HELD = 200_000  # different sets that a task remembers
 PIECE = 1 << 20  # bytes of a text that are split into words at a time
 REACH, SHORT = 15, 40  # of similar(): bits between linked texts of a long list, lists that are compared pair by pair
+SKETCH = 1 << 11  # bits of a sketch
 SLOTS, RANGES = 1 << 21, 256  # hashed counts of shingles, and the pieces in which they are added up
 
 
@@ -221,6 +224,11 @@ def set_fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * count > len(rows), bitorder="little").view(np.int64)[0])
 
 
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Whether the number of a set's hashes in each of ``SKETCH`` slots is odd, as bytes."""
+    return np.packbits(np.bincount((hashes % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1)
+
+
 def set_batches(batches, k: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray]]:
     """Rows (id, text) in parts, with the sets of their texts and a 64-bit name of each set."""
     for batch in batches:
@@ -324,7 +332,7 @@ def lists_of(batches, columns: int) -> Iterator[tuple[list[np.ndarray], np.ndarr
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = [batch.column(c).to_numpy() for c in range(columns)]
+        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(columns)]
         rows = [np.concatenate(x) for x in zip(held, now, strict=True)] if held else now
         key, i, j = rows[:3]
         starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
@@ -405,19 +413,27 @@ def candidates(texts: DataFrame, level: np.ndarray, k: int, similarity: float) -
     return found.where("a <> b").select("a", "b").distinct(), found.where("b is null").select("key", "i", "j", F.col("a").alias("node"), "n", "room")
 
 
-def pairs_across(long: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): all candidate pairs of long lists whose sets no link connects yet (``found``: node, root)."""
+def pairs_across(long: DataFrame, found: DataFrame, texts: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b): all candidate pairs of long lists whose sets no link connects yet (``found``: node, root) and whose sketches allow the
+    similarity; ``texts`` and ``classes`` as in ``verified``."""
+
+    def sketched(batches):
+        for _, made, names in set_batches(batches, k):
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([sketch(x).tobytes() for x in made], pa.binary())], names=["of_bits", "bits"])
 
     def walk(batches):
         a, b, many = [], [], 0
-        for rows, starts, ends in lists_of(batches, 7):
+        for rows, starts, ends in lists_of(batches, 8):
             for s, e in zip(starts, ends, strict=True):
                 node, n, room = rows[3][s:e], rows[4][s:e], rows[5][s:e]
+                bits = np.frombuffer(b"".join(rows[7][s:e]), np.uint64).reshape(e - s, -1)
                 _, group, count = np.unique(rows[6][s:e], return_inverse=True, return_counts=True)
                 largest, every = group == count.argmax(), np.arange(e - s)
                 for x in np.flatnonzero(~largest):
                     y = np.flatnonzero((group != group[x]) & (largest | (every > x)))
                     y = y[may_be_alike(n, room, y, np.full(len(y), x), similarity)]
+                    apart = np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)
+                    y = y[apart <= (1 - similarity) / (1 + similarity) * (n[y].astype(np.int64) + n[x]) + 1e-6]
                     a.append(np.full(len(y), node[x]))
                     b.append(node[y])
                     many += len(y)
@@ -428,8 +444,12 @@ def pairs_across(long: DataFrame, found: DataFrame, similarity: float) -> DataFr
             both = folded(a, b)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
+    nodes = long.select("node").distinct()
+    firsts = classes.join(nodes, "node", "left_semi").select(F.col("first").alias("id"))
+    own = texts.join(firsts, "id", "left_semi").select("id", "text").mapInArrow(sketched, "of_bits long, bits binary").dropDuplicates(["of_bits"])
     roots = found.select(F.col("node").alias("of"), "root")
-    rows = long.join(roots, F.col("node") == F.col("of"), "left").select("key", "i", "j", "node", "n", "room", F.coalesce("root", "node").alias("root"))
+    rows = long.join(roots, F.col("node") == F.col("of"), "left").join(own, F.col("node") == F.col("of_bits"))
+    rows = rows.select("key", "i", "j", "node", "n", "room", F.coalesce("root", "node").alias("root"), "bits")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(walk, "a long, b long").where("a <> b").distinct()
 
 
@@ -486,7 +506,7 @@ def similar(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str =
     pairs = cut(pairs.unionByName(fingerprint_pairs(classes)).distinct())
     alike = cut(verified(pairs, texts, classes, k, similarity))
     found = components(alike)
-    more = cut(pairs_across(long, found, similarity))
+    more = cut(pairs_across(long, found, texts, classes, k, similarity))
     if not more.isEmpty():
         found = components(alike.unionByName(verified(more, texts, classes, k, similarity)))
     named = component_ids(own, classes, found, "node")
